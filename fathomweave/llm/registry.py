@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fathomweave.llm.packing import op8_packing
 from fathomweave.llm.simhash import op1_simhash
+from fathomweave.llm.token_store import op2_token_store
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_store": op2_token_store,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
