@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fathomweave.llm import quality, sharding
+from fathomweave.llm.langid import op3_langid
+from fathomweave.llm.mixing import op6_mixing
 from fathomweave.llm.packing import op8_packing
 from fathomweave.llm.simhash import op1_simhash
 from fathomweave.llm.token_store import op2_token_store
@@ -9,7 +12,14 @@ from fathomweave.llm.token_store import op2_token_store
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_store": op2_token_store,
+    "op3_langid": op3_langid,
+    "op4_quality": quality.op4_quality,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_quality": quality.OP4_SQL,
+    "op5_sharding": sharding.oracle(),
+}
