@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fathomweave.llm import quality, sharding
+from fathomweave.llm import linededup, quality, sharding
+from fathomweave.llm.fingerprints import op9_fingerprints
 from fathomweave.llm.langid import op3_langid
 from fathomweave.llm.mixing import op6_mixing
 from fathomweave.llm.packing import op8_packing
 from fathomweave.llm.simhash import op1_simhash
 from fathomweave.llm.token_store import op2_token_store
+from fathomweave.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -16,10 +18,14 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op4_quality": quality.OP4_SQL,
     "op5_sharding": sharding.oracle(),
+    "op10_line_dedup": linededup.OP10_SQL,
 }
