@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", ts: str = "ts") -> DataFrame:
     """Events without repeats (event_id) counted in tumbling windows by type; works on a stream and on a table alike."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     unique = events.withWatermark(ts, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
-    return unique.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return unique.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 def upsert(path: str, keys: list[str], seq: str):
