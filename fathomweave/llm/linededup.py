@@ -38,20 +38,22 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return near.where(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """All rows and columns of ``pages``, with ``text`` without boilerplate, and _lines and _dropped (lines before, lines dropped).
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, report: bool = True) -> DataFrame:
+    """All rows and columns of ``pages``, with ``text`` without boilerplate, and, with ``report``, _lines and
+    _dropped (lines before, lines dropped).
 
     A null text stays null; blank lines are never dropped; a text can end up empty; repeated rows count as
     pages each; an empty table stays empty.
     """
     found, _ = write_table(boilerplate(pages, host, text, ratio, least_pages), "boilerplate")
     known = found.select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
-    own = pages.withColumn("_text", F.col(text).cast("string"))
-    met = own.join(known, own[host].cast("string").eqNullSafe(known["_host"]), "left")
-    split = met.withColumn("_all", F.expr(r"split(_text, '\\n')"))
-    kept = split.withColumn("_kept", F.expr(f"if(_bad is null, _all, filter(_all, x -> not (array_contains(_bad, {_hashes('x')}) and x rlike '{WORD}')))"))
-    own_columns = [F.array_join("_kept", "\n").alias(c) if c == text else pages[c] for c in pages.columns]
-    return kept.select(*own_columns, F.coalesce(F.size("_all"), F.lit(0)).cast("bigint").alias("_lines"), F.coalesce(F.size("_all") - F.size("_kept"), F.lit(0)).cast("bigint").alias("_dropped"))
+    # the input's columns travel in one struct, so that no name can clash
+    own = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), pages[host].cast("string").alias("h"), pages[text].cast("string").alias("t"))
+    split = own.join(known, own["h"].eqNullSafe(known["_host"]), "left").withColumn("all", F.expr(r"split(t, '\\n')"))
+    kept = split.withColumn("kept", F.expr(f"if(_bad is null, all, filter(all, x -> not (array_contains(_bad, {_hashes('x')}) and x rlike '{WORD}')))"))
+    columns = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns]
+    counts = [F.coalesce(F.size("all"), F.lit(0)).cast("bigint").alias("_lines"), F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("bigint").alias("_dropped")]
+    return kept.select(*columns, *(counts if report else []))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

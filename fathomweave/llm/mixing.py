@@ -105,11 +105,12 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     taken = decide(docs, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_m"))
     taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_m")
-    own = docs.withColumn("_words", word_count())
-    met = own.join(taken, own["doc_id"].cast("bigint").eqNullSafe(taken["_doc"]) & own["source"].cast("string").eqNullSafe(taken["_source"]) & (own["_words"] == taken["_size"]))
+    # the input's columns travel in one struct, so that no name can clash
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("d"), docs["source"].cast("string").alias("s"), docs["text"].cast("string").alias("text")).withColumn("n", word_count())
+    met = own.join(taken, own["d"].eqNullSafe(taken["_doc"]) & own["s"].eqNullSafe(taken["_source"]) & (own["n"] == taken["_size"]))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.col("_m")) < F.col("_copies") % F.col("_m")
     times = F.floor(F.col("_copies") / F.col("_m")).cast("bigint") + F.when(drawn, 1).otherwise(0)
-    return met.withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select(*[own[c] for c in docs.columns])
+    return met.withColumn("times", times).where("times > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

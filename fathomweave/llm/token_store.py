@@ -60,9 +60,10 @@ def _encoded(path: str, end_id: int):
     import hashlib
 
     import zstandard
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack, seen, count = shared_encoder(path), zstandard.ZstdCompressor(level=1), set(), 0
+        encoder, pack, seen, count, task = shared_encoder(path), zstandard.ZstdCompressor(level=1), set(), 0, TaskContext.get().partitionId()
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         last = np.array([end_id], ID_TYPE).tobytes()
 
@@ -85,7 +86,7 @@ def _encoded(path: str, end_id: int):
                     at = to
                 body = b"".join(refs)
                 count += 1
-                rows.append((1, hashlib.blake2b(body + f"{doc_id},{count}".encode(), digest_size=16).digest(), doc_id, len(raw) // 4, body))
+                rows.append((1, hashlib.blake2b(body + f"{doc_id},{task},{count}".encode(), digest_size=16).digest(), doc_id, len(raw) // 4, body))
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "doc_id", "n", "body"])
 
