@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomweave.runtime import ship
+
 LONG_TEXT = 16384
 
 
@@ -39,6 +41,7 @@ def split_tokens(text: str, most: int, count: Callable[[str], int] = lambda t: l
 
 def chunk_column(text: Column, most: int = 4096) -> Column:
     """Array of chunks of a text column."""
+    ship(SparkSession.active())
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
@@ -49,6 +52,7 @@ def chunk_column(text: Column, most: int = 4096) -> Column:
 
 def embed(df: DataFrame, text: str, out: str, load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> DataFrame:
     """Adds a vector column; ``load`` makes the encoder once for each worker. Long texts are split and their vectors averaged; null stays null."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomweave.runtime import ship
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = "document string, doc_seq int, para_seq int, style string, text string, error string"
 
@@ -40,6 +42,7 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*_new.docx"
 
     doc_seq numbers the files by name, which the order of sections follows.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     # one row a file: numbering needs names only
     named = files.select("path").withColumn("name", F.regexp_extract("path", r"([^/]+)\.docx$", 1)).orderBy("name").select("name").collect()

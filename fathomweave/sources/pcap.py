@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomweave.runtime import ship
+
 SCHEMA = "file string, num string, src string, dst string, transport_layer string, length int, src_port string, dst_port string, has_tcp boolean, has_udp boolean, has_pfcp boolean, has_ngap boolean, has_sctp boolean, hex_payload string, layer_json string"
 PFCP_PORT, NGAP_PROTOCOL = 8805, 60
 
@@ -79,6 +81,7 @@ def decode(link: int, frame: bytes, size: int) -> dict | None:
 
 def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
     """A row for each IPv4 packet of the capture files of a folder; files are read in parallel, each by one task."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
