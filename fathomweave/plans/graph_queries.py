@@ -26,17 +26,17 @@ def node_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.create_map(F.lit("flag"), F.col("l_returnflag"), F.concat(F.lit("line"), F.col("l_linenumber")), F.col("l_linestatus")).alias("properties"))
+    return li.select("l_suppkey", "l_partkey", ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("seq"), F.create_map(F.lit("flag"), F.col("l_returnflag"), F.concat(F.lit("line"), F.col("l_linenumber")), F.col("l_linestatus")).alias("properties"))
 
 
-@register(QUERIES, ORACLE_SQL, "select l_suppkey, l_partkey, min_by(l_returnflag, l_orderkey * 100 + l_linenumber) as flag from lineitem group by 1, 2")
+@register(QUERIES, ORACLE_SQL, "select l_suppkey, l_partkey, min_by(l_returnflag, (l_orderkey * 100 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)) as flag from lineitem group by 1, 2")
 def edge_merge_first_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = graph.merge_whole(_lines(spark, sf_dir), ["l_suppkey", "l_partkey"], first=True)
     return merged.select("l_suppkey", "l_partkey", F.element_at("properties", "flag").alias("flag"))
 
 
 @register(QUERIES, ORACLE_SQL, """
-with e as (select l_suppkey, l_partkey, 'flag' as k, l_returnflag as v, l_orderkey * 100 + l_linenumber as seq from lineitem union all select l_suppkey, l_partkey, 'line' || l_linenumber, l_linestatus, l_orderkey * 100 + l_linenumber from lineitem)
+with e as (select l_suppkey, l_partkey, 'flag' as k, l_returnflag as v, (l_orderkey * 100 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as seq from lineitem union all select l_suppkey, l_partkey, 'line' || l_linenumber, l_linestatus, (l_orderkey * 100 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) from lineitem)
 select l_suppkey, l_partkey, k, max_by(v, seq) as v from e group by 1, 2, 3""")
 def edge_merge_last_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = graph.merge_entries(_lines(spark, sf_dir), ["l_suppkey", "l_partkey"])
