@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.llm.folds import held_out, sample_by_class
+from fathomweave.runtime import ship
 
 LETTER = re.compile(r"[^\W\d_]")
 SYMBOLS = 40
@@ -126,6 +127,7 @@ def identify(docs: DataFrame, model: PartialMatch | None) -> DataFrame:
     ``und`` with score 0 for null texts, texts without a letter and, where nothing was learned, all texts;
     repeated rows are scored as often as they occur; other columns are ignored.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomweave.llm.encode import ID_TYPE, default_tokenizer, shared_encoder
-from fathomweave.runtime import write_table
+from fathomweave.runtime import ship, write_table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, room: int = 1024, end_id: int = 2, tokenizer: str | No
     occur; other columns are ignored; an empty table gives no sequences.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table, _ = write_table(rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), end_id, room), PIECES), "pieces")
     sums = table.groupBy("length", "part").agg(F.count("*").alias("n"))

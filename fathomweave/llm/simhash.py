@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomweave.llm.components import connected_components
-from fathomweave.runtime import write_table
+from fathomweave.runtime import ship, write_table
 
 BITS = 64
 BLOCK = 1 << 16
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 

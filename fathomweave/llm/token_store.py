@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomweave.llm.encode import ID_TYPE, default_tokenizer, shared_encoder
-from fathomweave.runtime import drop_table, new_path, shuffle_partitions
+from fathomweave.runtime import drop_table, new_path, ship, shuffle_partitions
 
 SHORTEST, LONGEST, CUT_BITS = 128, 4096, 9
 GROUP = 1 << 20  # ids that are chunked in one vector operation
@@ -111,6 +111,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str | None = None, end_id
     order fixed by their content. An empty table gives an empty store. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded(tokenizer or default_tokenizer(), end_id), "kind int, key binary, doc_id bigint, n bigint, body binary")
     first = F.row_number().over(Window.partitionBy("key").orderBy("kind", "n"))
     # written as "or" so that no sort by key comes before the shuffle: repeats within a task are gone already
@@ -133,6 +134,7 @@ def recipes(spark: SparkSession, root: str) -> DataFrame:
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     """key, n and the verified facts of each stored chunk: crc of its ids. A chunk that isn't what its key says stops the job."""
+    ship(spark)
     read = spark.read.schema("key binary, n bigint, body binary, kind int").parquet(f"{root}/chunks").where("kind = 0").select("key", "n", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +208,7 @@ def references(spark: SparkSession, root: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, ids (array<int>): every document's ids, put together from the stored chunks."""
+    ship(spark)
     read = spark.read.schema("key binary, n bigint, body binary, kind int").parquet(f"{root}/chunks").where("kind = 0").select("key", "body")
     whole = references(spark, root).join(read, "key").groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "body"))).alias("of"))
 
