@@ -21,7 +21,7 @@ RULES = [
     (2, "short_words", "10 * word_chars < 20 * n_words"),
     (3, "long_words", "10 * word_chars > 150 * n_words"),
     (4, "symbols", "100 * n_symbols > 10 * n_words"),
-    (5, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    (5, "repeated_lines", "n_dup_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),  # a share of a few lines says nothing
     (6, "many_words", "n_words > 1000000"),
 ]
 BASE = 0b11
