@@ -47,7 +47,7 @@ def normal_function(candidate: Column, known: list[str] = lx.NETWORK_FUNCTIONS)
 
 def valid_functions(names: Column, step_text: Column) -> Column:
     """Known functions among ``names`` that the step text speaks of as whole words; all known ones if there's no step text; sorted."""
-    known = F.array_distinct(F.array_compact(F.transform(names, normal_function)))
+    known = F.array_distinct(F.array_compact(F.transform(names, lambda x: normal_function(x))))
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(step_text), r"\W+", " "), F.lit(" "))
     said = F.filter(known, lambda x: low.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(x), r"\W+", " "), F.lit(" "))))
     return F.array_sort(F.when(F.trim(F.coalesce(step_text, F.lit(""))) == "", known).otherwise(said))
