@@ -103,6 +103,33 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def kept_ids(spark, texts):
+    return sorted(r["doc_id"] for r in neardup.dedup(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect())
+
+
+def test_pairs_in_a_crowd_that_shares_a_passage(spark):
+    passage, texts = words(150, 1).split(), {}
+    for i in range(400):
+        own = words(70, 1000 + i).split()
+        texts[i] = " ".join(passage + own)
+        if i % 5 == 0:
+            # the last 22 words differ: a similarity of just over 0.8
+            texts[10000 + i] = " ".join(passage + own[:-22] + words(22, 5000 + i).split())
+    want = sorted(set(jaccard_groups(texts).values()))
+    assert len(want) == 400
+    assert kept_ids(spark, texts) == want
+
+
+@pytest.mark.parametrize("volume", [1 << 18, 1 << 12])
+def test_blocks_of_a_crowd_meet(spark, monkeypatch, volume):
+    monkeypatch.setattr(neardup, "VOLUME", volume)
+    passage, texts = words(150, 1).split(), {}
+    for i in range(120):
+        own = words(70, 1000 + i).split()
+        texts[i], texts[1000 + i] = " ".join(passage + own), " ".join(passage + own[:-20] + words(20, 5000 + i).split())
+    assert kept_ids(spark, texts) == sorted(set(jaccard_groups(texts).values()))
+
+
 def test_near_copies_odd_rows(spark):
     kept = bag(neardup.dedup(odd(spark)), "doc_id", "text")
     by = {i: t for i, (_, t, *_) in enumerate(odd_rows())}
