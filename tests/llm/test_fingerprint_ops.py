@@ -130,6 +130,14 @@ def test_blocks_of_a_crowd_meet(spark, monkeypatch, volume):
     assert kept_ids(spark, texts) == sorted(set(jaccard_groups(texts).values()))
 
 
+def test_chain_in_a_crowd_is_one_group(spark):
+    passage, own = words(150, 1).split(), words(3000, 2).split()
+    texts = {i: " ".join(passage + own[22 * i : 22 * i + 100]) for i in range(130)}
+    alone = {i: " ".join(passage + words(100, 3000 + i).split()) for i in range(1000, 1100)}
+    assert set(jaccard_groups(texts).values()) == {0} and len(set(jaccard_groups({0: texts[0], 2: texts[2]}).values())) == 2
+    assert kept_ids(spark, texts | alone) == [0, *alone]
+
+
 def test_near_copies_odd_rows(spark):
     kept = bag(neardup.dedup(odd(spark)), "doc_id", "text")
     by = {i: t for i, (_, t, *_) in enumerate(odd_rows())}
