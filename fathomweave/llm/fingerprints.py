@@ -5,24 +5,27 @@ Terms are pairs of neighbouring words; a term votes with its weight (longer word
 longest text can fill), so a text's votes are 64 plain sums over its terms, made where the text lies: terms
 never cross the network. Likeness of two fingerprints is the cosine that their differing bits estimate.
 
-For the search the bits are cut into radius + 1 blocks; in table i block i comes first and rows are looked up
-by it. Fingerprints at most ``radius`` bits apart agree on some whole block, so they meet in a table. Those
-that meet name the points one flip away from them; sharing a point is the same as being at most two bits
-apart, so links are found without comparing pairs, whatever the size of a group.
+For the search the bits are cut into radius + 2 blocks, with a table for each two of them: fingerprints at most
+``radius`` bits apart agree on at least two whole blocks, so they meet in the bucket of some table. Within the
+buckets each is compared with the first and with the one before it, which is linear, joins groups of near copies and
+settles buckets of up to three; where a larger one still holds several groups, all of different groups are compared.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomweave.llm.components import connected_components
-from fathomweave.runtime import write_table
+from fathomweave.runtime import drop_table, write_table
 
 BITS = 128
 LANE = (1 << 32) | 1
 PER_BUCKET, MOST_BUCKETS = 4000, 4096
-RADIUS = 2
+#: A replaced word moves about 7 bits of 128 in a text of 100 words, 5 in one of 200; unlike texts differ in about 64.
+RADIUS = 11
 
 
 def terms(text: str) -> str:
@@ -102,35 +105,51 @@ def beside_next(docs: DataFrame) -> DataFrame:
     return both.select("b", F.row_number().over(order).alias("at"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
+def _tables(radius: int) -> Column:
+    """What a fingerprint shows in each two of radius + 2 blocks, as one hash with the number of the table."""
+    cuts = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    sign = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [(sign(m & ((1 << 64) - 1)), sign(m >> 64)) for m in (x | y for x, y in combinations(blocks, 2))]
+    return F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m0).cast("bigint")), F.col("f1").bitwiseAND(F.lit(m1).cast("bigint"))) for t, (m0, m1) in enumerate(masks)])
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1")))
+
+
 def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """f0, f1, near_class for the distinct fingerprints of ``prints`` (f0, f1, doc_id).
 
-    near_class is the smallest doc_id among all rows that can be reached over links of at most ``radius`` bits
-    (0 to 2).
+    near_class is the smallest doc_id among all rows that can be reached over links of at most ``radius`` bits.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius must be 0, 1 or 2")
-    values = prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("f0", "f1"))
-    cuts = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    keys = []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        mask = ((1 << hi) - 1) ^ ((1 << lo) - 1)
-        halves = [mask & ((1 << 64) - 1), mask >> 64]
-        keys.append(F.struct(*[F.col(f"f{i}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")).alias(f"k{i}") for i, m in enumerate(halves)]))
-    tables = values.select("f0", "f1", "node", F.posexplode(F.array(*keys)).alias("t", "key")).select("f0", "f1", "node", "t", "key.k0", "key.k1")
-    shared = tables.groupBy("t", "k0", "k1").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    met = tables.join(shared, ["t", "k0", "k1"]).select("f0", "f1", "node").distinct()
-    signed = [(1 << i) - (1 << 64) if i == 63 else 1 << i for i in range(64)]
-    flips = [(0, 0), *[(x, 0) for x in signed], *[(0, x) for x in signed]] if radius else [(0, 0)]
-    flip = F.expr(f"inline(array({', '.join(f'struct({a}L as a, {b}L as b)' for a, b in flips)}))".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)"))
-    points = met.select("f0", "f1", "node", flip).select("node", F.col("f0").bitwiseXOR(F.col("a")).alias("p0"), F.col("f1").bitwiseXOR(F.col("b")).alias("p1"), F.expr("a = 0 and b = 0").alias("own"))
-    agreed = points.groupBy("p0", "p1").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.when(F.col("own"), F.col("node"))).alias("real")).where("lo <> hi")
-    hub = F.col("real") if radius == 1 else F.col("lo")
-    edges = points.join(agreed, ["p0", "p1"]).select(F.col("node").alias("u"), hub.alias("v")).where("v is not null and u <> v").distinct()
-    parts = connected_components(edges)
-    joined = values.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not 0 <= radius <= BITS - 2:
+        raise ValueError(f"radius must be 0 to {BITS - 2}")
+    spark = prints.sparkSession
+    values, path = write_table(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("f0", "f1")), "values")
+    tables = values.select("f0", "f1", F.explode(_tables(radius)).alias("key"))
+    bucket = Window.partitionBy("key")
+    order = bucket.orderBy("f0", "f1")
+    beside = {"hub0": F.first("f0").over(order), "hub1": F.first("f1").over(order), "last0": F.lag("f0").over(order), "last1": F.lag("f1").over(order), "size": F.count("*").over(bucket)}
+    beside = tables.withColumns(beside).where("size > 1")
+    found = beside.select("key", "f0", "f1", "size", *[F.when(_apart("f", x) <= radius, F.xxhash64(f"{x}0", f"{x}1")).alias(x) for x in ("hub", "last")]).where("size > 3 or hub is not null or last is not null")
+    met, met_path = write_table(found.withColumn("node", F.xxhash64("f0", "f1")), "met")
+    first = met.select(F.col("node").alias("u"), F.explode(F.array_compact(F.array("hub", "last"))).alias("v")).where("u <> v").distinct()
+    parts, _ = write_table(values.select("node").join(connected_components(first), "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+    # buckets of a single group are done
+    placed = met.where("size > 3").select("key", "node", "f0", "f1").join(parts, "node")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left, left_path = write_table(placed.join(mixed, "key"), "mixed")
+    a = left.select("key", "component", "f0", "f1")
+    b = left.select("key", F.col("component").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    more = a.join(b, "key").where((F.col("component") < F.col("v")) & (_apart("f", "g") <= radius)).select(F.col("component").alias("u"), "v").distinct()
+    groups = connected_components(more).withColumnRenamed("component", "whole").withColumnRenamed("node", "component")
+    joined = values.join(parts.select("node", "component"), "node").join(groups, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = joined.groupBy("component").agg(F.min("first").alias("near_class"))
-    return joined.join(least, "component").select("f0", "f1", "near_class")
+    classes, _ = write_table(joined.join(least, "component").select("f0", "f1", "near_class"), "near-classes")
+    for done in (path, met_path, left_path):
+        drop_table(spark, done)
+    return classes
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -159,8 +178,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    classes, _ = write_table(near_classes(table), "near-classes")
-    return table.join(classes, ["f0", "f1"]).select(
+    return table.join(near_classes(table), ["f0", "f1"]).select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text_of("f0", "f1").alias("fingerprint"), text_of("e0", "e1").alias("edited_fingerprint"),
         likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("n0", "n1")).alias("near_next"), "near_class",
     )

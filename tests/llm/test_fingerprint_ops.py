@@ -207,3 +207,34 @@ def test_near_classes_equal_brute_force(spark, radius):
     got = {(r["f0"], r["f1"]): r["near_class"] for r in fingerprints.near_classes(spark.createDataFrame(rows, "f0 bigint, f1 bigint, doc_id bigint"), radius).collect()}
     want = groups(range(len(values)), lambda a, b: bin(values[a] ^ values[b]).count("1") <= radius)
     assert all(got[(a, b)] == want[i] for a, b, i in rows)
+
+
+def test_near_classes_hold_near_copies(spark):
+    r, texts = random.Random(3), {}
+    for i in range(40):
+        base = words(200, 700 + i).split()
+        for k in range(3):
+            own = list(base)
+            own[r.randrange(200)] = f"new{i}{k}"
+            texts[10 * i + k] = " ".join(own)
+    prints = fingerprints.fingerprint(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), ["doc_id"])
+    rows = prints.collect()
+    values = {x["doc_id"]: (x["f0"] & (1 << 64) - 1) | (x["f1"] & (1 << 64) - 1) << 64 for x in rows}
+    got = {(x["f0"], x["f1"]): x["near_class"] for x in fingerprints.near_classes(spark.createDataFrame(rows, "doc_id bigint, f0 bigint, f1 bigint")).collect()}
+    want = groups(set(values), lambda a, b: bin(values[a] ^ values[b]).count("1") <= fingerprints.RADIUS)
+    assert {x["doc_id"]: got[(x["f0"], x["f1"])] for x in rows} == want
+    assert sum(want[d] == d // 10 * 10 for d in want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("radius", [0, 6, 11])
+def test_wide_near_classes_equal_brute_force(spark, radius):
+    r = random.Random(radius)
+    values = [r.getrandbits(128) for _ in range(20)]
+    for v in values[:8]:
+        for _ in range(25):
+            values.append(v ^ sum(1 << b for b in r.sample(range(128), r.randint(0, radius))))
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(sign(v & (1 << 64) - 1), sign(v >> 64), i) for i, v in enumerate(values)]
+    got = {(r["f0"], r["f1"]): r["near_class"] for r in fingerprints.near_classes(spark.createDataFrame(rows, "f0 bigint, f1 bigint, doc_id bigint"), radius).collect()}
+    want = groups(range(len(values)), lambda a, b: bin(values[a] ^ values[b]).count("1") <= radius)
+    assert all(got[(a, b)] == want[i] for a, b, i in rows)
