@@ -318,3 +318,18 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(odd(spark)).count() == len(odd_rows()) and linededup.drop_boilerplate(empty(spark)).count() == 0
     hosts = spark.createDataFrame([("https://m.Example.org:8080/a?b",), ("no url",), (None,)], "url string").select(linededup.host_of("url").alias("h"))
     assert [r["h"] for r in hosts.collect()] == ["m.example.org", None, None]
+
+
+def test_all_of_a_long_run_counts():
+    import zlib
+
+    runs = [words(12, i).replace(" ", "") for i in range(70)]
+    put = lambda r, k: r[:k] + "foulterm" + r[k:]
+    net = toxicity.train([*runs[:50], *[put(r, 13 * i % 90) for i, r in enumerate(runs[:50])]], [0] * 50 + [1] * 50, [1.0] * 100, epochs=20)
+    for k in (10, 70, 90, 200):
+        assert all(toxicity.logits(net, [put(r, k)])[0] > toxicity.logits(net, [r])[0] + 1 for r in runs[50:]), k
+    for n in (0, 1, 63, 64, 65, 111, 112, 113, 160, 161, 1000):
+        run = "".join(chr(97 + zlib.crc32(bytes([i % 251, i // 251])) % 26) for i in range(n))
+        pieces = toxicity.words_of(f"short {run} 日本")
+        assert pieces[0] == "short" and pieces[-1] == "日本" and max(map(len, pieces)) <= 64
+        assert all(any(run[i : i + 16] in p for p in pieces) for i in range(max(1, n - 15)))
