@@ -25,10 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: bigint); component is the smallest node reachable.
 
-    Null ends and self-loops are ignored; repeated edges count once; no edges give no rows.
+    Null ends and self-loops are ignored; repeated edges count once; no edges give no rows. The path of the
+    table that the result reads is added to ``written``, for the caller to drop.
     """
     spark = edges.sparkSession
     start = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -43,5 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after, new_path = write_table(_small_star(_large_star(now)), "edges")
         drop_table(spark, path)
         now, path = after, new_path
+    if written is not None:
+        written.append(path)
     labelled = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labelled.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -154,10 +154,49 @@ def test_weighted_prints_find_pairs():
     for _ in range(300):
         common, own = r.integers(0, 1 << 63, 90, np.uint64), r.integers(0, 1 << 63, (2, 10), np.uint64)
         a, b = (neardup.weighted_prints(np.unique(np.concatenate([common, x]))) for x in own)
-        missed += not any(bin((x ^ y) & (1 << 64) - 1).count("1") <= 2 for x, y in zip(a, b, strict=True))
+        missed += not any(bin((x ^ y) & (1 << 64) - 1).count("1") <= neardup.RADIUS for x, y in zip(a, b, strict=True))
     assert missed <= 2
 
 
+def similar_sets(seed, count=60):
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(count // 4):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 700)), np.uint64)
+        for _ in range(4):
+            k = int(r.integers(0, max(1, len(base) // 6) + 1))
+            out.append(np.unique(np.concatenate([base[k:], r.integers(0, 1 << 63, int(r.integers(0, k + 1)), np.uint64)])))
+    return [x for x in out if len(x)]
+
+
+def test_odd_sketches_rule_no_pair_out():
+    sets = similar_sets(4)
+    sketches, n = [np.frombuffer(neardup.odd_sketch(x), "<u8") for x in sets], np.array([len(x) for x in sets])
+    def alike(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return both >= 0.8 * (n[i] + n[j] - both)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(i, j)]
+    assert len(pairs) > 20
+    for i, j in pairs:
+        got = neardup.survivors(n[[i, j]], np.array([0, 1]), np.array([0, 0]), [sketches[i], sketches[j]], 0.8)
+        assert got.all(), (i, j)
+    kept = neardup.survivors(n, np.arange(len(n)), np.zeros(len(n), int), sketches, 0.8)
+    assert kept[sorted({k for p in pairs for k in p})].all()
+    # those of one group, or of one of two blocks, have nothing to be compared with
+    assert not neardup.survivors(n, np.zeros(len(n)), np.zeros(len(n), int), sketches, 0.8).any()
+    halves = neardup.survivors(n, np.arange(len(n)), np.arange(len(n)) % 2, sketches, 0.8)
+    assert halves[[k for i, j in pairs if i % 2 != j % 2 for k in (i, j)]].all() and halves.sum() <= kept.sum()
+
+
+def test_repeated_rows_with_other_columns_stay_one(spark):
+    rows = [(1, words(30, 1), k, {"a": k}) for k in (3, 1, 2)] + [(None, words(30, 2), 5, None)] * 2
+    kept = neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, d int, h map<string,int>"))
+    assert kept.columns == ["doc_id", "text", "d", "h"]
+    got = sorted(((r["doc_id"], r["d"]) for r in kept.collect()), key=repr)
+    again = neardup.dedup(spark.createDataFrame(rows[::-1], "doc_id bigint, text string, d int, h map<string,int>").repartition(3))
+    assert len(got) == 2 and got == sorted(((r["doc_id"], r["d"]) for r in again.collect()), key=repr)
+
+
 def test_fingerprints_digest(spark):
     rows = odd_rows()
     got = fingerprints.compare_with_next(odd(spark)).collect()
