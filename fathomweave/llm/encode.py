@@ -14,11 +14,12 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 #: White space, then a word up to a mark that follows it at once, or all up to the next white space.
-PIECE = re.compile("[ \n\t\r]*(?:[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!?%*$&#])|[^ \n\t\r]+)|[ \n\t\r]+")
+PIECE = re.compile("[ \n\t\r]*(?:[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?:(?=[.,;:!?%*$&#])|[^ \n\t\r]*)|[^ \n\t\r]+)|[ \n\t\r]+")
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 LONGEST_KEPT = 64
 ID_TYPE = np.dtype("<u4")
@@ -47,7 +48,7 @@ def shared_encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Encodes with ``path``; at most ``cache`` pieces are kept, then the cache starts afresh."""
+    """Encodes with ``path``; about ``cache`` pieces are kept: when half of them are new, those not seen since go."""
 
     def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,6 +65,7 @@ class Encoder:
         )
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = cache
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -71,19 +73,47 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers; nothing for null."""
-        if not text:
-            return b""
-        if not self.pieces or ODD_SPACE.search(text):
-            return self._library([text])[0]
-        pieces = PIECE.findall(text)
-        known = set(pieces)
-        if len(self.cache) + len(known) > self.limit:
-            self.cache.clear()
-        missing = list(known.difference(self.cache))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what the cache lacks goes to the library in one call for all."""
+        done, waiting, missing, known = [b""] * len(texts), [], {}, self.cache.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.pieces or ODD_SPACE.search(text):
+                done[i] = self._library([text])[0]
+                continue
+            pieces = PIECE.findall(text)
+            ids = list(map(known, pieces))
+            if None in ids:
+                gaps = [ids.index(None)]
+                for _ in range(ids.count(None) - 1):
+                    gaps.append(ids.index(None, gaps[-1] + 1))
+                missing.update(dict.fromkeys(map(pieces.__getitem__, gaps)))
+                waiting.append((i, pieces, ids, gaps))
+            else:
+                done[i] = b"".join(ids)
         if missing:
-            self.cache.update(zip(missing, self._library(missing), strict=True))
-        ids = b"".join(map(self.cache.__getitem__, pieces))
-        for p in missing:
-            if len(p) > LONGEST_KEPT:
-                del self.cache[p]
-        return ids
+            new = {p: x for p in missing if (x := self.older.get(p)) is not None}
+            unseen = [p for p in missing if p not in new]
+            new.update(zip(unseen, self._library(unseen), strict=True))
+            for i, pieces, ids, gaps in waiting:
+                for k in gaps:
+                    ids[k] = new[pieces[k]]
+                done[i] = b"".join(ids)
+            if 2 * (len(self.cache) + len(new)) > self.limit:
+                self.older, self.cache = self.cache, {}
+            self.cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_KEPT)
+        return done
+
+    def stream(self, column, group: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text of an Arrow column, encoded in groups of about ``group`` letters."""
+        texts, size = [], 0
+        for cell in column:
+            texts.append(cell.as_py())
+            size += len(texts[-1] or "")
+            if size >= group:
+                yield from self.encode_all(texts)
+                texts, size = [], 0
+        yield from self.encode_all(texts)

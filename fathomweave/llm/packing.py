@@ -74,8 +74,8 @@ def _pieces(path: str, end_id: int, room: int):
         last = np.array([end_id], ID_TYPE).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + last
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1)), strict=True):
+                ids += last
                 n = len(ids) // 4
                 at, to = 0, n % room or room
                 for piece in range(-(-n // room)):

@@ -54,17 +54,51 @@ def test_token_store_round_trip(spark, tokenizer):
     assert read_digests(spark, write_store(empty(spark), new_path(spark, "t"))).count() == 0
 
 
-def test_store_notices_changes(spark):
-    root = write_store(odd(spark, 5), new_path(spark, "t"))
-    changed = placed(recipes(spark, root)).withColumn("n", __import__("pyspark").sql.functions.col("n") + 1)
-    from fathomweave.llm.token_store import merkle
+def rewritten(spark, folder, change):
+    """The parquet table in ``folder`` after ``change``."""
+    rows = spark.read.parquet(folder)
+    done = spark.createDataFrame(change(rows.collect()), rows.schema)
+    done.write.mode("overwrite").parquet(folder)
+
 
-    assert not merkle(changed).exceptAll(spark.read.parquet(f"{root}/manifest")).isEmpty()
+def test_store_notices_changes(spark):
+    def store():
+        root = write_store(odd(spark, 12), new_path(spark, "t"))
+        assert verify(spark, root) and read_digests(spark, root).count() == 12
+        return root
+
+    lost = store()
+    rewritten(spark, f"{lost}/chunks/kind=0", lambda rows: rows[1:])
+    assert not verify(spark, lost)
+    for read in (read_digests, reconstruct):
+        with pytest.raises(Exception, match="a chunk is missing"):
+            read(spark, lost).collect()
+    altered = store()
+    rewritten(spark, f"{altered}/chunks/kind=0", lambda rows: [(rows[0]["key"], *rows[1][1:])] + [tuple(r) for r in rows[1:]])
+    with pytest.raises(Exception, match="its address"):
+        read_digests(spark, altered).collect()
+    for change in (lambda rows: rows[1:], lambda rows: [tuple({**r.asDict(), "doc_id": r["doc_id"] if i else 999}.values()) for i, r in enumerate(rows)]):
+        changed = store()
+        rewritten(spark, f"{changed}/recipes", change)
+        assert not verify(spark, changed)
+        with pytest.raises(ValueError, match="manifest"):
+            read_digests(spark, changed)
+
+
+def test_order_follows_content(spark):
+    found = set()
+    for parts in (1, 3, 7):
+        root = write_store(odd(spark).repartition(parts), new_path(spark, "t"))
+        found.add(tuple(tuple(r) for r in read_digests(spark, root).orderBy("start").collect()))
+    assert len(found) == 1
 
 
 def test_crc_shift():
     a, b = b"some ids", b"12345678" * 3
-    from fathomweave.llm.token_store import _times
+    from fathomweave.llm.token_store import _times, moved
+
+    long = b"1234" * 70001
+    assert int(moved(np.array([zlib.crc32(a)]), np.array([70001]))[0]) ^ zlib.crc32(long) == zlib.crc32(a + long)
 
     assert _times(powers(6)[6], zlib.crc32(a)) ^ zlib.crc32(b) == zlib.crc32(a + b)
 
