@@ -15,6 +15,8 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 
@@ -22,6 +24,7 @@ import numpy as np
 PIECE = re.compile("[ \n\t\r]*(?:[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?:(?=[.,;:!?%*$&#])|[^ \n\t\r]*)|[^ \n\t\r]+)|[ \n\t\r]+")
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 LONGEST_KEPT = 64
+JOINED = 256
 ID_TYPE = np.dtype("<u4")
 
 
@@ -63,6 +66,8 @@ class Encoder:
             rules.get("normalizer") is None and rules.get("post_processor") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or re.search(r"\s", a["content"]) for a in added)
         )
+        marks = [(a["content"], a["id"]) for a in added if a.get("special") and not a.get("normalized")]
+        self.mark = marks[0] if self.pieces and marks else None
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -71,6 +76,23 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unseen(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece: many in one text, with the file's own end mark between them, which no merge crosses."""
+        if self.mark is None:
+            return self._library(pieces)
+        word, number = self.mark
+        done = []
+        for at in range(0, len(pieces), JOINED):
+            some = pieces[at : at + JOINED]
+            ids = np.frombuffer(self._library([word.join(some)])[0], ID_TYPE)
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) != len(some) - 1:  # a piece has the mark in it
+                done += self._library(some)
+                continue
+            raw, starts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            done += [raw[a:b] for a, b in zip(starts, [*(cuts * 4).tolist(), len(raw)], strict=True)]
+        return done
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers; nothing for null."""
         return self.encode_all([text])[0]
@@ -86,10 +108,8 @@ class Encoder:
                 continue
             pieces = PIECE.findall(text)
             ids = list(map(known, pieces))
-            if None in ids:
-                gaps = [ids.index(None)]
-                for _ in range(ids.count(None) - 1):
-                    gaps.append(ids.index(None, gaps[-1] + 1))
+            gaps = list(compress(count(), map(not_, ids)))
+            if gaps:
                 missing.update(dict.fromkeys(map(pieces.__getitem__, gaps)))
                 waiting.append((i, pieces, ids, gaps))
             else:
@@ -97,14 +117,16 @@ class Encoder:
         if missing:
             new = {p: x for p in missing if (x := self.older.get(p)) is not None}
             unseen = [p for p in missing if p not in new]
-            new.update(zip(unseen, self._library(unseen), strict=True))
+            new.update(zip(unseen, self._unseen(unseen), strict=True))
             for i, pieces, ids, gaps in waiting:
                 for k in gaps:
                     ids[k] = new[pieces[k]]
                 done[i] = b"".join(ids)
             if 2 * (len(self.cache) + len(new)) > self.limit:
                 self.older, self.cache = self.cache, {}
-            self.cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST_KEPT)
+            self.cache.update(new)
+            for p in [p for p in new if len(p) > LONGEST_KEPT]:
+                del self.cache[p]
         return done
 
     def stream(self, column, group: int = 1 << 20) -> Iterator[bytes]:

@@ -290,6 +290,21 @@ def test_mixing_groups_and_repeats(spark):
     assert mixing.mix(odd(spark)).columns == odd(spark).columns and mixing.decide(empty(spark)).count() == mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_gives_what_was_decided(spark):
+    rows = [(5, "one two three", "a", k) for k in range(101)] + [(5, "one two four", "a", 0)] * 3 + [(None, "x y", None, 1)] * 7 + [(k, words(20 + k % 7, k), "bc"[k % 2], 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int").repartition(3)
+    want = Counter()
+    for r in mixing.decide(docs).join(docs.selectExpr("doc_id as d", "text", "source as s", "xxhash64(text) as x").distinct(), __import__("pyspark").sql.functions.expr("doc_id <=> d and source <=> s and mark = x")).collect():
+        want[r["doc_id"], r["text"], r["source"]] += r["copies"]
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == +want and want[5, "one two three", "a"] > 0
+    each = Counter((r["doc_id"], r["text"], r["copies"]) for r in got if r["text"] == "one two three")
+    assert max(each.values()) - (min(each.values()) if len(each) == 101 else 0) <= 1
+    assert mixing.mix(empty(spark)).count() == 0
+
+
 def test_rounding_keeps_expectation(spark):
     docs = spark.createDataFrame([(i, words(10, i), "a" if i < 60 else "b") for i in range(90)], "doc_id bigint, text string, source string")
     times = Counter()
