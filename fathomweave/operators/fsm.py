@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomweave.functions import text as tx
+from fathomweave.runtime import drop_table, write_table
 
 
 def states(steps: DataFrame) -> DataFrame:
@@ -38,19 +39,28 @@ def transitions(steps: DataFrame, sends: DataFrame) -> DataFrame:
     return sequential(states(steps)).unionByName(by_message(steps, sends))
 
 
-def reachable_states(made: DataFrame, moves: DataFrame, rounds: int = 64) -> DataFrame:
-    """(procedure, name) that can be reached from the initial states; each round doubles the distance looked at."""
-    hops = made.select("procedure", F.col("name").alias("a"), F.col("name").alias("b")).union(moves.select("procedure", "source_state", "target_state")).distinct()
-    start = made.where("is_initial").select("procedure", F.col("name").alias("a"))
-    seen, n = start, -1
-    for _ in range(rounds):
-        seen = start.join(hops, ["procedure", "a"]).select("procedure", F.col("b").alias("a")).distinct()
-        now = seen.count()
-        if now == n:
+def reachable_states(made: DataFrame, moves: DataFrame) -> DataFrame:
+    """(procedure, name) that can be reached from the initial states, however far.
+
+    Round k adds what lies exactly 2^k moves from the states known, and then doubles the moves, so a machine of n
+    steps takes log n rounds; each round is written, so lineage does not grow. No round without a new state is followed by another.
+    """
+    spark = made.sparkSession
+    hops, hops_path = write_table(moves.select("procedure", F.col("source_state").alias("a"), F.col("target_state").alias("b")).where("a <> b").distinct(), "hops")
+    seen, path = write_table(made.where("is_initial").select("procedure", F.col("name").alias("a")).distinct(), "seen")
+    n = seen.count()
+    while True:
+        more, new_path = write_table(seen.union(seen.join(hops, ["procedure", "a"]).select("procedure", "b")).distinct(), "seen")
+        drop_table(spark, path)
+        seen, path, before, n = more, new_path, n, more.count()
+        if n == before:
             break
-        n = now
-        start = seen.checkpoint() if seen.sparkSession.sparkContext.getCheckpointDir() else seen
-    return seen.select("procedure", F.col("a").alias("name"))
+        further = hops.join(hops.select("procedure", F.col("a").alias("b"), F.col("b").alias("c")), ["procedure", "b"]).select("procedure", "a", F.col("c").alias("b")).distinct()
+        hops, new_path = write_table(further, "hops")
+        drop_table(spark, hops_path)
+        hops_path = new_path
+    drop_table(spark, hops_path)
+    return seen.join(made.select("procedure", F.col("name").alias("a")), ["procedure", "a"], "left_semi").select("procedure", F.col("a").alias("name"))
 
 
 def violations(made: DataFrame, moves: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
+from fathomweave.functions import text as tx
 from fathomweave.functions import vectors as vx
 from fathomweave.operators import graph
 
@@ -24,6 +26,8 @@ class SearchQuery:
 
 PROCEDURES = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 10}
 BY_DESCRIPTION = {"entity_types": ["Procedure"], "similarity_threshold": 0.3, "max_results": 10}
+AUTHENTICATION = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 20}
+AUTHENTICATION_TEXT = "authentication process between UE and 5G core network"
 
 
 def index(nodes: DataFrame, strict: bool = False) -> DataFrame:
@@ -47,6 +51,48 @@ def search(nodes: DataFrame, query: SearchQuery) -> DataFrame:
     return rows.orderBy(F.col("final_score").desc(), "seq").limit(query.max_results)
 
 
+def search_procedures(nodes: DataFrame, vector: list[float], max_results: int = 10) -> DataFrame:
+    """(name, score, description, properties) of the best procedures."""
+    found = search(nodes, SearchQuery(vector, **{**PROCEDURES, "max_results": max_results}))
+    return found.select("name", F.col("final_score").alias("score"), "description", "properties")
+
+
+def by_description(nodes: DataFrame, vector: list[float]) -> DataFrame:
+    return search(nodes, SearchQuery(vector, **BY_DESCRIPTION))
+
+
+def authentication_procedures(nodes: DataFrame, encode: Callable[[str], list[float]]) -> DataFrame:
+    """The procedures nearest to a fixed text; ``encode`` gives its vector."""
+    return search(nodes, SearchQuery(encode(AUTHENTICATION_TEXT), **AUTHENTICATION))
+
+
+def all_entities(nodes: DataFrame) -> DataFrame:
+    """The whole index, one row a name."""
+    return index(nodes)
+
+
+def procedure_details(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, description, steps, relationships, properties) of each of ``names`` (name) that is a procedure.
+
+    steps: (name, description) of its Step nodes in natural order; three stand-ins where it has none. relationships: the edges that touch it.
+    """
+    own = index(nodes).where("entity_type = 'Procedure'").join(names.select("name").distinct(), "name", "left_semi")
+    made = nodes.where("entity_type = 'Step'").select(F.col("properties")["procedure"].alias("name"), F.struct(tx.natural_key("name").alias("k"), F.col("name").alias("step"), "description").alias("s"))
+    made = made.join(own.select("name"), "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_list("s")).alias("found"))
+    near = edges.select(F.explode(F.array_distinct(F.array("source_name", "target_name"))).alias("name"), F.struct("source_name", "rel_type", "target_name").alias("e"))
+    near = near.join(own.select("name"), "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_list("e")).alias("relationships"))
+    plain = F.regexp_replace("name", "[ /-]", "_")
+    stand_in = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.concat(plain, F.lit("_step_"), i).alias("name"), F.concat(F.lit("Execute step "), i, F.lit(" of "), F.col("name")).alias("description")))
+    real = F.transform("found", lambda x: F.struct(x["step"].alias("name"), x["description"].alias("description")))
+    joined = own.join(made, "name", "left").join(near, "name", "left")
+    return joined.select("name", F.coalesce("description", F.concat(F.lit("3GPP procedure: "), F.col("name"))).alias("description"), F.coalesce(real, stand_in).alias("steps"), "relationships", "properties")
+
+
+def demonstration(nodes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, rank, vec_id, score, drawn): the ``k`` best of each query (query_id, q); the machine of the first is to be drawn."""
+    return batched(nodes, queries, k).withColumn("drawn", F.col("rank") == 1)
+
+
 def batched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q); the queries are few and are broadcast in one row."""
     block = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))

@@ -83,11 +83,11 @@ def step_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.parse(rows(spark, STEP_TEXTS, "procedure string, text string")).select("procedure", "number", "description", "ord")
 
 
-NAMES = [("4.2.2.2.2 General Registration", "7-12b"), ("4.2.3.2 UE Triggered (Service) Request", "7(A)"), ("Handover, Xn based", "3"), ("6.1.3.2.0 5G AKA", "7a"), ("Plain", "7b-12b")]
+NAMES = [("4.2.2.2.2 General Registration", "7-12b"), ("4.2.3.2 UE Triggered (Service) Request", "7(A)"), ("Handover, Xn based", "3"), ("6.1.3.2.0 5G AKA", "7a"), ("Plain", "7b-12b"), ("5G AKA", "1"), ("4.2 Xn - based handover", "2")]
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with t as (select title, number, replace(regexp_extract(title, '^(\\d+(?:\\.\\d+)*)', 1), '.', '') as c, replace(trim(regexp_replace(regexp_replace(regexp_replace(title, '^\\d+(?:\\.\\d+)*\\s*', ''), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ', '_') as w,
+with t as (select title, number, replace(regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\s', 1), '.', '') as c, replace(regexp_replace(regexp_replace(title, '^\\d+(?:\\.\\d+)*\\s+', ''), '[^\\w\\s]', '', 'g'), ' ', '_') as w,
   case when regexp_matches(number, '^\\d+[a-z]?$') then number when regexp_matches(number, '^\\d+[a-z]?-\\d+[a-z]?$') then replace(number, '-', '_') else regexp_replace(number, '[()]', '', 'g') end as n from {values_sql(NAMES, 'title, number')}),
 m as (select title, number, case when c <> '' then c || '_' else '' end || w || '_step_' || n as name from t)
 select title, number, name, coalesce(nullif(regexp_extract(name, '_step_([\\w-]+)$', 1), ''), '1') as back from m""")
