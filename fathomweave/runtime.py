@@ -15,12 +15,15 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Only where the session names none and is local (tests, a laptop) a temporary folder is set.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomweave-"))
             current = spark.sparkContext.getCheckpointDir()
         named = current
