@@ -22,8 +22,11 @@ class SearchQuery:
     similarity_threshold: float = 0.3
     cut: float = 0.1
     weights: dict[str, float] = field(default_factory=lambda: dict(lx.SEARCH_WEIGHTS))
+    #: A vector of its own for some of title, parent and desc; ``vector`` for the others.
+    own: dict[str, list[float]] = field(default_factory=dict)
 
 
+BLOCK = 64
 PROCEDURES = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 10}
 BY_DESCRIPTION = {"entity_types": ["Procedure"], "similarity_threshold": 0.3, "max_results": 10}
 AUTHENTICATION = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 20}
@@ -37,8 +40,7 @@ def index(nodes: DataFrame, strict: bool = False) -> DataFrame:
 
 def scored(nodes: DataFrame, query: SearchQuery) -> DataFrame:
     """Adds title_score, parent_score, desc_score and final_score; a missing vector scores 0."""
-    v = vx.literal_vector(query.vector)
-    rows = nodes.withColumns({f"{k}_score": vx.cosine(F.col(c), v) for k, c in (("title", "title_embedding"), ("parent", "parent_embedding"), ("desc", "embedding"))})
+    rows = nodes.withColumns({f"{k}_score": vx.cosine(F.col(c), vx.literal_vector(query.own.get(k, query.vector))) for k, c in (("title", "title_embedding"), ("parent", "parent_embedding"), ("desc", "embedding"))})
     w = query.weights
     return rows.withColumn("final_score", F.lit(w["title"]) * F.col("title_score") + F.lit(w["parent"]) * F.col("parent_score") + F.lit(w["description"]) * F.col("desc_score"))
 
@@ -94,9 +96,13 @@ def demonstration(nodes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame
 
 
 def batched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q); the queries are few and are broadcast in one row."""
-    block = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    pairs = vectors.crossJoin(F.broadcast(block)).select("vec_id", "embedding", F.explode("qs").alias("x"))
+    """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q).
+
+    Queries meet the rows in blocks of about BLOCK; of each part of the rows only the best of a query are shuffled.
+    """
+    blocks = -(-queries.count() // BLOCK) or 1
+    block = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    pairs = vectors.select("vec_id", "embedding").crossJoin(block.select("qs")).select("vec_id", "embedding", F.explode("qs").alias("x"))
     rows = pairs.select("x.query_id", "vec_id", vx.cosine(F.col("embedding"), F.col("x.q")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

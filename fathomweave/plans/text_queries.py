@@ -97,9 +97,9 @@ def step_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(QUERIES, ORACLE_SQL, """
-select doc_id, cast(generate_subscripts(s, 1) - 1 as integer) as sent, unnest(s) as sentence from (select doc_id, string_split_regex(text, '[.!?]') as s from documents where lang = 'en')""")
+select doc_id, cast(generate_subscripts(s, 1) - 1 as integer) as sent, unnest(s) as sentence from (select doc_id, string_split_regex(text, '[.!?]') as s from documents)""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
 
 
 @register(QUERIES, ORACLE_SQL, """
@@ -145,21 +145,21 @@ def procedure_filter_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "on", "are", "by", "this", "be", "it", "from", "as", "at", "not"]
 
 
-@register(QUERIES, ORACLE_SQL, f"select doc_id, word from documents, {word_rows(WORDS)} where lang = 'en' and regexp_matches(text, '(?i)\\b' || word || '\\b')")
+@register(QUERIES, ORACLE_SQL, f"select doc_id, word from documents, {word_rows(WORDS)} where regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || word || '(?:$|[^\\p{{L}}\\p{{N}}_])')")
 def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(extract.matches(F.col("text"), WORDS)).alias("word"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(extract.matches(F.col("text"), WORDS)).alias("word"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with t as (select doc_id, list_distinct(string_split_regex(text, '[^A-Za-z]+')) as ws from documents where lang = 'en'),
+with t as (select doc_id, list_distinct(string_split_regex(text, '[^A-Za-z]+')) as ws from documents),
 u as (select doc_id, unnest(ws) as w from t), k as (select doc_id, w, row_number() over (partition by doc_id order by w collate "binary") as rn from u where length(w) > 2 and length(w) <= 50 and lower(w) not in ({_STOP}))
 select doc_id, cast(rn - 1 as integer) as pos, w as word from k where rn <= 15""".replace(' collate "binary"', ""))
 def lexicon_merge_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", "[^A-Za-z]+")
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("ws", words)
+    d = table(spark, sf_dir, "documents").withColumn("ws", words)
     half = F.floor(F.size("ws") / 2).cast("int")
     return d.select("doc_id", F.posexplode(extract.merged(F.slice("ws", F.lit(1), half + 1), F.slice("ws", half + 1, F.size("ws")))).alias("pos", "word"))
 
@@ -172,10 +172,10 @@ def message_regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with t as (select lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) as w from documents where lang = 'en')
+with t as (select lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) as w from documents)
 select w as word, count(*) as n from t where w not in ({_STOP}) and length(w) between 2 and 50 group by w""")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     return w.where(~tx.is_stop_word(F.col("word"), lx.STOP_WORDS, lx.STOP_PHRASES)).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -223,14 +223,14 @@ _KINDS = {"the": "NetworkFunction", "and": "Key", "of": "Message", "with": "Proc
 
 @register(QUERIES, ORACLE_SQL, f"""
 with w as (select ord, word, case word {' '.join(f"when '{k}' then '{v}'" for k, v in _KINDS.items())} end as kind from {word_rows(NAMED)}),
-s as (select doc_id, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as text from (select doc_id, string_split_regex(text, '[.!?]') as ss from documents where lang = 'en')),
+s as (select doc_id, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as text from (select doc_id, string_split_regex(text, '[.!?]') as ss from documents)),
 p as (select doc_id, sent, a.word as source_name, b.word as target_name, a.kind as x, b.kind as y, lower(text) as low from s, w a, w b where a.ord < b.ord and contains(text, a.word) and contains(text, b.word))
 select doc_id as section, cast(sent as integer) as sent, source_name, target_name, case when x = 'Procedure' or y = 'Procedure' then 'PART_OF'
   when (x in ('Key', 'Parameter') and y in ('NetworkFunction', 'Actor')) or (y in ('Key', 'Parameter') and x in ('NetworkFunction', 'Actor')) then case when regexp_matches(low, 'derive|generate|compute') then 'DERIVES' else 'USES' end
   when x = 'Message' or y = 'Message' then case when regexp_matches(low, 'send|transmit|receive') then 'SENDS' else 'CONTAINS' end
   when x in ('NetworkFunction', 'Actor') and y in ('NetworkFunction', 'Actor') then 'INTERACTS_WITH' else 'RELATED_TO' end as rel_type from p""")
 def rel_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("section"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), "text")
     sents = d.select("section", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "text"))
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(w).alias("name"), F.lit(_KINDS[w]).alias("entity_type")) for i, w in enumerate(NAMED)])
     return relate.co_occurrence(d.select("section", F.inline(listed)), sents)
@@ -242,9 +242,9 @@ _TN = ["the", "and", "on", "th", "it", "is", "of", "was"]
 
 @register(QUERIES, ORACLE_SQL, " union all ".join(f"""
 select doc_id as section, z.a as source_name, z.b as target_name, '{t}' as rel_type from (select doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: {{'a': x[i], 'b': y[i]}})) as z from
-  (select doc_id, regexp_extract_all(text, '(?i){p}', 1) as x, regexp_extract_all(text, '(?i){p}', 2) as y from documents where lang = 'en')) where z.a in ({', '.join(f"'{w}'" for w in _TN)}) and z.b in ({', '.join(f"'{w}'" for w in _TN)})""" for p, t in _TEMPLATES))
+  (select doc_id, regexp_extract_all(text, '(?i){p}', 1) as x, regexp_extract_all(text, '(?i){p}', 2) as y from documents)) where z.a in ({', '.join(f"'{w}'" for w in _TN)}) and z.b in ({', '.join(f"'{w}'" for w in _TN)})""" for p, t in _TEMPLATES))
 def rel_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("section"), "text", F.array(*[F.lit(w) for w in _TN]).alias("names"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), "text", F.array(*[F.lit(w) for w in _TN]).alias("names"))
     return relate.template_pairs(d, templates=_TEMPLATES)
 
 

@@ -34,22 +34,20 @@ s as (select vec_id, label, 1.7 * list_cosine_similarity(a, qa) + 1.7 * list_cos
 select vec_id, label, round(score, 6) as score from s where score > 0.1 and score >= 0.3 and label in (0, 1, 2, 3, 4, 5) order by s.score desc, vec_id limit 10""")
 def vector_weighted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vector(spark, sf_dir, 0)
-    rows = _nodes(spark, sf_dir)
     # the three fields have their own query slices
-    w = {"title": 1.7, "parent": 1.7, "description": 16.0}
-    score = F.lit(w["title"]) * vx.cosine(F.col("title_embedding"), vx.literal_vector(v[:16])) + F.lit(w["parent"]) * vx.cosine(F.col("parent_embedding"), vx.literal_vector(v[16:32])) + F.lit(w["description"]) * vx.cosine(F.col("embedding"), vx.literal_vector(v[32:]))
-    best = rows.where("label <= 5").withColumn("score", score).where("score > 0.1 and score >= 0.3").orderBy(F.col("score").desc(), "vec_id").limit(10)
+    query = search.SearchQuery(v[32:], [str(k) for k in range(6)], own={"title": v[:16], "parent": v[16:32]})
+    best = search.search(_nodes(spark, sf_dir), query).withColumn("score", F.col("final_score"))
     return best.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @register(QUERIES, ORACLE_SQL, f"""
 with v as (select vec_id, {_D.format('embedding')} as e from embeddings),
-s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(v.e, q.e) as score from v, v q where q.vec_id < 10),
+s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(v.e, q.e) as score from v, v q where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, round(score, 6) as score from r where rank <= 5""")
 def vector_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return search.batched(e, queries, 5).withColumn("score", F.round("score", 6))
 
 
