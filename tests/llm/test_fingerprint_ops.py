@@ -277,3 +277,28 @@ def test_wide_near_classes_equal_brute_force(spark, radius):
     got = {(r["f0"], r["f1"]): r["near_class"] for r in fingerprints.near_classes(spark.createDataFrame(rows, "f0 bigint, f1 bigint, doc_id bigint"), radius).collect()}
     want = groups(range(len(values)), lambda a, b: bin(values[a] ^ values[b]).count("1") <= radius)
     assert all(got[(a, b)] == want[i] for a, b, i in rows)
+
+
+def test_registered_query_equals_brute_force(spark):
+    import math
+
+    from tests.oracle import SF
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = {r["doc_id"]: r for r in fingerprints.op9_fingerprints(spark, SF).collect()}
+    assert set(rows) == set(docs)
+    order = sorted(docs)
+    number = {d: int(rows[d]["fingerprint"], 16) for d in order}
+    like = lambda a, b: max(0.0, min(1.0, math.cos(math.pi * bin(a ^ b).count("1") / 128)))
+    edited = {}
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        text, half = docs[d], len(docs[d]) // 2
+        edited[d] = text[: len(text) - half] + docs[after][:half]
+        r = rows[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited[d].encode()).hexdigest())
+        assert math.isclose(r["near_next"], like(number[d], number[after]), abs_tol=1e-12)
+        assert math.isclose(r["near_edited"], like(number[d], int(r["edited_fingerprint"], 16)), abs_tol=1e-12)
+    prints = fingerprints.fingerprint(spark.createDataFrame(list(edited.items()), "doc_id bigint, text string"), ["doc_id"]).select("doc_id", fingerprints.text_of("f0", "f1").alias("f")).collect()
+    assert all(rows[r["doc_id"]]["edited_fingerprint"] == r["f"] for r in prints)
+    want = groups(set(order), lambda a, b: bin(number[a] ^ number[b]).count("1") <= fingerprints.RADIUS)
+    assert {d: rows[d]["near_class"] for d in order} == want
