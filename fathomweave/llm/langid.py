@@ -3,9 +3,9 @@
 For each language a tree of byte contexts up to a given order is counted on sample texts and then frozen. A
 byte costs the bits of its frequency in the longest context seen, or of an escape from it (method C: as
 many escapes as different bytes were seen there) and then of the next shorter context, down to equal
-shares. The language whose tree codes the whole text in the fewest bits wins. Since the trees are frozen
-before any text is scored, every path of escapes is worked out once, and the exact code length of a byte is
-one look-up by that byte and the bytes before it.
+shares of the 256 bytes. The language whose tree codes the whole text in the fewest bits wins. A tree holds
+the contexts that were seen and nothing else, as sorted arrays, so neither the number of languages nor that of
+different bytes changes its order; the distinct windows of a block of texts are looked up once for each language.
 """
 
 from __future__ import annotations
@@ -23,46 +23,79 @@ from fathomweave.llm.folds import held_out, sample_by_class
 from fathomweave.runtime import ship
 
 LETTER = re.compile(r"[^\W\d_]")
-SYMBOLS = 40
+MOST_ORDER = 7
 BLOCK = 1 << 19
 UNDETERMINED = "und"
 
 
+@dataclass
+class Tree:
+    """For contexts of 0, 1, ... bytes: windows (context and byte) seen, with their bits; contexts seen, with the bits of an escape."""
+
+    windows: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def cost(self, windows: np.ndarray) -> np.ndarray:
+        """The code length of the last byte of each window, in bits."""
+        out = np.zeros(len(windows))
+        left = np.arange(len(windows))
+        for k in reversed(range(len(self.windows))):
+            key = _shorter(windows[left], k)
+            at, hit = _find(self.windows[k], key)
+            out[left[hit]] += self.bits[k][at[hit]]
+            left, key = left[~hit], key[~hit]
+            at, known = _find(self.contexts[k], key >> key.dtype.type(8))
+            out[left[known]] += self.escapes[k][at[known]]
+        out[left] += 8
+        return out
+
+
+def _shorter(windows: np.ndarray, k: int) -> np.ndarray:
+    """The last byte of each window after its last ``k`` ones."""
+    return windows & windows.dtype.type((1 << 8 * (k + 1)) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _windows(data: np.ndarray, order: int) -> np.ndarray:
+    """Each byte of ``data`` from the one at ``order`` on, after the ``order`` bytes before it, as one number."""
+    n = len(data) - order
+    out = np.zeros(n, np.uint32 if order < 4 else np.uint64)
+    for back in range(order, -1, -1):
+        out = out << out.dtype.type(8) | data[order - back : order - back + n]
+    return out
+
+
 @dataclass
 class PartialMatch:
-    """languages; symbol: class of each byte; bits: for each language the code length of a byte after ``order`` bytes."""
+    """languages, the tree of each, and how many bytes its longest contexts have; blanks stand before a text."""
 
     languages: list[str]
-    symbol: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
     order: int
 
-    def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(texts, languages): bits of each text; ``data``: bytes of all, ``starts``: where each begins; none is empty."""
-        k, n = self.order, len(data)
-        symbols = self.symbol[data].astype(np.int32)
-        place = np.zeros(n, np.int32)
-        at = np.arange(n, dtype=np.int32) - np.repeat(starts, np.diff(np.append(starts, n))).astype(np.int32)
-        for back in range(k, -1, -1):
-            place *= SYMBOLS
-            if back:
-                before = np.zeros(n, np.int32)
-                before[back:] = symbols[:-back]
-                place += np.where(at >= back, before, 0)
-            else:
-                place += symbols
-        return np.stack([np.add.reduceat(b[place], starts, dtype=np.float64) for b in self.bits], axis=1)
+    def code_lengths(self, texts: list[bytes], lead: bytes | None = None) -> np.ndarray:
+        """(texts, languages): bits of each of ``texts``, none of them empty; ``lead``: the ``order`` bytes before each."""
+        lead = b" " * self.order if lead is None else lead
+        data = np.frombuffer(lead.join([b"", *texts]), np.uint8)
+        windows, place = np.unique(_windows(data, self.order), return_inverse=True)
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes + self.order) - sizes - self.order
+        # what ends in the lead of the next text is no byte of a text
+        ends = np.stack([starts, starts + sizes], axis=1).ravel()
+        return np.stack([np.add.reduceat(np.append(t.cost(windows)[place], 0.0), ends)[::2] for t in self.trees], axis=1)
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """The language and its share of the likelihood, flattened since bytes of a word are far from independent."""
         total = np.zeros(len(self.languages))
-        for at in range(0, len(text), BLOCK):
-            # the bytes before a block are its first context; their own costs are left out
-            lead = min(at, self.order)
-            data = np.frombuffer(text[at - lead : at + BLOCK], np.uint8)
-            total += self.code_lengths(data, np.array([0]))[0]
-            if lead:
-                total -= self.code_lengths(data[:lead], np.array([0]))[0]
+        text = b" " * self.order + text
+        for at in range(self.order, len(text), BLOCK):
+            total += self.code_lengths([text[at : at + BLOCK]], text[at - self.order : at])[0]
         return self.verdict(total)
 
     def verdict(self, total: np.ndarray) -> tuple[str, float]:
@@ -70,42 +103,30 @@ class PartialMatch:
         return self.languages[best], float(1 / np.exp2(np.maximum(-1000, (total[best] - total) / 4)).sum())
 
 
-def train(samples: dict[str, list[bytes]], order: int = 3, table_bytes: int = 64 << 20) -> PartialMatch:
-    """Counts the trees; the order is lowered where the look-up tables of all languages would exceed ``table_bytes``."""
+def train(samples: dict[str, list[bytes]], order: int = 3) -> PartialMatch:
+    """Counts the tree of each language on its texts; ``order``: 0 to 7 bytes."""
+    if not 0 <= order <= MOST_ORDER:
+        raise ValueError(f"order must be 0 to {MOST_ORDER}")
     languages = sorted(samples)
-    while order and len(languages) * SYMBOLS ** (order + 1) * 4 > table_bytes:
-        order -= 1
-    fold = np.arange(256)
-    fold[ord("A") : ord("Z") + 1] += 32
-    for c in range(128):
-        if not chr(c).isalpha():
-            fold[c] = ord("0") if chr(c).isdigit() else ord(" ") if chr(c).isspace() else ord(".")
-    seen = sum((np.bincount(fold[np.frombuffer(t, np.uint8)], minlength=256) for ts in samples.values() for t in ts), np.zeros(256, np.int64))
-    kept = [int(c) for c in np.argsort(-seen, kind="stable")[: SYMBOLS - 2] if seen[c] and c != ord(" ")]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)  # all other bytes
-    for i, c in enumerate(kept):
-        symbol[fold == c] = i + 1
-    symbol[fold == ord(" ")] = 0  # and what stands before a text
-    bits = []
+    trees = []
     for language in languages:
-        counts = [np.zeros(SYMBOLS ** (k + 1), np.int64) for k in range(order + 1)]
-        for t in samples[language]:
-            s = np.concatenate([np.zeros(order, np.int64), symbol[np.frombuffer(t, np.uint8)]])
-            n = len(s) - order
-            for k in range(order + 1):
-                place = np.zeros(n, np.int64)
-                for back in range(k, -1, -1):
-                    place = place * SYMBOLS + s[order - back : order - back + n]
-                np.add.at(counts[k], place, 1) if n < 4096 else counts[k].__iadd__(np.bincount(place, minlength=len(counts[k])))
-        share = np.full(SYMBOLS, 1 / SYMBOLS)
+        # one text at a time, so that no window spans two
+        found = [np.unique(_windows(np.frombuffer(b" " * order + t, np.uint8), order), return_counts=True) for t in samples[language] if t]
+        windows, place = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([n for _, n in found]))
+        tree = Tree([], [], [], [])
         for k in range(order + 1):
-            by = counts[k].reshape(-1, SYMBOLS)
-            total, kinds = by.sum(axis=1, keepdims=True), (by > 0).sum(axis=1, keepdims=True)
-            shorter = np.tile(share.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if k else share.reshape(1, -1)
-            both = np.maximum(total + kinds, 1)
-            share = np.where(total == 0, shorter, np.where(by > 0, by / both, kinds / both * shorter))
-        bits.append(-np.log2(share).ravel().astype(np.float32))
-    return PartialMatch(languages, symbol, np.array(bits), order)
+            seen, place = np.unique(_shorter(windows, k), return_inverse=True)
+            n = np.bincount(place, counts)
+            contexts, place = np.unique(seen >> seen.dtype.type(8), return_inverse=True)
+            kinds = np.bincount(place)
+            all_ = np.bincount(place, n) + kinds
+            tree.windows.append(seen)
+            tree.bits.append(-np.log2(n / all_[place]))
+            tree.contexts.append(contexts)
+            tree.escapes.append(-np.log2(kinds / all_))
+        trees.append(tree)
+    return PartialMatch(languages, trees, order)
 
 
 def fit(docs: DataFrame, per_language: int = 500, longest: int = 1 << 16, order: int = 3) -> PartialMatch | None:
@@ -136,8 +157,7 @@ def identify(docs: DataFrame, model: PartialMatch | None) -> DataFrame:
         def verdicts(texts: list[bytes]) -> list[tuple[str, float]]:
             if len(texts) == 1:
                 return [model.predict(texts[0])]
-            starts = np.cumsum([0, *map(len, texts[:-1])])
-            return [model.verdict(x) for x in model.code_lengths(np.frombuffer(b"".join(texts), np.uint8), starts)]
+            return [model.verdict(x) for x in model.code_lengths(texts)]
 
         for batch in batches:
             found: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * batch.num_rows

@@ -160,7 +160,7 @@ def test_language(spark):
 def test_code_length_by_definition():
     text = b"abracadabra abracadabra"
     model = langid.train({"x": [text]}, order=2)
-    s = [0, 0, *(int(model.symbol[b]) for b in text)]
+    s = [32, 32, *text]
     seen = {}
     for i in range(2, len(s)):
         for k in range(3):
@@ -172,21 +172,40 @@ def test_code_length_by_definition():
         n, kinds = sum(seen[context].values()), len(seen[context])
         if seen[context][c]:
             return seen[context][c] / (n + kinds)
-        return kinds / (n + kinds) * (share(context[1:], c) if context else 1 / langid.SYMBOLS)
+        return kinds / (n + kinds) * (share(context[1:], c) if context else 1 / 256)
 
     other = b"cab bard xyz"
-    t = [0, 0, *(int(model.symbol[b]) for b in other)]
+    t = [32, 32, *other]
     want = sum(-np.log2(share(tuple(t[i - 2 : i]), t[i])) for i in range(2, len(t)))
-    got = model.code_lengths(np.frombuffer(text + other, np.uint8), np.array([0, len(text)]))
-    assert abs(got[1, 0] - want) < 1e-3
+    got = model.code_lengths([text, other, b"c"])
+    assert abs(got[1, 0] - want) < 1e-6 and abs(got[2, 0] + np.log2(share((32, 32), 99))) < 1e-6
     long = (text + other) * 5000
-    whole = model.code_lengths(np.frombuffer(long, np.uint8), np.array([0]))[0, 0]
+    whole = model.code_lengths([long])[0, 0]
     seen_blocks = []
     model.verdict = lambda total: seen_blocks.append(total[0])
     langid.BLOCK, kept = 1 << 14, langid.BLOCK
     model.predict(long)
     langid.BLOCK = kept
-    assert abs(seen_blocks[0] - whole) < 1
+    assert abs(seen_blocks[0] - whole) < 1e-3
+
+
+def test_order_stays_with_many_languages():
+    r = random.Random(8)
+    scripts = [range(0x61, 0x7B)] * 6 + [range(0x430, 0x450)] * 2 + [range(0x3B1, 0x3CA), range(0x4E00, 0x4E60)]
+    lists = [["".join(chr(r.choice(s)) for _ in range(r.randint(2, 6))) for _ in range(40)] for s in scripts]
+    speak = lambda k, n: " ".join(r.choice(lists[k]) for _ in range(n)).encode()
+    model = langid.train({f"l{k}": [speak(k, 80) for _ in range(10)] for k in range(len(scripts))})
+    assert model.order == 3 and all(len(t.windows) == 4 for t in model.trees)
+    for k in range(len(scripts)):
+        assert all(model.predict(speak(k, 30))[0] == f"l{k}" for _ in range(5))
+    with pytest.raises(ValueError):
+        langid.train({"x": [b"a"]}, order=8)
+
+
+def test_languages_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.op3_langid(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    assert got.where("lang_pred = lang").count() >= 0.98 * got.count() > 0
 
 
 def measured(text):
