@@ -23,7 +23,8 @@ from fathomweave.runtime import drop_table, write_table
 
 BITS = 128
 LANE = (1 << 32) | 1
-PER_BUCKET, MOST_BUCKETS = 4000, 4096
+#: Rows in a range of doc_id, and into how many parts a level of ranges is cut at most.
+PER_BUCKET, MOST_PARTS = 4000, 4096
 #: A replaced word moves about 7 bits of 128 in a text of 100 words, 5 in one of 200; unlike texts differ in about 64.
 RADIUS = 11
 
@@ -72,33 +73,49 @@ def text_of(f0: str, f1: str) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in (f1, f0)])
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """How many of ``bounds`` (sorted) are at most doc_id, by halving; 0 for null."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    values = f"array({', '.join(f'{b}L' for b in bounds)})"
+def _reached(values: str, most: int) -> Column:
+    """SQL: how many of ``values`` (sorted, at most ``most``) are at most doc_id, by halving; 0 for null."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))] or [0]
     return F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (at, s) -> if(coalesce(get({values}, at + s - 1) <= doc_id, false), at + s, at))")
 
 
+def _cuts(parts: int) -> Column:
+    """Values of doc_id that cut rows into about ``parts`` equal ones; each but the first part starts with its value."""
+    found = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.max(F.array().cast("array<bigint>"))
+    return F.struct(F.min("doc_id").alias("lo"), F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>")))).alias("all"))
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """b, at, ghost, doc_id, text, next_text: each row with the text of the next by doc_id, the last with the first.
 
     Rows are dealt into ranges of doc_id, each with a second copy of the first row of the next range ("ghost"),
-    so one shuffle of the texts does. Null doc_id comes first; rows of one doc_id stand in the order of a hash
-    of their text.
+    so one shuffle of the texts does. The ranges are cut in two levels, so that up to 67 billion rows they stay
+    at some ``PER_BUCKET`` rows. Null doc_id comes first; rows of one doc_id stand in the order of a hash of their text.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // PER_BUCKET)))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 20 * MOST_BUCKETS)).first()[0] or [])) if shares else []
-    dealt = rows.withColumn("b", _bucket(bounds))
-    # at most MOST_BUCKETS rows
-    firsts = dealt.select("b", "doc_id").groupBy("b").agg(F.min(F.struct("doc_id")).alias("first")).select("b", "first.doc_id")
-    last = Window.partitionBy(F.lit(0))
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("b").over(last.orderBy("b")), F.max("b").over(last))).select(F.col("doc_id").alias("first_id"), "before", F.lit(True).alias("is_first"))
-    known = dealt.join(F.broadcast(firsts), dealt["doc_id"].eqNullSafe(firsts["first_id"]), "left")
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = max(1, -(-n // PER_BUCKET))
+    parts = min(MOST_PARTS, ranges)
+    within = min(MOST_PARTS, -(-ranges // parts))
+    first, cuts = rows.agg(_cuts(parts).alias("x")).select("x.lo", "x.all").first()
+    bounds = [b for b in cuts or [] if b > first]  # at most MOST_PARTS
+    literal = f"array({', '.join(f'{b}L' for b in bounds)})" if bounds else "cast(array() as array<bigint>)"
+    dealt = rows.withColumn("part", _reached(literal, len(bounds)))
+    if within > 1:
+        # at most MOST_PARTS rows, each of at most as many numbers
+        finer = dealt.select("part", "doc_id").groupBy("part").agg(_cuts(within).alias("x")).select("part", F.expr("filter(x.all, c -> c > x.lo)").alias("cuts"))
+        whole = Window.partitionBy(F.lit(0))
+        finer = finer.withColumn("prior", F.coalesce(F.lag(F.size("cuts")).over(whole.orderBy("part")), F.max_by(F.size("cuts"), "part").over(whole)))
+        dealt = dealt.join(F.broadcast(finer), "part")
+    else:
+        dealt = dealt.withColumns({"cuts": F.array().cast("array<bigint>"), "prior": F.lit(0)})
+    dealt = dealt.withColumn("sub", _reached("cuts", within - 1))
+    least = F.lit(None if nulls else first).cast("bigint")
+    start = F.when(F.col("sub") > 0, F.expr("get(cuts, sub - 1)")).when(F.col("part") > 0, F.expr(f"get({literal}, part - 1)")).otherwise(least)
+    known = dealt.select(
+        "doc_id", "text", (F.col("part") * within + F.col("sub")).alias("b"), F.col("doc_id").eqNullSafe(start).alias("is_first"),
+        F.when(F.col("sub") > 0, F.col("part") * within + F.col("sub") - 1).otherwise(F.pmod(F.col("part") - 1, F.lit(len(bounds) + 1)) * within + F.col("prior")).alias("before"),
+    )
     places = F.expr("inline(if(is_first, array(struct(b as b, false as ghost), struct(before as b, true as ghost)), array(struct(b as b, false as ghost))))")
     both = known.select("doc_id", "text", places)
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

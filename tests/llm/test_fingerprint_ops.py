@@ -302,3 +302,17 @@ def test_registered_query_equals_brute_force(spark):
     assert all(rows[r["doc_id"]]["edited_fingerprint"] == r["f"] for r in prints)
     want = groups(set(order), lambda a, b: bin(number[a] ^ number[b]).count("1") <= fingerprints.RADIUS)
     assert {d: rows[d]["near_class"] for d in order} == want
+
+
+@pytest.mark.parametrize(("per", "parts"), [(3, 4), (5, 100), (1, 7), (4000, 4096)])
+def test_next_over_ranges_of_two_levels(spark, monkeypatch, per, parts):
+    monkeypatch.setattr(fingerprints, "PER_BUCKET", per)
+    monkeypatch.setattr(fingerprints, "MOST_PARTS", parts)
+    r = random.Random(per)
+    ids = r.sample(range(-500, 5000), 47)
+    for docs in (ids, [*ids, None], [7], [7, 8], [None]):
+        rows = [(i, f"text {i}") for i in docs]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        got = {x["doc_id"]: x["next_text"] for x in fingerprints.beside_next(df).where("not ghost").collect()}
+        order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+        assert got == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
