@@ -61,6 +61,19 @@ def directory(items: DataFrame, limit: int) -> DataFrame:
     return leaves
 
 
+def _sized() -> list[Column]:
+    return [F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"), path().alias("path")]
+
+
+def _placed(items: DataFrame, limit: int) -> DataFrame:
+    """``items`` (path, n_bytes and more) with shard, depth, shard_bytes and shard_docs, each row once."""
+    leaves, _ = write_table(directory(items.select("path", "n_bytes"), limit), "directory")
+    depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most 61
+    tried = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"))])
+    placed = items.select("*", F.inline(tried)).join(leaves, ["depth", "prefix"])
+    return placed.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')")))
+
+
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs for every row of ``docs`` (doc_id, text).
 
@@ -68,20 +81,21 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     bucket). Every shard holds at most ``limit`` bytes, or one row. Repeated rows are placed one by one; other
     columns are ignored; an empty table gives no shards.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"), path().alias("path"))
-    items, _ = write_table(rows, "items")
-    leaves, _ = write_table(directory(items, limit), "directory")
-    depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most 61
-    tried = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"))])
-    placed = items.select("doc_id", "n_bytes", F.inline(tried)).join(leaves, ["depth", "prefix"])
-    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))
-    return placed.select("doc_id", "n_bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_docs")
+    items, _ = write_table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_sized()), "items")
+    return _placed(items, limit).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
-    """Writes the rows of ``docs`` with a shard column under ``folder``, one directory for each shard; doc_id must be unique."""
-    placed = shard(docs, limit).select("doc_id", F.concat(F.lit("s"), "shard").alias("shard"))
-    docs.join(placed, "doc_id").repartition("shard").write.partitionBy("shard").parquet(folder)
+    """Writes each row of ``docs`` once, with all its columns, under ``folder``: one directory ``shard=s<bits>`` for each shard.
+
+    Rows are placed themselves, not by doc_id, so repeated rows and null ids are all kept. A column of ``docs``
+    named shard goes by the name shard_ within the files. An empty table writes none.
+    """
+    rows, _ = write_table(docs.select(F.struct("*").alias("row"), *_sized()), "rows")
+    out = _placed(rows, limit)
+    taken = next(c for c in ("shard", "shard_", "shard__") if c.lower() not in {x.lower() for x in docs.columns})
+    own = [F.col("row")[c].alias(taken if c.lower() == "shard" else c) for c in docs.columns]
+    out.select(*own, F.concat(F.lit("s"), F.col("shard")).alias("shard")).repartition("shard").write.partitionBy("shard").parquet(folder)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathomweave.llm import langid, linededup, mixing, packing, quality, sharding, toxicity
 from fathomweave.llm.encode import Encoder, default_tokenizer, pack
@@ -252,6 +253,17 @@ def test_sharding(spark, limit):
     assert sharding.shard(empty(spark), limit).count() == 0
 
 
+def test_written_shards_hold_every_row(spark):
+    rows = [*odd_rows(), *odd_rows()[:2]]
+    docs = spark.createDataFrame(rows, odd(spark).schema).withColumn("shard", F.lit(5)).withColumn("path", F.lit("p"))
+    folder = new_path(spark, "shards")
+    sharding.write_shards(docs, folder, 200)
+    back = spark.read.parquet(folder)
+    plain = lambda df: Counter(map(repr, df.collect()))
+    assert plain(back.withColumn("shard", F.col("shard_")).select(docs.columns)) == plain(docs)
+    assert back.select("shard").distinct().count() > 1
+
+
 def test_one_key_is_split(spark):
     docs = spark.createDataFrame([(7, "x" * 100)] * 200, "doc_id bigint, text string")
     sizes = Counter(r["shard"] for r in sharding.shard(docs, 2000).collect())
