@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -73,3 +74,71 @@ def answers(df: DataFrame, prompt: Column, out: str, load: Callable[[], Callable
             yield pd.Series(model(list(prompts)))
 
     return df.withColumn(out, run(prompt))
+
+
+TOKEN = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("lemma", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("dep", T.StringType()), T.StructField("head", T.IntegerType())]))
+ENTITY = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def plain_parse(text: str, verbs: list[str]) -> list[tuple]:
+    """Stand-in for a dependency parser: in each sentence a known verb takes the nearest capitalised word on either side as subject and object."""
+    forms = {f: v for v in verbs for f in (v, v + "s", v + "es", v + "ed", v + "ing", v.removesuffix("e") + "ed", v.removesuffix("e") + "ing")} | {"sent": "send"}
+    out: list[tuple] = []
+    for sentence in re.split(r"[.!?]", text):
+        words = re.findall(r"[^\s,;:()]+", sentence)
+        first = len(out)
+        tokens = [[first + k, w, forms.get(w.lower(), w.lower()), "VERB" if w.lower() in forms else "NOUN", "dep", first + k] for k, w in enumerate(words)]
+        named = [k for k, t in enumerate(tokens) if t[3] == "NOUN" and t[1][0].isupper()]
+        for k in (k for k, t in enumerate(tokens) if t[3] == "VERB"):
+            for dep, near in (("nsubj", max((x for x in named if x < k), default=None)), ("dobj", min((x for x in named if x > k), default=None))):
+                if near is not None and tokens[near][4] == "dep":
+                    tokens[near][4:] = [dep, first + k]
+        out += map(tuple, tokens)
+    return out
+
+
+def plain_recognise(text: str) -> list[tuple[str, float]]:
+    """Stand-in for an entity recogniser: words of capitals, digits and marks, with a score of 1."""
+    return [(w, 1.0) for w in re.findall(r"(?<![\w-])[A-Z][A-Z0-9_-]+\*?(?![\w-])", text)]
+
+
+def _mapped(df: DataFrame, text: str, out: str, kind: T.DataType, load: Callable[[], Callable[[str], list]]) -> DataFrame:
+    ship(df.sparkSession)
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else model(t))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def parse(df: DataFrame, text: str, out: str, verbs: list[str], load: Callable[[], Callable[[str], list]] | None = None) -> DataFrame:
+    """Adds a text's tokens (i, word, lemma, pos, dep, head: i of the token it hangs on); ``load`` makes the parser once for each worker."""
+    return _mapped(df, text, out, TOKEN, load or (lambda: lambda t: plain_parse(t, verbs)))
+
+
+def recognise(df: DataFrame, text: str, out: str, load: Callable[[], Callable[[str], list]] | None = None) -> DataFrame:
+    """Adds what an entity recogniser finds in a text (word, score); ``load`` makes it once for each worker."""
+    return _mapped(df, text, out, ENTITY, load or (lambda: lambda t: plain_recognise(t)))
+
+
+def first_available(loaders: list[Callable[[], Callable]], probe: object) -> Callable[[], Callable]:
+    """A loader that takes the first of ``loaders`` whose model can be made and answers ``probe``; the errors of others become warnings.
+
+    Raises RuntimeError where none can, so that no row goes without an answer unnoticed.
+    """
+
+    def load() -> Callable:
+        for place, one in enumerate(loaders):
+            try:
+                model = one()
+                model(probe)
+            except Exception as e:  # a model may fail in any way; the next one is tried
+                warnings.warn(f"model {place} can't be used: {type(e).__name__}: {e}", stacklevel=2)
+            else:
+                return model
+        raise RuntimeError("no model can be used")
+
+    return load

@@ -117,5 +117,29 @@ TYPE_PATTERNS = [
     ("Message", r"\b\w+\s+(?:request|response|indication|confirm)\b"),
     ("Actor", r"\b(?:UE|gNB|ng-eNB|USIM|ME|NG-RAN|DN|AF)\b"),
 ]
+#: Verbs and the relation that each stands for between its subject and its object.
+VERB_RELATIONS = {
+    "COMMUNICATES_WITH": ["send", "transmit", "receive", "forward"],
+    "DERIVES": ["derive", "generate", "compute", "calculate"],
+    "CONTAINS": ["contain", "include", "comprise"],
+    "PARTICIPATES_IN": ["participate", "involve", "engage"],
+    "AUTHENTICATES": ["authenticate", "verify", "validate"],
+}
+SUBJECTS = ["nsubj", "nsubjpass"]
+OBJECTS = ["dobj", "pobj", "attr"]
+#: A line that starts a step; words at its start, and within it, that tie it to what was said before.
+STEP_STARTS = [r"^\d+[a-z]*\.\s+", r"^Step\s+\d+"]
+CONNECTORS = [
+    r"^(after|before|when|once|since|until|while)",
+    r"^(if|unless|provided|given)",
+    r"^(also|additionally|furthermore|moreover)",
+    r"^(however|nevertheless|nonetheless|although)",
+    r"^(this|that|these|those|such|the\s+\w+)",
+]
+BACK_REFERENCES = [
+    r"\b(this|that|these|those|such|the\s+above|the\s+following)\b",
+    r"\b(it|they|them|its|their)\b",
+    r"\b(the\s+\w+\s+mentioned|as\s+described|as\s+stated)\b",
+]
 SEARCH_WEIGHTS = {"title": 1.7, "parent": 1.7, "description": 16.0}
 # End of the fixed values.

@@ -39,9 +39,18 @@ def score(sections: DataFrame, title_words: list[str] = lx.TITLE_WORDS, text_wor
     return rows.withColumn("is_procedure", forced | ((F.col("score") >= F.col("threshold")) & F.col("passed")))
 
 
-def identify(sections: DataFrame, named: Column | None = None) -> DataFrame:
+def of_document(sections: DataFrame, document: str) -> DataFrame:
+    return sections.where(F.col("document") == document)
+
+
+def routes(sections: DataFrame, named: Column, **lists: list[str]) -> DataFrame:
+    """One row: how many sections with a figure an annotator named, and how many only the score did."""
+    return identify(sections, named, **lists).agg(F.count_if(named.isNotNull()).alias("by_model"), F.count_if(named.isNull()).alias("by_score"))
+
+
+def identify(sections: DataFrame, named: Column | None = None, **lists: list[str]) -> DataFrame:
     """The sections with a figure that are procedures, with procedure_name: what an annotator says, else the title if the score does."""
-    rows = score(sections.where("has_figure"))
+    rows = score(sections.where("has_figure"), **lists)
     fallback = F.when(F.col("is_procedure"), F.col("title"))
     return rows.withColumn("procedure_name", F.coalesce(named, fallback) if named is not None else fallback).where("procedure_name is not null")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 
 # Fixed values.
@@ -100,3 +101,18 @@ def is_procedural(c: Column) -> Column:
 def mentions_both(text: Column, a: Column, b: Column) -> Column:
     """True if some sentence holds both."""
     return F.exists(tx.sentences(F.lower(text)), lambda s: s.contains(F.lower(a)) & s.contains(F.lower(b)))
+
+
+def is_continuation(line: Column, likeness: Column | None = None) -> Column:
+    """True if a line goes on with the step before it; ``likeness``: cosine to that step's text, over 0.7 settles it.
+
+    A null line or one of fewer than five characters goes on, one that starts like a step doesn't; else three
+    tenths for a connector at its start, four for a reference back and two for under 100 characters must exceed a half.
+    """
+    own = tx.strip(F.coalesce(line, F.lit("")))
+    low = F.lower(own)
+    said = lambda c, patterns: F.greatest(*[c.rlike("(?U)" + p).cast("int") for p in patterns])
+    tenths = 3 * said(low, lx.CONNECTORS) + 4 * said(low, lx.BACK_REFERENCES) + 2 * (F.length(own) < 100).cast("int")
+    alike = F.lit(False) if likeness is None else F.coalesce(likeness > 0.7, F.lit(False))
+    starts = F.greatest(*[own.rlike("(?iU)" + p).cast("int") for p in lx.STEP_STARTS]) == 1
+    return F.when(F.length(own) < 5, True).when(starts, False).when(alike, True).otherwise(tenths > 5)

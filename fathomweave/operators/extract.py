@@ -118,9 +118,28 @@ def classified(name: Column, context: Column) -> Column:
     low = F.lower(context)
     return (
         F.when(F.upper(name).isin(lx.RECOGNISED_FUNCTIONS), "NetworkFunction").when(name.startswith("K_") | name.endswith("*"), "Key").when(low.contains("procedure"), "Procedure")
-        .when(low.rlike("parameter|identifier|value"), "Parameter").when(low.rlike("request|response|message"), "Message").when(F.upper(name).isin("UE", "GNB", "USIM", "ME"), "Actor").otherwise("Entity")
+        .when(low.rlike("parameter|identifier|value"), "Parameter").when(low.rlike("request|response|message"), "Message").when(F.upper(name).isin("UE", "GNB", "NG-ENB", "USIM", "ME", "NG-RAN", "DN", "AF"), "Actor").otherwise("Entity")
     )
 
 
 def mapped_label(label: Column) -> Column:
     return F.when(label == "ORG", "Actor").when(label == "PRODUCT", "Entity").when(label == "EVENT", "Procedure").when(label.isin("PERSON", "GPE"), None).otherwise("Entity")
+
+
+def substantial(sections: DataFrame, text: str = "text", least: int = 50) -> DataFrame:
+    """The sections of at least ``least`` characters; the others give neither entities nor relations."""
+    return sections.where(F.length(text) >= least)
+
+
+def pieces(sections: DataFrame, key: str = "section", text: str = "text", size: int = 512) -> DataFrame:
+    """(key, piece, context): the text in pieces of ``size`` characters, as a recogniser takes them; those of fewer than ten characters without blanks around are left out."""
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))), lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))
+    rows = sections.where(F.length(text) > 0).select(key, F.posexplode(starts).alias("piece", "context"))
+    return rows.where(F.length(tx.strip(F.col("context"))) >= 10)
+
+
+def from_recogniser(found: DataFrame, key: str = "section", hits: str = "hits") -> DataFrame:
+    """(key, name, entity_type, method_ord, pos) of a recogniser's hits (word, score) in pieces: scores over 0.8, names of over two characters, the first hit of a name."""
+    rows = found.select(key, "piece", "context", F.posexplode(hits).alias("at", "h")).withColumn("name", tx.strip(F.col("h.word")))
+    rows = rows.where((F.col("h.score") > 0.8) & (F.length("name") > 2))
+    return first_hit(rows.select(key, "name", classified(F.col("name"), F.col("context")).alias("entity_type"), F.lit(1).alias("method_ord"), (F.col("piece") * 1000000 + F.col("at")).alias("pos")), key)

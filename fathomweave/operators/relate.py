@@ -142,3 +142,20 @@ def derives(rows: DataFrame, names: str = "names", text: str = "text", key: str
     placed = placed.withColumn("third", F.expr("array_min(filter(es, e -> e.name <> before.name and e.name <> after.name))"))
     two = F.expr("inline(array(struct(before.name as source_name, after.name as target_name, 'DERIVES' as rel_type), struct(after.name as source_name, third.name as target_name, 'DERIVED_FROM' as rel_type)))")
     return placed.select(key, "sent", two).where("target_name is not null")
+
+
+def verb_relations(rows: DataFrame, key: str, names: str = "names", tokens: str = "tokens") -> DataFrame:
+    """(key, at, source_name, target_name, rel_type, verb, confidence) of each listed verb whose subject and object are both among the row's names.
+
+    tokens: array of struct (i, word, lemma, pos, dep, head) of a dependency parse; ``key`` tells rows apart. Where
+    several children qualify, the last one counts; a verb with one thing at both ends gives nothing.
+    """
+    kinds = {v: t for t, verbs in lx.VERB_RELATIONS.items() for v in verbs}
+    verbs = F.filter(tokens, lambda t: (t["pos"] == "VERB") & t["lemma"].isin(list(kinds)))
+    ends = F.filter(tokens, lambda t: t["dep"].isin(lx.SUBJECTS + lx.OBJECTS) & F.array_contains(F.col(names), t["word"]))
+    heads = rows.select(key, F.map_from_entries(F.transform(verbs, lambda t: F.struct(t["i"], t["lemma"]))).alias("verbs"), F.explode(ends).alias("t"))
+    hung = heads.select(key, F.col("t.head").alias("at"), F.try_element_at("verbs", F.col("t.head")).alias("verb"), "t").where("verb is not null")
+    last = lambda deps: F.max_by("t.word", F.when(F.col("t.dep").isin(deps), F.col("t.i")))
+    both = hung.groupBy(key, "at", "verb").agg(last(lx.SUBJECTS).alias("source_name"), last(lx.OBJECTS).alias("target_name"))
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return both.where("source_name <> target_name").select(key, "at", "source_name", "target_name", F.element_at(kind, F.col("verb")).alias("rel_type"), "verb", F.lit(0.8).alias("confidence"))

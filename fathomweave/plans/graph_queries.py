@@ -57,11 +57,11 @@ def edge_endpoint_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(few, nodes).groupBy("rel_type").agg(F.sum("k").alias("n"))
 
 
-@register(QUERIES, ORACLE_SQL, "select o_orderkey, 'target' as missing from orders where o_custkey % 10 <> 0 and o_orderstatus = 'F'")
+@register(QUERIES, ORACLE_SQL, "select o_orderkey, 'target' as missing from orders where o_custkey % 10 <> 0")
 def edge_missing_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    orders = table(spark, sf_dir, "orders")
     edges = orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("source_name"), F.concat(F.lit("c"), F.col("o_custkey")).alias("target_name"), "o_orderkey")
-    nodes = orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("name")).union(table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("o_custkey"))))
+    nodes = orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("name")).union(orders.where("o_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("o_custkey"))))
     return graph.missing_ends(edges, nodes).select("o_orderkey", "missing")
 
 
@@ -151,8 +151,3 @@ def graph_clear_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = both.select("name", F.create_map(F.lit("procedure"), F.concat(F.lit("proc"), F.col("k"))).alias("properties"))
     edges = li.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source_name"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target_name"), "l_returnflag")
     return graph.distribution(graph.clear_procedure(nodes, edges, "proc1")[1], "l_returnflag")
-
-
-@register(QUERIES, ORACLE_SQL, "select lang, count(*) as n, sum(case when n_chars > 2000 then 1 else 0 end) as long_docs from documents group by lang")
-def identification_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long_docs"))

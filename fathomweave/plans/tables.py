@@ -36,6 +36,11 @@ def values_sql(values: list[tuple], columns: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(quoted, v)) + ")" for v in values) + f") as t({columns})"
 
 
+def pick(number: str, values: list[str]) -> str:
+    """SQL of both engines: one of ``values`` by the remainder of a number that isn't negative."""
+    return f"case ({number}) % {len(values)} " + " ".join(f"when {i} then {quoted(v)}" for i, v in enumerate(values)) + " end"
+
+
 #: Words of conversations that stand for parameters, keys and messages.
 PARAMETERS = ["ation", "the", "que", "ing", "und", "ent"]
 KEYS = ["ble", "eau", "sch"]

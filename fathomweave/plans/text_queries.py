@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 from fathomweave.operators import classify, extract, packets, relate, sections, steps
-from fathomweave.plans.tables import register, rows, table, values_sql, word_rows
+from fathomweave.plans.tables import pick, register, table, word_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -42,37 +42,39 @@ def section_v3_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(tx.header_rules(F.lit("Normal"), F.col("text")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-CAPTIONS = [("Figure 6.1.3.2-1: 5G AKA", "6.1.3.2.0"), ("see Figure 4.2.3.2-1", "4.22.9.2"), ("figure 4.2.2.2.2-1 Registration", "4.2.2.2.2"), ("Figure A.1-1", "A.1"), ("no caption", "1"), ("Figure 5.3.1a-2:", "5.3.1a"), ("Figure 7.1", "7.1.0b")]
+_CLAUSE = f"(o_orderkey % 7 + 1) || '.' || (o_custkey % 5) || {pick('o_orderkey', ['', '.0', '.0b', '.2a', '.3.1'])}"
+_CAPTION = f"{pick('o_custkey + o_orderkey', ['Figure ', 'see Figure ', 'figure ', 'no caption ', 'Figure A.'])} || (o_orderkey % 7 + 1) || '.' || (o_custkey % 5) || {pick('o_custkey', ['-1: x', 'a-2:', '.2-1', ''])}"
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with c as (select text, clause, split_part(regexp_extract(text, '(?i)Figure\\s+([\\d\\.-]+a?):?', 1), '-', 1) as base from {values_sql(CAPTIONS, 'text, clause')})
-select text, clause, base, base <> '' and base = regexp_replace(clause, '\\.0[a-z]?$', '') as own from c""")
+with c as (select o_orderkey, text, clause, split_part(regexp_extract(text, '(?i)Figure\\s+([\\d\\.-]+a?):?', 1), '-', 1) as base from (select o_orderkey, {_CAPTION} as text, {_CLAUSE} as clause from orders))
+select o_orderkey, text, clause, base, base <> '' and base = regexp_replace(clause, '\\.0[a-z]?$', '') as own from c""")
 def figure_caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rows(spark, CAPTIONS, "text string, clause string")
-    return c.select("text", "clause", tx.figure_base(F.col("text")).alias("base"), tx.is_own_figure(F.col("text"), F.col("clause")).alias("own"))
+    c = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_CAPTION} as text", f"{_CLAUSE} as clause")
+    return c.select("o_orderkey", "text", "clause", tx.figure_base(F.col("text")).alias("base"), tx.is_own_figure(F.col("text"), F.col("clause")).alias("own"))
 
 
-CLAUSES = [("d1", 0, 0, "4 Procedures", "4"), ("d1", 0, 1, "4.2 Registration", "4.2"), ("d1", 0, 2, "4.2.2 General", "4.2.2"), ("d1", 0, 3, "4.2.2.0 Scope", "4.2.2.0"), ("d2", 1, 0, "4.2 Other registration", "4.2"), ("d2", 1, 1, "A.1 Annex", "A.1"), ("d2", 1, 2, "Annex A", "A"), ("d2", 1, 3, "Foreword", "F")]
+_PARTS = f"""select *, clause || ' ' || p_name as title from (select 'd' || (p_partkey % 20) as document, p_partkey % 20 as doc_seq, p_partkey as section_seq, p_name,
+  {pick('p_partkey', ['4', '5', '6', 'A'])} || {pick('p_partkey', ['', '.2', '.2.0', '.1.0', '.2.1', '.1', '.2.1.7'])} as clause from part)"""
 _PARENT = "case when len(ps) >= 2 then array_to_string(ps[1:len(ps) - 1], '.') end"
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with s as (select * from {values_sql(CLAUSES, 'document, doc_seq, section_seq, title, clause')}),
+with s as ({_PARTS}),
 p as (select *, case when string_split(clause, '.')[-1] = '0' then string_split(clause, '.')[1:len(string_split(clause, '.')) - 1] else string_split(clause, '.') end as ps from s),
 l as (select clause, title from (select *, row_number() over (partition by clause order by doc_seq desc, section_seq desc) as rn from s) where rn = 1)
 select p.document, p.clause, p.title, l.title as parent_title from p left join l on l.clause = {_PARENT}""")
 def clause_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rows(spark, CLAUSES, "document string, doc_seq int, section_seq int, title string, clause string")
-    return sections.with_parents(s).select("document", "clause", "title", "parent_title")
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return sections.with_parents(spark.sql(_PARTS)).select("document", "clause", "title", "parent_title")
 
 
-STEP_TEXTS = [("p1", "Intro\n1. The UE sends a request.\nmore of it\n\n2. The AMF answers\n7a. Letter step\n7. Plain\n10. Last"), ("p2", "no steps here"), ("p3", "7-12b. Range\n1(A). Paren\n2. Two\n2. Two again"), ("p4", "1.x no\n4.2.3 T no\n3. yes")]
+_STEP_LINE = f"(case turn % 5 when 4 then '' else (turn + 1) || {pick('turn % 5', ['. ', 'a. ', '-12b. ', '(A). ', ''])} end) || role || ' speaks here'"
 _HEAD = "^(\\d+(?:[a-z]?(?:-\\d+[a-z]?)?|\\([A-Za-z]\\)))\\.\\s+(.+)"
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with t as (select procedure, string_split(text, chr(10)) as ls from {values_sql(STEP_TEXTS, 'procedure, text')}),
+with t as (select conv_id as procedure, list({_STEP_LINE} order by turn) as ls from conversations group by 1),
 l as (select procedure, generate_subscripts(ls, 1) as line, trim(unnest(ls)) as raw from t),
 m as (select *, regexp_matches(raw, '{_HEAD}') as h from l where raw <> ''),
 g as (select *, sum(cast(h as int)) over (partition by procedure order by line rows unbounded preceding) as s from m),
@@ -80,19 +82,22 @@ a as (select procedure, s, min(line) as line, max(case when h then regexp_extrac
 k as (select *, regexp_matches(number, '^\\d+[a-z]?$') as plain from a)
 select procedure, number, description, cast(row_number() over (partition by procedure order by case when plain then cast(regexp_extract(number, '^\\d+') as int) else 999 end, case when not plain then 999 when regexp_extract(number, '[a-z]$') = '' then 0 else ascii(regexp_extract(number, '[a-z]$')) end, line) as integer) as ord from k""")
 def step_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.parse(rows(spark, STEP_TEXTS, "procedure string, text string")).select("procedure", "number", "description", "ord")
+    lines = table(spark, sf_dir, "conversations").selectExpr("conv_id as procedure", "turn", f"{_STEP_LINE} as line")
+    texts = lines.groupBy("procedure").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")).select("procedure", F.array_join("ls.line", "\n").alias("text"))
+    return steps.parse(texts).select("procedure", "number", "description", "ord")
 
 
-NAMES = [("4.2.2.2.2 General Registration", "7-12b"), ("4.2.3.2 UE Triggered (Service) Request", "7(A)"), ("Handover, Xn based", "3"), ("6.1.3.2.0 5G AKA", "7a"), ("Plain", "7b-12b"), ("5G AKA", "1"), ("4.2 Xn - based handover", "2")]
+_TITLE = f"{pick('p_partkey', ['4.2.2.2.2 ', '4.2 ', '', '5G ', '6.1.3.2.0 '])} || p_name || {pick('p_partkey', [' (x)', ', Xn - based', ''])}"
+_NUMBER = pick("p_partkey", ["7-12b", "7(A)", "3", "7a", "7b-12b", "1", "2"])
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with t as (select title, number, replace(regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\s', 1), '.', '') as c, replace(regexp_replace(regexp_replace(title, '^\\d+(?:\\.\\d+)*\\s+', ''), '[^\\w\\s]', '', 'g'), ' ', '_') as w,
-  case when regexp_matches(number, '^\\d+[a-z]?$') then number when regexp_matches(number, '^\\d+[a-z]?-\\d+[a-z]?$') then replace(number, '-', '_') else regexp_replace(number, '[()]', '', 'g') end as n from {values_sql(NAMES, 'title, number')}),
-m as (select title, number, case when c <> '' then c || '_' else '' end || w || '_step_' || n as name from t)
-select title, number, name, coalesce(nullif(regexp_extract(name, '_step_([\\w-]+)$', 1), ''), '1') as back from m""")
+with t as (select p_partkey, title, number, replace(regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\s', 1), '.', '') as c, replace(regexp_replace(regexp_replace(title, '^\\d+(?:\\.\\d+)*\\s+', ''), '[^\\w\\s]', '', 'g'), ' ', '_') as w,
+  case when regexp_matches(number, '^\\d+[a-z]?$') then number when regexp_matches(number, '^\\d+[a-z]?-\\d+[a-z]?$') then replace(number, '-', '_') else regexp_replace(number, '[()]', '', 'g') end as n from (select p_partkey, {_TITLE} as title, {_NUMBER} as number from part)),
+m as (select p_partkey, title, number, case when c <> '' then c || '_' else '' end || w || '_step_' || n as name from t)
+select p_partkey, title, number, name, coalesce(nullif(regexp_extract(name, '_step_([\\w-]+)$', 1), ''), '1') as back from m""")
 def step_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, NAMES, "title string, number string").withColumn("name", steps.step_name(F.col("title"), F.col("number")))
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_TITLE} as title", f"{_NUMBER} as number").withColumn("name", steps.step_name(F.col("title"), F.col("number")))
     return t.withColumn("back", steps.number_in_name(F.col("name")))
 
 
@@ -142,6 +147,16 @@ def procedure_filter_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where("has_figure").join(labels, "doc_id").groupBy("is_procedure", "quality").agg(F.count("*").alias("n"))
 
 
+@register(QUERIES, ORACLE_SQL, f"""
+with {_SCORED}, n as (select v.*, l.toxic = 1 as named from v join labels l using (doc_id) where fig)
+select count(*) filter (where named) as by_model, count(*) filter (where not named and is_procedure) as by_score from n""")
+def identification_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents stand for those that a model names."""
+    named = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.lit("named")).alias("said"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\.")[0].alias("title"), (F.pmod("doc_id", F.lit(3)) > 0).alias("has_figure"))
+    return classify.routes(d.join(named, "doc_id"), F.col("said"), title_words=TITLE_STAND_INS, text_words=TEXT_STAND_INS, marks=MARK_STAND_INS)
+
+
 WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "on", "are", "by", "this", "be", "it", "from", "as", "at", "not"]
 
 
@@ -179,17 +194,17 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where(~tx.is_stop_word(F.col("word"), lx.STOP_WORDS, lx.STOP_PHRASES)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-CANDIDATES = [("amf",), ("5G-AMF",), ("N2-SMF",), ("UPF-Function",), ("Authentication Server",), (" udm ",), ("unknown",), ("UE-UE",), ("user plane",)]
+_CANDIDATE = f"{pick('o_custkey', ['5G-', 'UE-', 'N12-', 'CN-', '', ' '])} || {pick('o_orderkey', ['AMF', 'ausf', 'Smf', 'W-AGF', 'gNB', 'XYZ', *lx.FUNCTION_PHRASES])} || {pick('o_custkey + o_orderkey', ['-function', '-SERVER', '', '-node', ''])}"
 _UPPER = ", ".join(f"'{w.upper()}'" for w in lx.NETWORK_FUNCTIONS)
 _PHRASES = " ".join(f"when '{k}' then '{v}'" for k, v in lx.FUNCTION_PHRASES.items())
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with c as (select candidate, trim(upper(candidate)) as u from {values_sql(CANDIDATES, 'candidate')}),
+with c as (select o_orderkey, candidate, trim(upper(candidate)) as u from (select o_orderkey, {_CANDIDATE} as candidate from orders)),
 d as (select *, regexp_replace(u, '^(5G-|UE-|N[0-9]+-|CN-)', '') as h, regexp_replace(u, '(-FUNCTION|-SERVER|-GATEWAY|-NODE)$', '') as t from c)
-select candidate, case when u in ({_UPPER}) then u when h in ({_UPPER}) then h when t in ({_UPPER}) then t else case u {_PHRASES} end end as normal from d""")
+select o_orderkey, candidate, case when u in ({_UPPER}) then u when h in ({_UPPER}) then h when t in ({_UPPER}) then t else case u {_PHRASES} end end as normal from d""")
 def nf_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rows(spark, CANDIDATES, "candidate string")
+    c = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_CANDIDATE} as candidate")
     return c.withColumn("normal", extract.normal_function(F.col("candidate")))
 
 
@@ -248,28 +263,30 @@ def rel_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.template_pairs(d, templates=_TEMPLATES)
 
 
-SENTENCES = [(1, "The UE checks. AMF sends a Registration Request to the AUSF. UDM sends an Answer to the AMF"), (2, "UDM derives KAUSF from AUTN and RAND. Nothing here. AMF derived KAMF"), (3, "no match"), (4, "XYZ sends a Thing to the AMF")]
+_ANY = ["AMF", "AUSF", "UDM", "XYZ"]
+_SENT = f"'The UE checks. ' || {pick('o_custkey', _ANY)} || {pick('o_orderkey', [' sends a ', ' sends an ', ' forwards a '])} || o_orderpriority || ' to the ' || {pick('o_custkey + o_orderkey', _ANY)}"
+_DERIVED = f"{pick('o_custkey', ['UDM', 'AMF', 'AUSF'])} || ' derives ' || {pick('o_orderkey', ['KAUSF', 'KAMF', 'nothing'])} || ' from ' || {pick('o_custkey + o_orderkey', ['AUTN', 'RAND', 'UDM', 'AMF'])} || '. Nothing here. ' || {pick('o_orderkey', ['AMF derived KAMF', 'a step'])}"
 _SN = ["AMF", "AUSF", "UDM", "KAUSF", "KAMF", "AUTN"]
 
 
 @register(QUERIES, ORACLE_SQL, f"""
 with h as (select section, trim(regexp_extract(m, p, 1)) as s, trim(regexp_extract(m, p, 2)) as g, trim(regexp_extract(m, p, 3)) as t from
-  (select section, '([A-Z0-9/ -]+)\\s+sends an?\\s+(.+?)\\s+to the\\s+([A-Z0-9/ -]+)' as p, unnest(regexp_extract_all(text, '([A-Z0-9/ -]+)\\s+sends an?\\s+(.+?)\\s+to the\\s+([A-Z0-9/ -]+)')) as m from {values_sql(SENTENCES, 'section, text')})),
+  (select section, '([A-Z0-9/ -]+)\\s+sends an?\\s+(.+?)\\s+to the\\s+([A-Z0-9/ -]+)' as p, unnest(regexp_extract_all(text, '([A-Z0-9/ -]+)\\s+sends an?\\s+(.+?)\\s+to the\\s+([A-Z0-9/ -]+)')) as m from (select o_orderkey as section, {_SENT} as text from orders))),
 k as (select * from h where s in ({', '.join(f"'{w}'" for w in _SN)}) and t in ({', '.join(f"'{w}'" for w in _SN)}))
 select section, s as source_name, g as target_name, 'SENDS_TO' as rel_type from k union all select section, g, t, 'IS_SENT_TO' from k union all select section, g, s, 'SENT_BY' from k""")
 def rel_sends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, SENTENCES, "section int, text string").withColumn("names", F.array(*[F.lit(w) for w in _SN]))
+    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey as section", f"{_SENT} as text").withColumn("names", F.array(*[F.lit(w) for w in _SN]))
     return relate.sends(t)
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with s as (select section, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as s from (select section, string_split_regex(text, '[.\\n]') as ss from {values_sql(SENTENCES, 'section, text')})),
+with s as (select section, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as s from (select section, string_split_regex(text, '[.\\n]') as ss from (select o_orderkey as section, {_DERIVED} as text from orders))),
 v as (select *, instr(lower(s), 'deriv') as verb from s where instr(lower(s), 'deriv') > 0), e as (select v.*, word, instr(s, word) as pos from v, {word_rows(_SN)} where instr(s, word) > 0),
 b as (select section, sent, max_by(word, pos) as b from e where pos < verb group by 1, 2), a as (select section, sent, min_by(word, pos) as a from e where pos > verb group by 1, 2), ab as (select * from b join a using (section, sent)),
 c as (select ab.section, ab.sent, ab.a, min_by(word, pos) as c from ab join e on e.section = ab.section and e.sent = ab.sent where word <> a and word <> b group by 1, 2, 3)
 select section, cast(sent as integer) as sent, b as source_name, a as target_name, 'DERIVES' as rel_type from ab union all select section, cast(sent as integer), a, c, 'DERIVED_FROM' from c""")
 def rel_derives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, SENTENCES, "section int, text string").withColumn("names", F.array(*[F.lit(w) for w in _SN]))
+    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey as section", f"{_DERIVED} as text").withColumn("names", F.array(*[F.lit(w) for w in _SN]))
     return relate.derives(t)
 
 
@@ -279,23 +296,22 @@ def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.file_name(F.col("url")).alias("name"))
 
 
-PAYLOADS = [("48:65:6c:6c:6f",), ("7b:22:61:22:3a:31:7d:00:ff",), ("0a",)]
-
-
-@register(QUERIES, ORACLE_SQL, "select * from (values ('48:65:6c:6c:6f', 'Hello'), ('7b:22:61:22:3a:31:7d:00:ff', '{\"a\":1}..'), ('0a', '.')) as t(hex_payload, text)")
+@register(QUERIES, ORACLE_SQL, r"""
+select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', '.', 'g'), '[\x{80}-\x{7FF}]', '..', 'g'), '[\x{800}-\x{FFFF}]', '...', 'g'), '[\x{10000}-\x{10FFFF}]', '....', 'g') as text from documents""")
 def hex_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, PAYLOADS, "hex_payload string").withColumn("text", packets.printable("hex_payload"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.hex("text")), "(..)(?=.)", "$1:").alias("hex_payload"))
+    return d.select("doc_id", packets.printable("hex_payload").alias("text"))
 
 
-MIXED = [(1, "GET /x {\"a\": {\"b\": 1}} tail"), (2, "x [1, [2], 3] {\"a\": 1}"), (3, "no json"), (4, "{broken"), (5, "[{\"k\": 1}]"), (6, "}{")]
+_MIXED = "case event_id % 6 when 0 then 'GET /x ' || props || ' tail' when 1 then 'x [1, ' || props || '] z' when 2 then 'no json' when 3 then '{' || event_type when 4 then '}' || event_type || '{' else 'x [1, [2], 3] ' || props end"
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with p as (select id, s, instr(s, '[') as k, instr(s, '{{') as b, instr(s, ']') as e, length(s) - instr(reverse(s), '}}') + 1 as l from {values_sql(MIXED, 'id, s')}),
+with p as (select id, s, instr(s, '[') as k, instr(s, '{{') as b, instr(s, ']') as e, length(s) - instr(reverse(s), '}}') + 1 as l from (select event_id as id, {_MIXED} as s from events)),
 f as (select id, case when k > 0 and (b = 0 or k < b) then substr(s, k, greatest(e - k + 1, 0)) when b > 0 and contains(s, '}}') then substr(s, b, greatest(l - b + 1, 0)) end as j from p)
 select id, case when json_valid(j) and j <> '' then j end as payload from f""")
 def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, MIXED, "id int, s string").select("id", packets.embedded_json("s").alias("payload"))
+    return table(spark, sf_dir, "events").selectExpr("event_id as id", f"{_MIXED} as s").select("id", packets.embedded_json("s").alias("payload"))
 
 
 @register(QUERIES, ORACLE_SQL, "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
