@@ -24,4 +24,10 @@ def test_upsert(spark, tmp_path):
     f(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, seq int, v string"), 0)
     for _ in range(2):
         f(spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], "k int, seq int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    # what a crash leaves behind has no mark and doesn't count
+    spark.createDataFrame([(9, 9, "z")], "k int, seq int, v string").write.parquet(str(tmp_path / "t" / "v3"))
+    assert ev.current(spark, str(tmp_path / "none")) is None
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2", "v3"]
+    assert sorted(map(tuple, ev.current(spark, str(tmp_path / "t")).collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    f(spark.createDataFrame([(9, 1, "y")], "k int, seq int, v string"), 2)
+    assert ev.current(spark, str(tmp_path / "t")).where("k = 9").first()["v"] == "y"
