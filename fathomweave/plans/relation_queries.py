@@ -115,7 +115,11 @@ def fsm_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.violations(made.where("not (is_final and ord % 3 = 0)"), moves)
 
 
-@register(QUERIES, ORACLE_SQL)
+@register(QUERIES, ORACLE_SQL, f"""
+with {STEPS_SQL}, {_STATES}, {_SEQ}, {_MSG}, moves as (select procedure, source_state, target_state, trigger, action from seq union all select procedure, source_state, target_state, trigger, action from msg),
+s as (select procedure, list({{'ord': ord, 'name': name, 'is_initial': is_initial, 'is_final': is_final, 'description': description}} order by ord) as states from states group by 1),
+t as (select procedure, list({{'source_state': source_state, 'target_state': target_state, 'trigger': trigger, 'condition': '', 'action': action}} order by source_state, target_state, trigger, action) as moves from moves group by 1)
+select procedure, cast(to_json({{'procedure_name': procedure, 'states': states, 'transitions': coalesce(moves, []), 'initial_state': states[1].name, 'final_states': [states[-1].name]}}) as varchar) as json from s left join t using (procedure)""")
 def fsm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _steps(spark, sf_dir)
     return fsm.to_json(fsm.states(steps), fsm.transitions(steps, _sends(spark, sf_dir)))
