@@ -7,7 +7,7 @@ from fathomweave.llm.fingerprints import op9_fingerprints
 from fathomweave.llm.langid import op3_langid
 from fathomweave.llm.mixing import op6_mixing
 from fathomweave.llm.packing import op8_packing
-from fathomweave.llm.repair import op11_repair
+from fathomweave.llm.repair import OP11_SQL, op11_repair
 from fathomweave.llm.simhash import op1_simhash
 from fathomweave.llm.token_store import op2_token_store
 from fathomweave.llm.toxicity import op7_toxicity
@@ -30,4 +30,5 @@ ORACLE_SQL = {
     "op4_quality": quality.OP4_SQL,
     "op5_sharding": sharding.oracle(),
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_repair": OP11_SQL,
 }

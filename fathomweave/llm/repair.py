@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomweave.llm import sqltext
 from fathomweave.runtime import drop_table, ship, shuffle_partitions, write_table
 
 #: Rows and characters in a block, and blocks joined at a time.
@@ -364,3 +365,49 @@ def _spanning(table: DataFrame) -> DataFrame:
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged ``conversations``, repaired. Null roles and texts are one space; other columns are ignored; no rows give none."""
     return repaired(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: The same by dynamic programming over (rows done, state), a row of every conversation at a time.
+OP11_SQL = rf"""
+with recursive {sqltext.CRC_TABLE},
+fates as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {sqltext.crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fate
+  from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case fate when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from fates),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+told as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as said, lag(role[1]) over (partition by conv_id order by i) || role[1] as pair from placed),
+rows as (
+  select conv_id, turn, role, text, i, role[1] as initial, pair not in ('su', 'ua', 'au') as illegal,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when said then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault
+  from told),
+follows(q, c, q2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits as (
+  select conv_id, i, q, q2, letter, price, line from (
+    select conv_id, i, q, q as q2, 'D' as letter, 4 as price, null as line from rows, (values (0), (1), (2), (3)) s(q)
+    union all
+    select conv_id, i, q, q2, case when c = initial then 'K' else 'R' end, case when c = initial then 0 else 3 end + case when fault = 'truncated' then 3 else 0 end,
+      case when c = initial then role when c = 'u' then 'user' else 'assistant' end || ':' || text
+    from rows join follows on c = initial or c in ('u', 'a') where fault not in ('blank', 'duplicate'))),
+inserts(q, q2, letters, price, lines) as (values
+  (0, 0, '', 0, []::varchar[]), (0, 2, 'I', 3, ['user:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 3, ['user:']), (1, 3, 'II', 6, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 3, ['assistant:']), (3, 3, '', 0, []), (3, 2, 'I', 3, ['user:'])),
+paths as (
+  select c.conv_id, cast(0 as bigint) as i, q2 as q, cast(price as bigint) as cost, letters as audit, lines from (select distinct conv_id from rows) c, inserts where q = 0
+  union all
+  select conv_id, i, q, best.cost, best.audit, best.lines from (
+    select p.conv_id, e.i, n.q2 as q, min({{'cost': cast(p.cost + e.price + n.price as bigint), 'audit': p.audit || e.letter || n.letters, 'lines': case when line is null then p.lines else list_append(p.lines, line) end || n.lines}}) as best
+    from paths p join edits e on e.conv_id is not distinct from p.conv_id and e.i = p.i + 1 and e.q = p.q join inserts n on n.q = e.q2 group by all)),
+counts as (
+  select conv_id, count(*) as n, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal
+  from rows group by conv_id),
+ends as (select p.conv_id, min({{'cost': p.cost, 'audit': p.audit, 'lines': p.lines}}) as best from paths p join counts c on c.conv_id is not distinct from p.conv_id and c.n = p.i where q in (0, 3) group by p.conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
+"""

@@ -7,9 +7,9 @@ import zlib
 import pytest
 
 from fathomweave.llm import repair
-from fathomweave.llm.repair import op11_repair, repaired, damage
+from fathomweave.llm.repair import OP11_SQL, damage, op11_repair, repaired
 from tests.llm.common import bag
-from tests.oracle import SF
+from tests.oracle import SF, assert_same
 
 COLUMNS = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
 
@@ -137,3 +137,7 @@ def test_registered_query(spark):
 def test_one_row_repeated(spark, rows):
     got = run(spark, [(*r, "k", 1, "c") for r in rows])
     assert [g[:8] for g in got] == [p[:8] for p in plain(rows)]
+
+
+def test_same_rows_as_sql(spark):
+    assert_same(spark, op11_repair, OP11_SQL, "/root/testdata/sf0.01")
