@@ -11,6 +11,7 @@ from fathomweave.llm.repair import OP11_SQL, op11_repair
 from fathomweave.llm.simhash import op1_simhash
 from fathomweave.llm.token_store import op2_token_store
 from fathomweave.llm.toxicity import op7_toxicity
+from fathomweave.llm.variants import OP12_SQL, op12_variants
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_repair": op11_repair,
+    "op12_variants": op12_variants,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op5_sharding": sharding.oracle(),
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_repair": OP11_SQL,
+    "op12_variants": OP12_SQL,
 }
