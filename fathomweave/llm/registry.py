@@ -12,6 +12,7 @@ from fathomweave.llm.simhash import op1_simhash
 from fathomweave.llm.token_store import op2_token_store
 from fathomweave.llm.toxicity import op7_toxicity
 from fathomweave.llm.variants import OP12_SQL, op12_variants
+from fathomweave.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_repair": op11_repair,
     "op12_variants": op12_variants,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_repair": OP11_SQL,
     "op12_variants": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
