@@ -5,10 +5,12 @@ Terms are pairs of neighbouring words; a term votes with its weight (longer word
 longest text can fill), so a text's votes are 64 plain sums over its terms, made where the text lies: terms
 never cross the network. Likeness of two fingerprints is the cosine that their differing bits estimate.
 
-For the search the bits are cut into radius + 2 blocks, with a table for each two of them: fingerprints at most
-``radius`` bits apart agree on at least two whole blocks, so they meet in the bucket of some table. Within the
-buckets each is compared with the first and with the one before it, which is linear, joins groups of near copies and
-settles buckets of up to three; where a larger one still holds several groups, all of different groups are compared.
+For the search the bits are cut into radius + d blocks: fingerprints at most ``radius`` bits apart agree on at least d
+whole blocks, so they meet in the table of the two lowest of these, and again with a third, up to a d-th. d grows with
+the number of fingerprints, so that unlike ones seldom share a whole key. Within the buckets each is compared with the first
+and with the one before it, which is linear, and in buckets of up to SMALL rows with all. Only the rows of larger buckets
+get keys of one more block. What is still large then are crowds of alike ones: where these hold several groups that no
+link has joined, all of different groups are compared.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ LANE = (1 << 32) | 1
 PER_BUCKET, MOST_PARTS = 4000, 4096
 #: A replaced word moves about 7 bits of 128 in a text of 100 words, 5 in one of 200; unlike texts differ in about 64.
 RADIUS = 11
+#: Buckets of up to SMALL rows are compared in full; one row in SAMPLE tells of hot keys, which have HOT such rows or more.
+SMALL, SAMPLE, HOT = 16, 64, 8
 
 
 def terms(text: str) -> str:
@@ -122,19 +126,66 @@ def beside_next(docs: DataFrame) -> DataFrame:
     return both.select("b", F.row_number().over(order).alias("at"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
-def _tables(radius: int) -> Column:
-    """What a fingerprint shows in each two of radius + 2 blocks, as one hash with the number of the table."""
-    cuts = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
-    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """Masks (for f0 and f1, signed) of ``n`` blocks of nearly the same width."""
+    cuts = [round(i * BITS / n) for i in range(n + 1)]
+    wide = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     sign = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [(sign(m & ((1 << 64) - 1)), sign(m >> 64)) for m in (x | y for x, y in combinations(blocks, 2))]
-    return F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m0).cast("bigint")), F.col("f1").bitwiseAND(F.lit(m1).cast("bigint"))) for t, (m0, m1) in enumerate(masks)])
+    return [(sign(m & ((1 << 64) - 1)), sign(m >> 64)) for m in wide]
+
+
+def _depth(n: int, radius: int) -> int:
+    """How many blocks a key needs so that ``n`` unlike fingerprints leave about one to a bucket."""
+    return next((d for d in range(2, BITS - radius) if d * BITS // (radius + d) >= max(1, n).bit_length()), 2)
+
+
+def _first_keys(radius: int, blocks: list[tuple[int, int]]) -> Column:
+    """(key, upto) for the two lowest blocks that near fingerprints can agree on: what they show, with their numbers, as one hash."""
+    show = lambda x, y: (F.col("f0").bitwiseAND(F.lit(blocks[x][0] | blocks[y][0]).cast("bigint")), F.col("f1").bitwiseAND(F.lit(blocks[x][1] | blocks[y][1]).cast("bigint")))
+    return F.array(*[F.struct(F.xxhash64(F.lit(t), *show(x, y)).alias("key"), F.lit(y).alias("upto")) for t, (x, y) in enumerate(combinations(range(radius + 2), 2))])
+
+
+def _further_keys(level: int, radius: int, blocks: list[tuple[int, int]]) -> Column:
+    """(key, upto) with one more block, of a higher number: the ``level``-th that near fingerprints agree on is among the first radius + level."""
+    masks = [f"array({', '.join(f'{m[half]}L' for m in blocks)})" for half in range(2)]
+    return F.expr(f"transform(filter(sequence(upto + 1, {radius + level}), k -> k < {radius + level}), k -> struct(xxhash64(key, k, f0 & get({masks[0]}, k), f1 & get({masks[1]}, k)) as key, k as upto))")
 
 
 def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1")))
 
 
+def _bucketed(rows: DataFrame, radius: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of all near pairs in buckets of up to SMALL rows and of some in larger ones; the rows of these (key, upto, f0, f1, node).
+
+    Keys that hold many rows of a sample are hot and meet no window: their rows are compared with the bucket's least
+    fingerprint alone, by an aggregate and a join, which may be split. A hot key that the sample misses is one large window.
+    """
+    seen = rows.where(F.xxhash64("f1", "f0").bitwiseAND(F.lit(SAMPLE - 1)) == 0).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("key")
+    hot, path = write_table(seen, "hot-keys")
+    paths.append(path)
+    bucket = Window.partitionBy("key")
+    order = bucket.orderBy("f0", "f1")
+    beside = {"hub0": F.first("f0").over(order), "hub1": F.first("f1").over(order), "last0": F.lag("f0").over(order), "last1": F.lag("f1").over(order), "size": F.count("*").over(bucket)}
+    beside = rows.join(hot, "key", "left_anti").withColumns(beside).where("size > 1")
+    node = F.xxhash64("f0", "f1").alias("node")
+    near = [F.when(_apart("f", x) <= radius, F.xxhash64(f"{x}0", f"{x}1")).alias(x) for x in ("hub", "last")]
+    found = beside.select("key", "upto", "f0", "f1", "size", node, *near).where(f"size > 3 or hub is not null or last is not null")
+    if hot.isEmpty():
+        met = found
+    else:
+        crowd = rows.join(hot, "key")
+        hubs = crowd.groupBy("key").agg(F.min(F.struct("f0", "f1")).alias("hub")).select("key", F.col("hub.f0").alias("hub0"), F.col("hub.f1").alias("hub1"))
+        met = found.unionByName(crowd.join(hubs, "key").select("key", "upto", "f0", "f1", F.lit(1 << 40).alias("size"), node, near[0], F.lit(None).cast("bigint").alias("last")))
+    met, path = write_table(met, "met")
+    paths.append(path)
+    beside = met.select(F.col("node").alias("u"), F.explode(F.array_compact(F.array("hub", "last"))).alias("v"))
+    # the first and the one before settle buckets of up to three
+    few = met.where(f"size between 4 and {SMALL}").groupBy("key").agg(F.collect_list(F.struct("node", "f0", "f1")).alias("of"))
+    pairs = f"flatten(transform(of, (x, i) -> transform(filter(slice(of, i + 2, {SMALL}), y -> bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) <= {radius}), y -> struct(x.node as u, y.node as v))))"
+    return beside.union(few.select(F.expr(f"inline({pairs})"))), met.where(f"size > {SMALL}").select("key", "upto", "f0", "f1", "node")
+
+
 def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """f0, f1, near_class for the distinct fingerprints of ``prints`` (f0, f1, doc_id).
 
@@ -142,29 +193,30 @@ def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= BITS - 2:
         raise ValueError(f"radius must be 0 to {BITS - 2}")
-    spark = prints.sparkSession
+    spark, paths = prints.sparkSession, []
     values, path = write_table(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("f0", "f1")), "values")
-    tables = values.select("f0", "f1", F.explode(_tables(radius)).alias("key"))
-    bucket = Window.partitionBy("key")
-    order = bucket.orderBy("f0", "f1")
-    beside = {"hub0": F.first("f0").over(order), "hub1": F.first("f1").over(order), "last0": F.lag("f0").over(order), "last1": F.lag("f1").over(order), "size": F.count("*").over(bucket)}
-    beside = tables.withColumns(beside).where("size > 1")
-    found = beside.select("key", "f0", "f1", "size", *[F.when(_apart("f", x) <= radius, F.xxhash64(f"{x}0", f"{x}1")).alias(x) for x in ("hub", "last")]).where("size > 3 or hub is not null or last is not null")
-    met, met_path = write_table(found.withColumn("node", F.xxhash64("f0", "f1")), "met")
-    first = met.select(F.col("node").alias("u"), F.explode(F.array_compact(F.array("hub", "last"))).alias("v")).where("u <> v").distinct()
-    parts, _ = write_table(values.select("node").join(connected_components(first), "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
-    # buckets of a single group are done
-    placed = met.where("size > 3").select("key", "node", "f0", "f1").join(parts, "node")
+    paths.append(path)
+    depth = _depth(values.count(), radius)
+    blocks = _blocks(radius + depth)
+    links, large = _bucketed(values.select("f0", "f1", F.inline(_first_keys(radius, blocks))), radius, paths)
+    for level in range(3, depth + 1):
+        more, large = _bucketed(large.select("f0", "f1", F.inline(_further_keys(level, radius, blocks))), radius, paths)
+        links = links.union(more)
+    parts, path = write_table(values.select("node").join(connected_components(links.where("u <> v").distinct(), paths), "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+    paths.append(path)
+    # what is large to the last: buckets of a single group are done, in the others all of different groups are compared
+    placed = large.join(parts, "node")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left, left_path = write_table(placed.join(mixed, "key"), "mixed")
+    left, path = write_table(placed.join(mixed, "key"), "mixed")
+    paths.append(path)
     a = left.select("key", "component", "f0", "f1")
     b = left.select("key", F.col("component").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
     more = a.join(b, "key").where((F.col("component") < F.col("v")) & (_apart("f", "g") <= radius)).select(F.col("component").alias("u"), "v").distinct()
-    groups = connected_components(more).withColumnRenamed("component", "whole").withColumnRenamed("node", "component")
+    groups = connected_components(more, paths).withColumnRenamed("component", "whole").withColumnRenamed("node", "component")
     joined = values.join(parts.select("node", "component"), "node").join(groups, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = joined.groupBy("component").agg(F.min("first").alias("near_class"))
     classes, _ = write_table(joined.join(least, "component").select("f0", "f1", "near_class"), "near-classes")
-    for done in (path, met_path, left_path):
+    for done in paths:
         drop_table(spark, done)
     return classes
 

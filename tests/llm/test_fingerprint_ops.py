@@ -316,3 +316,30 @@ def test_next_over_ranges_of_two_levels(spark, monkeypatch, per, parts):
         got = {x["doc_id"]: x["next_text"] for x in fingerprints.beside_next(df).where("not ghost").collect()}
         order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
         assert got == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+@pytest.mark.parametrize(("depth", "small", "hot"), [(3, 3, 1), (4, 4, 2), (3, 16, 1)])
+def test_keys_of_more_blocks_equal_brute_force(spark, monkeypatch, depth, small, hot):
+    """Large buckets are cut again on further blocks, hot keys meet no window; crowds of several groups stay whole."""
+    monkeypatch.setattr(fingerprints, "_depth", lambda n, radius: depth)
+    monkeypatch.setattr(fingerprints, "SMALL", small)
+    monkeypatch.setattr(fingerprints, "HOT", hot)
+    monkeypatch.setattr(fingerprints, "SAMPLE", 2)
+    r = random.Random(depth)
+    base = r.getrandbits(128)
+    # crowds that agree on most blocks, some of them too far apart to be one group
+    far = [base ^ (r.getrandbits(40) << 88) for _ in range(6)] + [r.getrandbits(128) for _ in range(20)]
+    values = far + [v ^ sum(1 << b for b in r.sample(range(128), r.randint(0, 9))) for v in far[:6] for _ in range(25)]
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(sign(v & (1 << 64) - 1), sign(v >> 64), i) for i, v in enumerate(values)]
+    got = {(x["f0"], x["f1"]): x["near_class"] for x in fingerprints.near_classes(spark.createDataFrame(rows, "f0 bigint, f1 bigint, doc_id bigint")).collect()}
+    want = groups(range(len(values)), lambda a, b: bin(values[a] ^ values[b]).count("1") <= fingerprints.RADIUS)
+    assert all(got[(a, b)] == want[i] for a, b, i in rows)
+
+
+def test_depth_follows_the_number_of_fingerprints():
+    """Twice as many bits as before are agreed on long before unlike fingerprints fill the buckets."""
+    for n in (250_000, 4_000_000, 10**9, 10**12):
+        d = fingerprints._depth(n, 11)
+        assert 1 << d * 128 // (11 + d) >= n // 2
+    assert fingerprints._depth(250_000, 11) == 2 and fingerprints._depth(4_000_000, 11) == 3
