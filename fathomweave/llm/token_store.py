@@ -114,9 +114,11 @@ def write_store(docs: DataFrame, root: str, tokenizer: str | None = None, end_id
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded(tokenizer or default_tokenizer(), end_id), "kind int, key binary, doc_id bigint, n bigint, body binary")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("kind", "n"))
+    # only chunks are compared with one another; recipes of equal documents have one key and are spread at random
+    rows = rows.withColumn("apart", F.when(F.col("kind") == 1, F.xxhash64(F.monotonically_increasing_id())))
+    first = F.row_number().over(Window.partitionBy("key", "apart").orderBy("kind", "n"))
     # written as "or" so that no sort by key comes before the shuffle: repeats within a task are gone already
-    rows.withColumn("at", first).where("at < 2 or kind = 1").drop("at").write.partitionBy("kind").parquet(f"{root}/chunks")
+    rows.withColumn("at", first).where("at < 2 or kind = 1").drop("at", "apart").write.partitionBy("kind").parquet(f"{root}/chunks")
     loose = spark.read.schema("key binary, doc_id bigint, n bigint, body binary, kind int").parquet(f"{root}/chunks").where("kind = 1").drop("kind")
     # rows alike in doc_id and key are alike in all
     rows = loose.count()
