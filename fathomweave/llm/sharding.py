@@ -17,6 +17,8 @@ from fathomweave.runtime import write_table
 PATH_BITS, KEY_BITS = 60, 40
 STEP = 10
 LIMIT = 64 << 20
+#: Of the registered query: small shards, so that small tables are split as well.
+QUERY_LIMIT = 1 << 20
 
 
 def path(doc_id: str = "doc_id") -> Column:
@@ -99,10 +101,10 @@ def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_LIMIT)
 
 
-def oracle(limit: int = LIMIT) -> str:
+def oracle(limit: int = QUERY_LIMIT) -> str:
     """DuckDB SQL for the rows of :func:`shard` over ``documents``, for unique doc_id."""
     return f"""
 with recursive items as (

@@ -413,3 +413,38 @@ def test_all_of_a_long_run_counts():
         pieces = toxicity.words_of(f"short {run} 日本")
         assert pieces[0] == "short" and pieces[-1] == "日本" and max(map(len, pieces)) <= 64
         assert all(any(run[i : i + 16] in p for p in pieces) for i in range(max(1, n - 15)))
+
+
+def test_store_spreads_equal_documents(spark, tmp_path):
+    """Recipes of equal documents have one key; they don't go through one task, and each is kept."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "'the same few words' as text").repartition(4)
+    root = token_store.write_store(docs, str(tmp_path / "store"))
+    assert spark.read.parquet(f"{root}/chunks/kind=0").count() == 1
+    assert token_store.read_digests(spark, root).selectExpr("count(*)", "count(distinct start)").first()[:] == (3000, 3000)
+    plan = docs.sparkSession.read.parquet(f"{root}/recipes").groupBy("part").count().agg({"count": "max"}).first()[0]
+    assert plan < 3000
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    """A labelled id that many rows share adds one text to the sample, the same on every run."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, ("bad awful vile " if i % 2 else "good calm kind ") + words(20, i)) for i in ids] + [(ids[0], f"other text {k}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    seen = []
+    real = toxicity.train
+
+    def train(texts, *a, **k):
+        seen.append(len(texts))
+        return real(texts, *a, **k)
+
+    toxicity.train, before = train, toxicity.train
+    try:
+        assert toxicity.fit(docs, labels) is not None
+    finally:
+        toxicity.train = before
+    assert max(seen) == len(ids)
+
+
+def test_registered_sharding_splits(spark):
+    assert sharding.op5_sharding(spark, "/root/testdata/sf0.01").select("shard").distinct().count() > 3
