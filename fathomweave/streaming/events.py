@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomweave.operators import store
+
 
 def counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", ts: str = "ts") -> DataFrame:
     """Events without repeats (event_id) counted in tumbling windows by type; works on a stream and on a table alike."""
@@ -13,41 +15,20 @@ def counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", ts:
     return unique.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
-def _versions(spark: SparkSession, path: str) -> tuple:
-    """The file system, the folder, and the numbers of the whole versions of the table within, in order."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    whole = [p.getName() for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_DONE"))]
-    return fs, root, sorted(int(n[1:]) for n in whole)
-
-
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of the table that :func:`upsert` keeps at ``path``; None if there is none."""
-    _, _, known = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{known[-1]}") if known else None
+    """The newest version of the table that :func:`upsert` keeps at ``path``; None if there is none."""
+    return store.read(spark, path)
 
 
-def upsert(path: str, keys: list[str], seq: str):
+def upsert(path: str, keys: list[str], seq: str, buckets: int = store.BUCKETS):
     """A foreachBatch function: the table at ``path`` keeps the row with the largest ``seq`` of each key.
 
-    Each batch gives a new version beside the ones before; it counts once its mark is there, so a crash at any
-    point leaves the last whole version, and a repeated batch changes nothing. The version before the newest is kept
-    for those who still read it, older ones go.
+    Each batch rewrites only the buckets that it touches; a crash at any point leaves the last whole version, and a
+    repeated batch changes nothing. The version before the newest is kept for those who still read it, older ones go.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fs, root, known = _versions(spark, path)
-        old = spark.read.parquet(f"{path}/v{known[-1]}") if known else None
-        both = batch if old is None else old.unionByName(batch)
-        newest = both.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(seq).desc()))).where("rn = 1").drop("rn")
-        fresh = f"{path}/v{known[-1] + 1 if known else 0}"
-        newest.write.mode("overwrite").parquet(fresh)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        fs.create(hadoop.Path(fresh, "_DONE"), True).close()
-        for gone in known[:-1]:
-            fs.delete(hadoop.Path(root, f"v{gone}"), True)
+        store.merge(batch, path, keys, seq, "last", buckets)
+        store.vacuum(batch.sparkSession, path, keep=2)
 
     return run
