@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
-from fathomweave.operators import extract, graph
+from fathomweave.operators import extract, graph, relate
 
 #: Functions whose nodes belong to a procedure.
 SCOPED = [
@@ -51,10 +51,22 @@ def third_party(names: Column, source: Column, key: Column) -> Column:
     return F.when(F.size(names) > 2, F.get(F.array_except(names, F.array(source, key)), F.lit(0)))
 
 
+def spoken(sections: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Message entities and the edges of what sections say: SENDS_TO, IS_SENT_TO, SENT_BY, DERIVES, DERIVED_FROM between names found there."""
+    names = entities.groupBy("document", "clause").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    rows = sections.join(names, ["document", "clause"]).select(F.struct("document", "clause").alias("section"), "names", "text")
+    sent = relate.sends(rows)
+    edges = sent.unionByName(relate.derives(rows.where("size(names) > 1")).drop("sent")).select("section.document", "section.clause", "source_name", "target_name", "rel_type")
+    messages = sent.where("rel_type = 'SENDS_TO'").select("section.document", "section.clause", F.col("target_name").alias("name"), F.lit("Message").alias("entity_type")).distinct()
+    return messages, edges
+
+
 def from_sections(sections: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges of all sections; a section with fewer than two names has no edges but CONTAINS."""
+    """Entities, messages among them, and edges of all sections."""
     entities = ontology_entities(sections, strict)
-    return entities, contained(sections, entities).unionByName(part_of(sections, entities))
+    messages, edges = spoken(sections, entities)
+    entities = entities.unionByName(messages)
+    return entities, edges.unionByName(contained(sections, entities.where("entity_type <> 'Message'"))).unionByName(part_of(sections, entities))
 
 
 def specification(document: Column) -> Column:

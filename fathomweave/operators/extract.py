@@ -104,13 +104,32 @@ def first_hit(hits: DataFrame, key: str = "section") -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def recognised(sections: DataFrame, key: str = "section", text: str = "text") -> DataFrame:
-    """(section, name, entity_type, method_ord, pos): known functions, then typed patterns; the first hit of a name wins."""
+#: Words that are no names, whatever pattern they fit.
+COMMON = ["the", "and", "for", "with", "from"]
+# End of the fixed values.
+
+
+def _named(name: Column) -> Column:
+    return (F.length(name) > 2) & ~F.lower(name).isin(COMMON)
+
+
+def recognised(sections: DataFrame, key: str = "section", text: str = "text", hits: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """(section, name, entity_type, method_ord, pos): the hits of four methods, the first hit of a name wins.
+
+    1: ``hits`` of a recogniser (see :func:`from_recogniser`, with the same key), 2: known functions, 3: typed patterns, 4: ``labelled``
+    (section, pos, word, label), the entities of a parser, but for functions. Pattern and parser hits of one or two characters and common words are no names.
+    """
     known = sections.select(key, F.posexplode(matches(F.col(text), lx.RECOGNISED_FUNCTIONS)).alias("pos", "name")).withColumn("entity_type", F.lit("NetworkFunction")).withColumn("method_ord", F.lit(2))
     found = F.array(*[F.struct(F.lit(t).alias("entity_type"), F.lit(i).alias("k"), F.regexp_extract_all(F.col(text), F.lit(f"(?i)({p})"), F.lit(1)).alias("names")) for i, (t, p) in enumerate(lx.TYPE_PATTERNS)])
     typed = sections.select(key, F.explode(found).alias("f")).select(key, "f.entity_type", "f.k", F.posexplode("f.names").alias("at", "name"))
-    typed = typed.select(key, (F.col("k") * 1000000 + F.col("at")).alias("pos"), "name", "entity_type", F.lit(3).alias("method_ord"))
-    return first_hit(known.unionByName(typed), key)
+    typed = typed.select(key, (F.col("k") * 1000000 + F.col("at")).alias("pos"), tx.strip(F.col("name")).alias("name"), "entity_type", F.lit(3).alias("method_ord")).where(_named(F.col("name")))
+    every = known.unionByName(typed)
+    if hits is not None:
+        every = every.unionByName(hits.select(key, "pos", "name", "entity_type", "method_ord"))
+    if labelled is not None:
+        told = labelled.select(key, "pos", tx.strip(F.col("word")).alias("name"), mapped_label(F.col("label")).alias("entity_type"), F.lit(4).alias("method_ord"))
+        every = every.unionByName(told.where(_named(F.col("name")) & F.col("entity_type").isNotNull() & (F.col("entity_type") != "NetworkFunction")))
+    return first_hit(every, key)
 
 
 def classified(name: Column, context: Column) -> Column:

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomweave.functions import text as tx
@@ -78,27 +78,41 @@ def violations(made: DataFrame, moves: DataFrame, seen: DataFrame | None = None)
     return out.unionByName(lost).distinct()
 
 
-def to_json(made: DataFrame, moves: DataFrame) -> DataFrame:
-    """(procedure, json): one document a machine."""
+def _machines(made: DataFrame, moves: DataFrame) -> DataFrame:
+    """procedure, states (in order), transitions: sequential ones first, in the order of the states, then those by message, by source."""
     s = made.groupBy("procedure").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "is_initial", "is_final", "description"))).alias("states"))
-    t = moves.groupBy("procedure").agg(F.array_sort(F.collect_list(F.struct("source_state", "target_state", "trigger", "condition", "action"))).alias("transitions"))
-    whole = F.struct(F.col("procedure").alias("procedure_name"), "states", F.coalesce("transitions", F.array()).alias("transitions"), F.element_at("states", 1)["name"].alias("initial_state"), F.array(F.element_at("states", -1)["name"]).alias("final_states"))
-    return s.join(t, "procedure", "left").select("procedure", F.to_json(whole).alias("json"))
+    t = moves.groupBy("procedure").agg(F.collect_list(F.struct("source_state", "target_state", "trigger", "condition", "action")).alias("moves"))
+    ords = F.map_from_entries(F.transform("states", lambda x: F.struct(x["name"], x["ord"])))
+    late = lambda x: F.coalesce(x["action"] != "proceed_to_next_step", F.lit(True))
+    placed = F.transform("moves", lambda x: F.struct(late(x).alias("late"), F.when(~late(x), F.coalesce(F.try_element_at("ords", x["source_state"]), F.lit(0))).alias("at"), x.alias("move")))
+    rows = s.withColumn("ords", ords).join(t, "procedure", "left").withColumn("transitions", F.transform(F.array_sort(placed), lambda x: x["move"]))
+    return rows.select("procedure", "states", F.coalesce("transitions", F.array()).alias("transitions"))
+
+
+def to_json(made: DataFrame, moves: DataFrame) -> DataFrame:
+    """(procedure, json): one document a machine, states and transitions in its order."""
+    whole = F.struct(F.col("procedure").alias("procedure_name"), "states", "transitions", F.element_at("states", 1)["name"].alias("initial_state"), F.array(F.element_at("states", -1)["name"]).alias("final_states"))
+    return _machines(made, moves).select("procedure", F.to_json(whole).alias("json"))
+
+
+def _node(x: Column) -> Column:
+    shape = F.when(x["is_final"], "doublecircle").otherwise("box")
+    colour = F.when(x["is_initial"], "green").when(x["is_final"], "red").otherwise("lightblue")
+    return F.format_string('  "%s" [shape=%s, style=filled, fillcolor=%s, label="%s\\n%s"];', x["name"], shape, colour, x["name"], tx.shortened(x["description"], 50))
+
+
+def _move(x: Column) -> Column:
+    return F.format_string('  "%s" -> "%s" [label="%s"];', x["source_state"], x["target_state"], F.when(F.coalesce(x["trigger"], F.lit("")) == "", "ε").otherwise(x["trigger"]))
 
 
 def dot_lines(made: DataFrame, moves: DataFrame) -> DataFrame:
     """(procedure, part, line): the lines of a DOT drawing but for its frame; part 1 states, 2 transitions. Quotes are not escaped."""
-    shape = F.when(F.col("is_final"), "doublecircle").otherwise("box")
-    colour = F.when(F.col("is_initial"), "green").when(F.col("is_final"), "red").otherwise("lightblue")
-    node = F.format_string('  "%s" [shape=%s, style=filled, fillcolor=%s, label="%s\\n%s"];', "name", shape, colour, "name", tx.shortened(F.col("description"), 50))
-    move = F.format_string('  "%s" -> "%s" [label="%s"];', "source_state", "target_state", F.when(F.coalesce("trigger", F.lit("")) == "", "ε").otherwise(F.col("trigger")))
-    return made.select("procedure", F.lit(1).alias("part"), node.alias("line")).unionByName(moves.select("procedure", F.lit(2).alias("part"), move.alias("line")))
+    nodes = made.select("procedure", F.lit(1).alias("part"), _node(F.struct("*")).alias("line"))
+    return nodes.unionByName(moves.select("procedure", F.lit(2).alias("part"), _move(F.struct("*")).alias("line")))
 
 
 def to_dot(made: DataFrame, moves: DataFrame) -> DataFrame:
-    """(procedure, dot): the whole drawing; states in order."""
-    s = made.join(dot_lines(made, moves).where("part = 1").select("procedure", "line"), "procedure", "left_semi")
-    lines = dot_lines(s, moves).groupBy("procedure").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("ls"))
-    head = 'digraph FSM {\n  rankdir=TB;\n  node [shape=box, style=rounded];\n\n'
-    part = lambda k: F.array_join(F.transform(F.filter("ls", lambda x: x["part"] == k), lambda x: x["line"]), "\n")
-    return lines.select("procedure", F.concat(F.lit(head), part(1), F.lit("\n\n"), part(2), F.lit("\n}")).alias("dot"))
+    """(procedure, dot): the whole drawing; states and transitions in the machine's order."""
+    head = "digraph FSM {\n  rankdir=TB;\n  node [shape=box, style=rounded];\n\n"
+    lines = F.concat(F.transform("states", _node), F.array(F.lit("")), F.transform("transitions", _move), F.array(F.lit("}")))
+    return _machines(made, moves).select("procedure", F.concat(F.lit(head), F.array_join(lines, "\n")).alias("dot"))

@@ -134,10 +134,19 @@ def sends(rows: DataFrame, names: str = "names", text: str = "text", key: str =
     return hits.select(key, three)
 
 
+def _found_at(name: str, said: str) -> str:
+    """SQL: where ``name`` first stands in ``said`` as a whole word, from 1; 0: nowhere."""
+    return rf"regexp_instr({said}, concat('(?U)\\b\\Q', {name}, '\\E\\b'))"
+
+
 def derives(rows: DataFrame, names: str = "names", text: str = "text", key: str = "section") -> DataFrame:
-    """Per sentence that speaks of derivation: the nearest name before the verb derives the first after it; the third name is its source."""
-    sents = rows.select(key, names, F.posexplode(F.split(text, "[.\n]")).alias("sent", "s")).withColumn("verb", F.locate("deriv", F.lower("s"))).where("verb > 0")
-    placed = sents.withColumn("es", F.expr(f"filter(transform({names}, x -> struct(locate(x, s) as pos, x as name)), e -> e.pos > 0)"))
+    """Per sentence with ``derives``, ``derived`` or ``deriving`` (in this case): the nearest name before the verb derives the first after it; the first other name is its source.
+
+    Names count as whole words in the case given, at their first place; the verb is the first of the sentence.
+    """
+    sents = rows.select(key, names, F.posexplode(F.split(text, "[.\n]")).alias("sent", "s")).where(F.col("s").contains("deriv"))
+    sents = sents.withColumn("verb", F.regexp_instr("s", F.lit(r"(?U)\bderiv(?:es|ed|ing)\b"))).where("verb > 0")
+    placed = sents.withColumn("es", F.expr(f"filter(transform({names}, x -> struct({_found_at('x', 's')} as pos, x as name)), e -> e.pos > 0)"))
     placed = placed.withColumn("before", F.expr("array_max(filter(es, e -> e.pos < verb))")).withColumn("after", F.expr("array_min(filter(es, e -> e.pos > verb))")).where("before is not null and after is not null")
     placed = placed.withColumn("third", F.expr("array_min(filter(es, e -> e.name <> before.name and e.name <> after.name))"))
     two = F.expr("inline(array(struct(before.name as source_name, after.name as target_name, 'DERIVES' as rel_type), struct(after.name as source_name, third.name as target_name, 'DERIVED_FROM' as rel_type)))")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
-from fathomweave.operators import evidence, extract, relate, requirements
-from fathomweave.plans.tables import pick, register, table
+from fathomweave.operators import build, evidence, extract, relate, requirements
+from fathomweave.plans.tables import pick, quoted, register, table
+from fathomweave.plans.text_queries import derives_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -66,3 +67,52 @@ def step_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(QUERIES, ORACLE_SQL, "select conv_id, turn from conversations where length(text) >= 50")
 def section_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.substantial(table(spark, sf_dir, "conversations")).select("conv_id", "turn")
+
+
+_ONTOLOGY = [(t, w) for t, ws in lx.ONTOLOGY.items() for w in ws]
+_SECTION = f"""'The ' || {pick('o_custkey', ['AMF', 'amf', 'SMFs', 'UE', 'USIM'])} || ' meets ' || {pick('o_orderkey', ['SUCI.', 'KAUSF.', 'Handover.', '5G AKA.', 'XRES*.'])} || ' ' || {pick('o_custkey + o_orderkey', ['AMF', 'AUSF', 'UDM', 'XYZ'])}
+  || {pick('o_orderkey', [' sends a ', ' sends an ', ' forwards a '])} || o_orderpriority || ' to the ' || {pick('o_custkey', ['UE', 'SEAF', 'UDM'])} || '. The ' || {pick('o_orderkey + o_custkey', ['UDM', 'AMF', 'AUSF'])}
+  || {pick('o_custkey', [' derives ', ' derived ', ' shall derive ', ' DERIVES '])} || {pick('o_orderkey', ['KAUSF', 'KAMF', 'nothing'])} || ' from ' || {pick('o_custkey + o_orderkey', ['AUTN', 'RAND', 'UDM'])} || '.'"""
+_SENDING = r"([A-Z0-9/ -]+)\s+sends an?\s+(.+?)\s+to the\s+([A-Z0-9/ -]+)"
+
+
+@register(QUERIES, ORACLE_SQL, rf"""
+with t as (select o_orderkey as section, {_SECTION} as text from orders),
+known(entity_type, name) as (values {", ".join(f"({quoted(t)}, {quoted(w)})" for t, w in _ONTOLOGY)}),
+found as (select section, text, name, entity_type from t, known where regexp_matches(text, '(?i)\b' || regexp_escape(name) || '\b')),
+n as (select distinct section, name as word from found), {derives_sql('t', 'n')},
+h as (select section, trim(regexp_extract(m, '{_SENDING}', 1)) as src, trim(regexp_extract(m, '{_SENDING}', 2)) as msg, trim(regexp_extract(m, '{_SENDING}', 3)) as tgt from (select section, unnest(regexp_extract_all(text, '{_SENDING}')) as m from t)),
+sent as (select h.* from h join n a on a.section = h.section and a.word = src join n b on b.section = h.section and b.word = tgt),
+ents as (select section, text, name, entity_type from found union all select distinct s.section, t.text, msg, 'Message' from sent s join t using (section)),
+edges as (
+  select section, source_name, target_name, rel_type from derived
+  union all select section, src, msg, 'SENDS_TO' from sent union all select section, msg, tgt, 'IS_SENT_TO' from sent union all select section, msg, src, 'SENT_BY' from sent
+  union all select f.section, f.first, k.name, 'CONTAINS' from (select section, text, min(name) as first from found group by 1, 2) f, (select distinct name from known where entity_type in ('Key', 'Parameter')) k where contains(f.text, k.name)
+  union all select distinct x.section, x.name, k.name, 'PART_OF' from ents x, known k where k.entity_type = 'Procedure' and contains(x.text, k.name) and x.name <> k.name)
+select cast(section as varchar) as clause, source_name, target_name, rel_type from edges
+union all select cast(section as varchar), name, entity_type, 'NODE' from ents""")
+def section_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all sections, and their nodes as rows of the kind NODE."""
+    rows = table(spark, sf_dir, "orders").select(F.lit("d").alias("document"), F.col("o_orderkey").cast("string").alias("clause"), F.expr(_SECTION).alias("text"))
+    entities, edges = build.from_sections(rows)
+    nodes = entities.select("clause", F.col("name").alias("source_name"), F.col("entity_type").alias("target_name"), F.lit("NODE").alias("rel_type"))
+    return edges.select("clause", "source_name", "target_name", "rel_type").unionByName(nodes)
+
+
+_SPOKEN = f"""{pick('o_custkey', ['AMF', 'smf', 'UE', 'The', 'and', 'ausf'])} || ' ' || {pick('o_orderkey', ['registration', 'service request', 'SUCI identifier', 'K_AMF', 'XRES*s', 'ab value', 'the procedure'])} || ', '
+  || {pick('o_custkey + o_orderkey', ['DN', 'USIM', 'AF and UE', 'gNB', 'with authentication'])} || ' ' || {pick('o_orderkey', ['UDM', 'none'])}"""
+_TYPED = [(t, p.replace(r"\b[A-Z]{3,6}\b(?=\s+(?:parameter|identifier|value))", r"\b([A-Z]{3,6})\s+(?:parameter|identifier|value)"), int("(?=" in p)) for t, p in lx.TYPE_PATTERNS]
+
+
+@register(QUERIES, ORACLE_SQL, rf"""
+with t as (select o_orderkey as section, {_SPOKEN} as text from orders),
+known as (select section, name, 'NetworkFunction' as entity_type, 2 as method_ord, ord as pos from t, (values {", ".join(f"({i}, '{w}')" for i, w in enumerate(lx.RECOGNISED_FUNCTIONS))}) k(ord, name) where regexp_matches(text, '(?i)\b' || name || '\b')),
+typed as ({" union all ".join(f"select section, unnest(x) as name, '{t}' as entity_type, 3 as method_ord, {i} * 1000000 + generate_subscripts(x, 1) - 1 as pos from (select section, regexp_extract_all(text, '(?i){p}', {g}) as x from t)" for i, (t, p, g) in enumerate(_TYPED))}),
+told as (select section, upper(text[1:4]) as name, 'Actor' as entity_type, 4 as method_ord, 0 as pos from t),
+every as (select * from known union all select * from typed where length(name) > 2 and lower(name) not in ('the', 'and', 'for', 'with', 'from') union all select section, trim(name), entity_type, method_ord, pos from told where length(trim(name)) > 2 and lower(trim(name)) not in ('the', 'and', 'for', 'with', 'from')),
+first as (select *, row_number() over (partition by section, name order by method_ord, pos, entity_type) as rn from every)
+select section, name, entity_type, method_ord from first where rn = 1""")
+def recognised_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section"), F.expr(_SPOKEN).alias("text"))
+    labelled = rows.select("section", F.lit(0).alias("pos"), F.upper(F.substring("text", 1, 4)).alias("word"), F.lit("ORG").alias("label"))
+    return extract.recognised(rows, labelled=labelled).select("section", "name", "entity_type", "method_ord")

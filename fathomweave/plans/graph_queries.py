@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import text as tx
-from fathomweave.operators import graph
+from fathomweave.operators import graph, store
 from fathomweave.plans.tables import register, rows, table
+from fathomweave.runtime import new_path
 from fathomweave.streaming import events as ev
 
 QUERIES: dict = {}
@@ -43,6 +44,32 @@ def edge_merge_last_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("l_suppkey", "l_partkey", F.explode("properties").alias("k", "v"))
 
 
+def _stored(rows: DataFrame, keys: list[str], seq: str, policy: str) -> DataFrame:
+    """``rows`` merged into a stored table in three batches, the last of them first."""
+    path = new_path(rows.sparkSession, "store")
+    for k in (2, 0, 1):
+        store.merge(rows.where(F.pmod(F.xxhash64(seq), F.lit(3)) == k), path, keys, seq, policy)
+    return store.read(rows.sparkSession, path)
+
+
+@register(QUERIES, ORACLE_SQL, ORACLE_SQL["node_dedup_last"])
+def store_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return _stored(rows, ["user_id", "event_type"], "event_id", "last")
+
+
+@register(QUERIES, ORACLE_SQL, ORACLE_SQL["edge_merge_first_props"])
+def store_merge_edges_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = _stored(_lines(spark, sf_dir), ["l_suppkey", "l_partkey"], "seq", "first")
+    return merged.select("l_suppkey", "l_partkey", F.element_at("properties", "flag").alias("flag"))
+
+
+@register(QUERIES, ORACLE_SQL, ORACLE_SQL["edge_merge_last_props"])
+def store_merge_edges_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = _stored(_lines(spark, sf_dir), ["l_suppkey", "l_partkey"], "seq", "entries")
+    return merged.select("l_suppkey", "l_partkey", F.explode("properties").alias("k", "v"))
+
+
 @register(QUERIES, ORACLE_SQL, """
 with n as (select n_name as name, n_nationkey as id from nation union all select r_name, 100 + r_regionkey from region union all select 'NATION_' || (n_nationkey % 5), 200 + n_nationkey from nation),
 e as (select 'NATION_' || (c_nationkey % 7) as s, 'NATION_' || (c_custkey % 6) as t, 'LIVES IN-' || c_mktsegment as rel from customer)

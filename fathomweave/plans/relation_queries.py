@@ -87,6 +87,12 @@ nxt as (select procedure, name, lead(name) over (partition by procedure order by
 msg as (select n.procedure, n.name as source_state, target_state, trigger, 'send_' || replace(lower(trigger), ' ', '_') as action from nxt n join sent using (procedure, name) where target_state is not null)"""
 
 
+_MOVES = """moves as (select seq.procedure, source_state, target_state, trigger, action, false as late, ord as spot from seq join states on states.procedure = seq.procedure and states.name = source_state
+  union all select procedure, source_state, target_state, trigger, action, true, 0 from msg)"""
+_NODE = """'  "' || name || '" [shape=' || case when is_final then 'doublecircle' else 'box' end || ', style=filled, fillcolor=' || case when is_initial then 'green' when is_final then 'red' else 'lightblue' end
+  || ', label="' || name || '\\n' || case when length(description) > 50 then substr(description, 1, 50) || '...' else description end || '"];'"""
+
+
 @register(QUERIES, ORACLE_SQL, f"with {STEPS_SQL}, {_STATES} select * from states")
 def fsm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.states(_steps(spark, sf_dir)).drop("entity_type")
@@ -116,9 +122,9 @@ def fsm_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(QUERIES, ORACLE_SQL, f"""
-with {STEPS_SQL}, {_STATES}, {_SEQ}, {_MSG}, moves as (select procedure, source_state, target_state, trigger, action from seq union all select procedure, source_state, target_state, trigger, action from msg),
+with {STEPS_SQL}, {_STATES}, {_SEQ}, {_MSG}, {_MOVES},
 s as (select procedure, list({{'ord': ord, 'name': name, 'is_initial': is_initial, 'is_final': is_final, 'description': description}} order by ord) as states from states group by 1),
-t as (select procedure, list({{'source_state': source_state, 'target_state': target_state, 'trigger': trigger, 'condition': '', 'action': action}} order by source_state, target_state, trigger, action) as moves from moves group by 1)
+t as (select procedure, list({{'source_state': source_state, 'target_state': target_state, 'trigger': trigger, 'condition': '', 'action': action}} order by late, spot, source_state, target_state, trigger, action) as moves from moves group by 1)
 select procedure, cast(to_json({{'procedure_name': procedure, 'states': states, 'transitions': coalesce(moves, []), 'initial_state': states[1].name, 'final_states': [states[-1].name]}}) as varchar) as json from s left join t using (procedure)""")
 def fsm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _steps(spark, sf_dir)
@@ -135,6 +141,16 @@ def fsm_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fsm.dot_lines(fsm.states(steps), fsm.transitions(steps, _sends(spark, sf_dir)))
 
 
+@register(QUERIES, ORACLE_SQL, f"""
+with {STEPS_SQL}, {_STATES}, {_SEQ}, {_MSG}, {_MOVES},
+n as (select procedure, string_agg({_NODE}, chr(10) order by ord) as ns from states group by 1),
+m as (select procedure, string_agg('  "' || source_state || '" -> "' || target_state || '" [label="' || trigger || '"];', chr(10) order by late, spot, source_state, target_state, trigger, action) as ms from moves group by 1)
+select procedure, 'digraph FSM {{' || chr(10) || '  rankdir=TB;' || chr(10) || '  node [shape=box, style=rounded];' || chr(10) || chr(10) || ns || chr(10) || chr(10) || coalesce(ms || chr(10), '') || '}}' as dot from n left join m using (procedure)""")
+def fsm_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _steps(spark, sf_dir)
+    return fsm.to_dot(fsm.states(steps), fsm.transitions(steps, _sends(spark, sf_dir)))
+
+
 @register(QUERIES, ORACLE_SQL, """
 select 'conv_' || conv_id as procedure, role, turn as ord, count(*) over (partition by conv_id, role) as n from conversations""")
 def procedure_actors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,7 +265,7 @@ def rel_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ANY = ["AMF", "AUSF", "UDM", "XYZ"]
 _SENT = f"'The UE checks. ' || {pick('o_custkey', _ANY)} || {pick('o_orderkey', [' sends a ', ' sends an ', ' forwards a '])} || o_orderpriority || ' to the ' || {pick('o_custkey + o_orderkey', _ANY)}"
-_DERIVED = f"{pick('o_custkey', ['UDM', 'AMF', 'AUSF'])} || ' derives ' || {pick('o_orderkey', ['KAUSF', 'KAMF', 'nothing'])} || ' from ' || {pick('o_custkey + o_orderkey', ['AUTN', 'RAND', 'UDM', 'AMF'])} || '. Nothing here. ' || {pick('o_orderkey', ['AMF derived KAMF', 'a step'])}"
+_DERIVED = f"{pick('o_custkey', ['UDM', 'AMF', 'AUSF'])} || {pick('o_orderkey + o_custkey', [' derives ', ' derives ', ' derived ', ' shall derive ', ' DERIVES ', ' derivation of ', 'X derives '])} || {pick('o_orderkey', ['KAUSF', 'KAMF', 'nothing'])} || ' from ' || {pick('o_custkey + o_orderkey', ['AUTN', 'RAND', 'UDM', 'AMF'])} || '. Nothing here. ' || {pick('o_orderkey', ['AMF derived KAMF', 'a step', 'KAMFs, deriving AUTN for AMF, AUSF deriving KAUSF'])}"
 _SN = ["AMF", "AUSF", "UDM", "KAUSF", "KAMF", "AUTN"]
 
 
@@ -279,12 +279,19 @@ def rel_sends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.sends(t)
 
 
-@register(QUERIES, ORACLE_SQL, f"""
-with s as (select section, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as s from (select section, string_split_regex(text, '[.\\n]') as ss from (select o_orderkey as section, {_DERIVED} as text from orders))),
-v as (select *, instr(lower(s), 'deriv') as verb from s where instr(lower(s), 'deriv') > 0), e as (select v.*, word, instr(s, word) as pos from v, {word_rows(_SN)} where instr(s, word) > 0),
+def derives_sql(sections: str, names: str) -> str:
+    """Rows of ``relate.derives`` with RE2: places are lengths of what comes before. ``names``: section, word."""
+    return rf"""
+s as (select section, generate_subscripts(ss, 1) - 1 as sent, unnest(ss) as s from (select section, string_split_regex(text, '[.\n]') as ss from {sections})),
+v as (select *, length(regexp_extract(s, '(?s)^(.*?)\bderiv(?:es|ed|ing)\b', 1)) + 1 as verb from s where regexp_matches(s, '\bderiv(?:es|ed|ing)\b')),
+e as (select v.*, word, length(regexp_extract(s, '(?s)^(.*?)\b' || word || '\b', 1)) + 1 as pos from v join {names} using (section) where regexp_matches(s, '\b' || word || '\b')),
 b as (select section, sent, max_by(word, pos) as b from e where pos < verb group by 1, 2), a as (select section, sent, min_by(word, pos) as a from e where pos > verb group by 1, 2), ab as (select * from b join a using (section, sent)),
-c as (select ab.section, ab.sent, ab.a, min_by(word, pos) as c from ab join e on e.section = ab.section and e.sent = ab.sent where word <> a and word <> b group by 1, 2, 3)
-select section, cast(sent as integer) as sent, b as source_name, a as target_name, 'DERIVES' as rel_type from ab union all select section, cast(sent as integer), a, c, 'DERIVED_FROM' from c""")
+c as (select ab.section, ab.sent, ab.a, min_by(word, pos) as c from ab join e on e.section = ab.section and e.sent = ab.sent where word <> a and word <> b group by 1, 2, 3),
+derived as (select section, cast(sent as integer) as sent, b as source_name, a as target_name, 'DERIVES' as rel_type from ab union all select section, cast(sent as integer), a, c, 'DERIVED_FROM' from c)"""
+
+
+@register(QUERIES, ORACLE_SQL, f"""
+with t as (select o_orderkey as section, {_DERIVED} as text from orders), n as (select section, word from t, {word_rows(_SN)}), {derives_sql('t', 'n')} select * from derived""")
 def rel_derives(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "orders").selectExpr("o_orderkey as section", f"{_DERIVED} as text").withColumn("names", F.array(*[F.lit(w) for w in _SN]))
     return relate.derives(t)
