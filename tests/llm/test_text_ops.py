@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomweave.llm import langid, linededup, mixing, packing, quality, sharding, toxicity
+from fathomweave.llm import langid, linededup, mixing, packing, quality, sharding, token_store, toxicity
 from fathomweave.llm.encode import Encoder, default_tokenizer, pack
 from fathomweave.llm.folds import held_out
 from fathomweave.llm.token_store import chunks, placed, powers, read_digests, recipes, reconstruct, verify, write_store
@@ -429,7 +429,7 @@ def test_toxicity_takes_one_text_of_an_id(spark):
     """A labelled id that many rows share adds one text to the sample, the same on every run."""
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
     rows = [(i, ("bad awful vile " if i % 2 else "good calm kind ") + words(20, i)) for i in ids] + [(ids[0], f"other text {k}") for k in range(4000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
     seen = []
     real = toxicity.train
