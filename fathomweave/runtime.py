@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -72,5 +74,10 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that ``path`` names (file, hdfs, s3, ...; without a scheme: local) and the path in it, for Python code in tasks."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

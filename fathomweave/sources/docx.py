@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import io
-import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fathomweave.runtime import ship
 
@@ -37,26 +33,17 @@ def paragraphs(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def stem(file: str) -> str:
+    return file.rpartition("/")[2].removesuffix(".docx")
+
+
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*_new.docx") -> DataFrame:
     """A row for each paragraph of the files of one folder; a file that can't be read gives one row with its error.
 
     doc_seq numbers the files by name, which the order of sections follows.
     """
+    from fathomweave.sources import capture
+
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    # one row a file: numbering needs names only
-    named = files.select("path").withColumn("name", F.regexp_extract("path", r"([^/]+)\.docx$", 1)).orderBy("name").select("name").collect()
-    order = {r["name"]: i for i, r in enumerate(named)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = re.search(r"([^/]+)\.docx$", path)[1]
-                try:
-                    rows += [(name, order[name], i, s, t, None) for i, (s, t) in enumerate(paragraphs(content))]
-                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-                    rows.append((name, order[name], None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    spark.dataSource.register(capture.ParagraphSource)
+    return spark.read.format("paragraphs").option("pattern", pattern).load(folder)

@@ -4,10 +4,11 @@ import struct
 import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from fathomweave.functions import annotate
 from fathomweave.operators import packets, sections, steps
-from fathomweave.sources import docx, pcap
+from fathomweave.sources import capture, docx, layers, pcap
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -78,3 +79,113 @@ def test_annotators(spark):
     assert len(v[1]) == 64 and v[3] is None and abs(sum(x * x for x in v[1]) - 1) < 1e-5
     shout = annotate.answers(t, F.col("text"), "a", lambda: lambda ps: [(p or "").upper() for p in ps])
     assert shout.where("id = 1").first()["a"].startswith("ONE TWO")
+
+
+def ie(kind, value):
+    return struct.pack(">HH", kind, len(value)) + value
+
+
+PFCP_MESSAGE = b"\x21\x32" + struct.pack(">H", 12 + 0) + struct.pack(">Q", 77) + b"\0\0\x05\0"
+ELEMENTS = ie(1, ie(56, b"\0\1") + ie(2, ie(20, b"\0") + ie(93, b"\2\x0a\0\0\1")) + ie(29, b"\0\0\0\xff")) + ie(3, ie(108, b"\0\0\0\1") + ie(4, ie(42, b"\1"))) + ie(1, ie(56, b"\0\2")) + ie(0x8001, b"\0\x0aab")
+
+
+def pfcp_message(elements=ELEMENTS):
+    body = struct.pack(">Q", 77) + b"\0\0\x05\0" + elements
+    return b"\x21\x32" + struct.pack(">H", len(body)) + body
+
+
+def test_nested_layers():
+    got = layers.pfcp(pfcp_message())
+    assert got["seid"] == "77" and got["seq_number"] == "5" and got["msg_type"] == "50"
+    assert got["create_pdr"] == [{"pdr_id": "00:01", "pdi": {"source_interface": "00", "ue_ip_address": "02:0a:00:00:01"}, "precedence": "00:00:00:ff"}, {"pdr_id": "00:02"}]
+    assert got["create_far"] == {"far_id": "00:00:00:01", "forwarding_parameters": {"destination_interface": "01"}}
+    assert got["ie_32769"] == {"enterprise": "10", "value": "61:62"}
+    init = struct.pack(">BBH", 1, 0, 20 + 8) + bytes(range(16)) + struct.pack(">HH", 5, 8) + bytes([10, 0, 0, 1])
+    chunk = layers.sctp(struct.pack(">HHII", 1, 2, 9, 0) + init)["chunks"][0]
+    assert chunk["fields"]["ipv4_address"] == "0a:00:00:01"
+    assert layers.nas(bytes([0x7E, 2, 1, 2, 3, 4, 7, 0x7E, 0, 0x41, 9]))["message"] == {"discriminator": "mobility", "msg_type": "65", "body": "09"}
+    assert layers.nas_elements(bytes([0xB3, 0x10, 1, 5, 0x71, 0, 2, 6, 7, 0x10, 1, 8])) == {"element_b_": "3", "element_10": ["05", "08"], "element_71": "06:07"}
+    for cut in range(len(pfcp_message())):  # whatever is missing, nothing raises
+        assert isinstance(layers.pfcp(pfcp_message()[:cut]), dict)
+
+
+def fragments(inner, ident, size=40):
+    out = []
+    for at in range(0, len(inner), size):
+        part = inner[at : at + size]
+        flags = at // 8 | (0x2000 if at + size < len(inner) else 0)
+        out.append(b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(part), ident, flags, 64, 17, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 3])) + part)
+    return out
+
+
+def pcap_bytes(frames):
+    return struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", 0, 0, len(f), len(f)) + f for f in frames)
+
+
+def udp(body):
+    return struct.pack(">HHHH", 8805, 8805, 8 + len(body), 0) + body
+
+
+def test_fragments_out_of_order(spark, tmp_path):
+    whole = udp(pfcp_message())
+    a, b = fragments(whole, 7), fragments(udp(pfcp_message(ie(19, b"\1"))), 7, 8)
+    lost = fragments(whole, 8)[:-1]
+    # the same identification is used again once it is complete
+    (tmp_path / "f.pcap").write_bytes(pcap_bytes([*a[::-1], *lost, frame(17, udp(pfcp_message())), b[2], *b[:2], *b[3:]]))
+    got = packets.as_variant(packets.project(pcap.read_captures(spark, str(tmp_path)))).select("num", "protocol", F.expr("variant_get(payload, '$.create_pdr[0].pdi.source_interface', 'string')").alias("x"), F.expr("variant_get(payload, '$.cause', 'string')").alias("c")).collect()
+    n = len(a)
+    assert sorted((int(r["num"]), r["x"], r["c"]) for r in got) == [(n, "00", None), (n + len(lost) + 1, "00", None), (n + len(lost) + 1 + len(b), None, "01")]
+
+
+def many(n):
+    tcp = lambda body: struct.pack(">HHIIBBHHH", 80, 81, 0, 0, 5 << 4, 0, 0, 0, 0) + body
+    return [frame(6, tcp(b'{"i": %d}' % i)) if i % 3 else frame(1, b"ping") for i in range(n)]
+
+
+def test_capture_is_cut_between_blocks(spark, tmp_path):
+    (tmp_path / "x.pcap").write_bytes(pcap_bytes(many(900)))
+    ng = struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28) + struct.pack("<IIHHII", 1, 20, 1, 0, 0, 20)
+    for f in many(500):
+        pad = -len(f) % 4
+        ng += struct.pack("<IIIIIII", 6, 32 + len(f) + pad, 0, 0, 0, len(f), len(f)) + f + b"\0" * pad + struct.pack("<I", 32 + len(f) + pad)
+    (tmp_path / "y.pcapng").write_bytes(ng + ng)  # a second section starts anew
+    one, several = pcap.read_captures(spark, str(tmp_path)), pcap.read_captures(spark, str(tmp_path), partition_bytes=4000)
+    key = lambda df: sorted((r["file"], int(r["num"]), r["hex_payload"] or "") for r in df.collect())
+    assert several.rdd.getNumPartitions() > 20 > one.rdd.getNumPartitions()
+    assert key(several) == key(one) and len(key(one)) == 900 + 1000
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    (tmp_path / "x.pcap").write_bytes(pcap_bytes(many(30) + fragments(udp(b"hello"), 1)))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = pcap.read_captures(spark, str(tmp_path)).where("dst = '10.0.0.2' and length > 3")
+        assert df.count() == 30
+        reader = capture.FilteredCaptureReader(df.schema, {"path": str(tmp_path)})
+        left = list(reader.pushFilters([EqualTo(("dst",), "10.0.0.3"), EqualTo(("num",), "1")]))
+        assert left == [EqualTo(("num",), "1")]
+        assert [x for p in reader.partitions() for x in capture._rows(p, "whole", reader.wanted)][0]["dst"] == "10.0.0.3"
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_captures_as_a_stream(spark, tmp_path):
+    """New files, and what is added to a file, a half-written block included, come once each."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    all_ = many(40)
+    data = pcap_bytes(all_)
+    cut = len(pcap_bytes(all_[:25])) + 9
+    (src / "a.pcap").write_bytes(data[:cut])
+    pcap.ship(spark)
+    spark.dataSource.register(capture.CaptureSource)
+    stream = spark.readStream.format("captures").load(str(src)).select("file", "num", "hex_payload")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    assert spark.read.parquet(out).count() == 25
+    (src / "a.pcap").write_bytes(data)
+    (src / "b.pcap").write_bytes(pcap_bytes(all_[:4]))
+    q.processAllAvailable()
+    q.stop()
+    got = [(r["file"][-6:], int(r["num"])) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [("a.pcap", i + 1) for i in range(40)] + [("b.pcap", i + 1) for i in range(4)]
