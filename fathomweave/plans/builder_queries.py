@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
-from fathomweave.operators import build, evidence, extract, relate, requirements
+from fathomweave.operators import build, evidence, extract, live, relate, requirements
 from fathomweave.plans.tables import pick, quoted, register, table
-from fathomweave.plans.text_queries import derives_sql
+from fathomweave.plans.text_queries import MARK_STAND_INS, TEXT_STAND_INS, TITLE_STAND_INS, derives_sql
+from fathomweave.runtime import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -116,3 +117,14 @@ def recognised_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section"), F.expr(_SPOKEN).alias("text"))
     labelled = rows.select("section", F.lit(0).alias("pos"), F.upper(F.substring("text", 1, 4)).alias("word"), F.lit("ORG").alias("label"))
     return extract.recognised(rows, labelled=labelled).select("section", "name", "entity_type", "method_ord")
+
+
+@register(QUERIES, ORACLE_SQL)
+def live_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the graph of all documents. A document is a section with a figure, its first sentence the title; its lines are numbered, so they are steps."""
+    d = table(spark, sf_dir, "documents")
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    title = F.concat(F.split("text", r"\.")[0], F.lit(" "), F.col("doc_id"))
+    rows = d.select(F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("doc_seq"), F.lit(1).cast("bigint").alias("section_seq"), title.alias("title"), F.lit("1").alias("clause"), numbered.alias("text"), F.lit(True).alias("has_figure"))
+    stand_ins = {"title_words": TITLE_STAND_INS, "text_words": TEXT_STAND_INS, "marks": MARK_STAND_INS}
+    return live.counts(*live.build_graph(rows, new_path(spark, "live"), **stand_ins))
