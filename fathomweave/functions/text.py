@@ -84,7 +84,11 @@ def chunks(text: str, size: int, least: int = 10) -> Column:
 
 
 def is_stop_word(word: Column, stop_words: list[str], phrases: list[str]) -> Column:
-    low = strip(F.lower(word))
+    return is_stop_low(strip(F.lower(word)), stop_words, phrases)
+
+
+def is_stop_low(low: Column, stop_words: list[str], phrases: list[str]) -> Column:
+    """As :func:`is_stop_word`, of a word in lower case without blanks around."""
     out = low.isin(stop_words) | (F.length(low) < 2) | (F.length(low) > 50)
     for p in phrases:
         out = out | low.contains(p)

@@ -30,8 +30,11 @@ def pattern_messages(text: Column) -> Column:
 
 def merged(a: Column, b: Column, most: int = 15) -> Column:
     """Union of two lists without stop-words and words of one or two characters, sorted, at most ``most``."""
-    keep = lambda x: (F.length(tx.strip(x)) > 2) & ~tx.is_stop_word(x, lx.STOP_WORDS, lx.STOP_PHRASES)
-    return F.slice(F.array_sort(F.array_distinct(F.transform(F.filter(F.array_union(F.coalesce(a, F.array()), F.coalesce(b, F.array())), keep), tx.strip))), 1, most)
+    # blanks and case are settled once a word; expressions within a lambda are not shared
+    bare = F.transform(F.array_union(F.coalesce(a, F.array()), F.coalesce(b, F.array())), tx.strip)
+    pairs = F.transform(F.array_distinct(bare), lambda w: F.struct(w.alias("w"), F.lower(w).alias("low")))
+    kept = F.filter(pairs, lambda x: (F.length(x["w"]) > 2) & ~tx.is_stop_low(x["low"], lx.STOP_WORDS, lx.STOP_PHRASES))
+    return F.slice(F.array_sort(F.transform(kept, lambda x: x["w"])), 1, most)
 
 
 def normal_function(candidate: Column, known: list[str] = lx.NETWORK_FUNCTIONS) -> Column:

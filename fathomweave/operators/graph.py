@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
+from fathomweave.runtime import write_table
 
 
 def first_wins(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -82,12 +83,18 @@ def siblings(mentions: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(node, hops): nodes within ``depth`` steps of ``roots`` (node) over directed edges (a, b)."""
-    seen = roots.select("node").distinct().withColumn("hops", F.lit(0))
-    front = seen.select("node")
+    """(node, hops): nodes within ``depth`` steps of ``roots`` (node) over directed edges (a, b).
+
+    Each round's new nodes are written, so no plan holds those of the rounds before; a round without any is the last.
+    """
+    seen, _ = write_table(roots.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
+    front = seen
     for k in range(1, depth + 1):
-        front = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(k)))
+        step = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front, _ = write_table(step.withColumn("hops", F.lit(k)), "reached")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomweave.functions import annotate
+from fathomweave.functions import text as tx
 
 #: Words at which the stand-in for a noun chunker cuts.
 CUTS = (
@@ -26,8 +27,9 @@ def phrases(text: Column, cuts: list[str] = CUTS) -> Column:
 
     A stand-in for noun chunks; those of a parser can take its place in :func:`processed`.
     """
-    words = F.split(F.regexp_replace(text, MARKS, " | "), SPACE)
-    runs = F.split(F.concat_ws(" ", F.transform(words, lambda w: F.when(F.lower(w).isin(cuts), F.lit("|")).otherwise(w))), "\\|")
+    words = F.regexp_replace(F.regexp_replace(text, MARKS, " | "), SPACE, " ")
+    # a cut word stands between blanks or at an end
+    runs = F.split(F.regexp_replace(words, rf"(?i)(?<![^ ])(?:{'|'.join(map(tx.literal, cuts))})(?![^ ])", "|"), "\\|")
     return F.when(text.isNotNull(), short(F.transform(runs, lambda r: F.trim(r))))
 
 

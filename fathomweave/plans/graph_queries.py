@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import text as tx
-from fathomweave.operators import graph, store
+from fathomweave.operators import graph, name_index, store
 from fathomweave.plans.tables import register, rows, table
 from fathomweave.runtime import new_path
 from fathomweave.streaming import events as ev
@@ -147,6 +147,24 @@ def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.suggest(nodes, "w")
 
 
+@register(QUERIES, ORACLE_SQL, ORACLE_SQL["suggest_prefix"])
+def suggest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names through the table of letter groups."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), tx.keywords(F.col("p_name")).alias("keywords"))
+    folder = new_path(spark, "letters")
+    name_index.write_letters(nodes, folder)
+    return name_index.suggest(spark, folder, "w")
+
+
+@register(QUERIES, ORACLE_SQL, "select p_partkey from part where contains(lower(p_name), 'ond c')")
+def names_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name holds a run of letters, found by its groups of three."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    folder = new_path(spark, "letters")
+    name_index.write_letters(part.withColumn("keywords", tx.keywords(F.col("name"))), folder)
+    return part.join(name_index.holding(spark, folder, "ond c"), "name", "left_semi").select("p_partkey")
+
+
 @register(QUERIES, ORACLE_SQL, "select l_orderkey, l_linenumber, md5(cast(l_partkey as varchar) || ':' || cast(l_suppkey as varchar) || ':' || l_returnflag) as uid from lineitem")
 def relation_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", graph.relation_uid(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag")).alias("uid"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
-from fathomweave.operators import classify, extract, packets, relate, sections, steps
+from fathomweave.operators import classify, extract, packets, phrases, relate, sections, steps
 from fathomweave.plans.tables import pick, register, table, word_rows
 
 QUERIES: dict = {}
@@ -165,6 +165,22 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(extract.matches(F.col("text"), WORDS)).alias("word"))
 
 
+_RUNS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+
+
+@register(QUERIES, ORACLE_SQL, f"""
+with b as (select {_RUNS.format('text')} as ps from benchmark), d as (select doc_id, {_RUNS.format('text')} as ps from documents),
+lex as (select distinct array_to_string(ps[i:i + 4], '') as phrase from (select ps, unnest(range(1, len(ps) - 3)) as i from b) where regexp_matches(ps[i], '^[\p{{L}}\p{{N}}_]')),
+p as (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as piece from d),
+at as (select doc_id, piece, sum(length(piece)) over w - length(piece) as before, piece || lead(piece, 1) over w || lead(piece, 2) over w || lead(piece, 3) over w || lead(piece, 4) over w as run from p window w as (partition by doc_id order by i))
+select doc_id, phrase, cast(before + 1 as integer) as start from at join lex on lex.phrase = at.run where regexp_matches(piece, '^[\\p{{L}}\\p{{N}}_]')""")
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in documents where three words of a benchmark text stand one after another."""
+    b = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0)).alias("ps"))
+    three = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ps") - 4)), lambda i: (i + 4 <= F.size("ps")) & F.get("ps", i - 1).rlike(r"^[\p{L}\p{N}_]")), lambda i: F.array_join(F.slice("ps", i, F.lit(5)), ""))
+    return phrases.hits(table(spark, sf_dir, "documents"), b.select(F.explode(three).alias("phrase")), "doc_id")
+
+
 _STOP = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
 
 
