@@ -38,19 +38,32 @@ POLICIES = {"base": Policy("base", BASE), "v1": Policy("v1", 0b0111111), "v2": P
 PLACE_BITS = 20
 
 
+#: SQL: the hash of the window at place ``i`` of ``ws``.
+DIGEST = "xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2))"
+
+
 def _repeated() -> str:
-    """SQL: places (from 0) of the 3-word windows of ``ws`` that occur twice or more; equal hashes are held against the words."""
+    """SQL: places (from 0) of the 3-word windows of ``ws`` that occur twice or more.
+
+    Windows are sorted by hash, and neighbours of equal hash are held against one another word by word. Where two that differ share
+    a hash, they may stand between equal ones, so such a text's windows are sorted by their words instead.
+    """
     same = "get(ws, {a}) = get(ws, {b}) and get(ws, {a} + 1) = get(ws, {b} + 1) and get(ws, {a} + 2) = get(ws, {b} + 2)"
+    grams = "transform(sequence(0, size(ws) - 3), i -> {as_})"
+    text = "concat_ws(' ', get(ws, i), get(ws, i + 1), get(ws, i + 2))"
+    beside = lambda k: f"coalesce(get(e, k + {k}).t = get(e, k).t, false)"
+    by_words = f"get(transform(array(sort_array({grams.format(as_=f'struct({text} as t, i as i)')})), e -> transform(filter(sequence(0, size(e) - 1), k -> {beside(-1)} or {beside(1)}), k -> get(e, k).i)), 0)"
 
     def found(ordered: str, hash_of: str, place_of: str) -> str:
-        near = lambda k: f"coalesce({hash_of.format(x=f'get(s, k + {k})')} = {hash_of.format(x='get(s, k)')} and " + same.format(a=place_of.format(x="get(s, k)"), b=place_of.format(x=f"get(s, k + {k})")) + ", false)"
-        return f"get(transform(array({ordered}), s -> transform(filter(sequence(0, size(s) - 1), k -> {near(-1)} or {near(1)}), k -> {place_of.format(x='get(s, k)')})), 0)"
+        alike = lambda k: f"{hash_of.format(x=f'get(s, k + {k})')} = {hash_of.format(x='get(s, k)')}"
+        words = lambda k: same.format(a=place_of.format(x="get(s, k)"), b=place_of.format(x=f"get(s, k + {k})"))
+        near = lambda k: f"coalesce({alike(k)} and {words(k)}, false)"
+        mixed = f"exists(sequence(0, size(s) - 1), k -> coalesce({alike(1)} and not ({words(1)}), false))"
+        return f"get(transform(array({ordered}), s -> if({mixed}, {by_words}, transform(filter(sequence(0, size(s) - 1), k -> {near(-1)} or {near(1)}), k -> {place_of.format(x='get(s, k)')}))), 0)"
 
-    grams = "transform(sequence(0, size(ws) - 3), i -> {as_})"
-    digest = "xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2))"
     low = (1 << PLACE_BITS) - 1
-    packed = found(f"sort_array({grams.format(as_=f'(({digest} & ~{low}L) | i)')})", "({x} & ~" + f"{low}L)", f"cast({{x}} & {low}L as int)")
-    pairs = found(f"sort_array({grams.format(as_=f'struct({digest} as h, i as i)')})", "{x}.h", "{x}.i")
+    packed = found(f"sort_array({grams.format(as_=f'(({DIGEST} & ~{low}L) | i)')})", "({x} & ~" + f"{low}L)", f"cast({{x}} & {low}L as int)")
+    pairs = found(f"sort_array({grams.format(as_=f'struct({DIGEST} as h, i as i)')})", "{x}.h", "{x}.i")
     return f"if(size(ws) < 3, cast(array() as array<int>), if(size(ws) <= {1 << PLACE_BITS}, {packed}, {pairs}))"
 
 

@@ -448,3 +448,19 @@ def test_toxicity_takes_one_text_of_an_id(spark):
 
 def test_registered_sharding_splits(spark):
     assert sharding.op5_sharding(spark, "/root/testdata/sf0.01").select("shard").distinct().count() > 3
+
+
+def test_quality_with_equal_hashes(spark, monkeypatch):
+    """Windows that differ but share a hash, standing between equal ones, hide no repeat."""
+    monkeypatch.setattr(quality, "DIGEST", "xxhash64(length(get(ws, i)))")
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice(["a", "b", "cc"]) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(60, "a x y b x y c x y a x y"), (61, None)]
+
+    def repeats(text):
+        ws = (text or "").split()
+        grams = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+        n = Counter(grams)
+        return len({j for i, g in enumerate(grams) if n[g] > 1 for j in (i, i + 1, i + 2)})
+
+    got = {x["doc_id"]: x["n_repeat_words"] for x in quality.ledger(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got == {i: repeats(t) for i, t in texts}
