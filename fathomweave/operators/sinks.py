@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomweave.functions import text as tx
+from fathomweave.runtime import filesystem, ship, write_table
+
+
+def write_machines(documents: DataFrame, column: str, folder: str, suffix: str = "json") -> DataFrame:
+    """One file ``{name}.{suffix}`` a procedure, by its sanitised name; returns (procedure, file) of what was written.
+
+    ``documents``: procedure and the JSON or DOT column. JSON is indented by two. Files are written by the tasks, each under a name of its own
+    first, so a task that is run again leaves whole files. Procedures whose names become one share a file; the least of them has it.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    named = documents.select("procedure", F.concat(tx.file_name(F.col("procedure")), F.lit(f".{suffix}")).alias("file"), F.col(column).alias("value"))
+    own = named.groupBy("file").agg(F.min(F.struct("procedure", "value")).alias("x")).select("x.procedure", "file", "x.value")
+    store, base = filesystem(folder)
+    store.create_dir(base, recursive=True)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = filesystem(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                text = json.dumps(json.loads(row["value"]), indent=2, ensure_ascii=False) if suffix == "json" else row["value"]
+                draft = f"{base}/.{row['file']}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as f:
+                    f.write(text.encode())
+                store.move(draft, f"{base}/{row['file']}")
+            yield batch.select(["procedure", "file"])
 
-def write_machines(documents: DataFrame, column: str, folder: str) -> None:
-    """One text file a procedure, in a directory of its sanitised name; ``documents``: procedure and the JSON or DOT column."""
-    documents.select(tx.file_name(F.col("procedure")).alias("procedure"), F.col(column).alias("value")).repartition("procedure").write.mode("overwrite").partitionBy("procedure").text(folder)
+    done, _ = write_table(own.where("value is not null").mapInArrow(run, "procedure string, file string"), "machine-files")
+    return done
 
 
 def write_packets(packets: DataFrame, folder: str) -> None:

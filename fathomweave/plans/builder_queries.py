@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import lexicon as lx
-from fathomweave.operators import build, evidence, extract, live, relate, requirements
-from fathomweave.plans.tables import pick, quoted, register, table
+from fathomweave.operators import build, classify, evidence, extract, live, relate, requirements, sinks
+from fathomweave.plans.tables import pick, procedures, quoted, register, table
 from fathomweave.plans.text_queries import MARK_STAND_INS, TEXT_STAND_INS, TITLE_STAND_INS, derives_sql
+from fathomweave.plans.text_queries import _lines as document_lines
 from fathomweave.runtime import new_path
 
 QUERIES: dict = {}
@@ -128,3 +129,70 @@ def live_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.select(F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("doc_seq"), F.lit(1).cast("bigint").alias("section_seq"), title.alias("title"), F.lit("1").alias("clause"), numbered.alias("text"), F.lit(True).alias("has_figure"))
     stand_ins = {"title_words": TITLE_STAND_INS, "text_words": TEXT_STAND_INS, "marks": MARK_STAND_INS}
     return live.counts(*live.build_graph(rows, new_path(spark, "live"), **stand_ins))
+
+
+_SAYS = f"""{pick('o_custkey', ['Registration Request', 'registration Request', 'Namf_Communication_Transfer', 'AMF registration', 'N_x', 'Service Confirm', 'Step Request'])} || ' and ' || {pick('o_orderkey', ['Identity Response', 'SMF establishment', 'Nausf_UEAuthentication', 'none', 'A authentication'])}"""
+_STOPS = ", ".join(quoted(w) for w in lx.STOP_WORDS)
+_HOLDS = " or ".join(f"contains(lower(trim(m)), {quoted(w)})" for w in lx.STOP_PHRASES)
+
+
+@register(QUERIES, ORACLE_SQL, rf"""
+with t as (select o_orderkey, {_SAYS} as text from orders),
+f as (select o_orderkey, unnest({" || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in extract.MESSAGE_PATTERNS)}) as m from t)
+select o_orderkey, list_sort(list_distinct(list(m))) as messages from f where length(m) between 6 and 79 and lower(trim(m)) not in ({_STOPS}) and not ({_HOLDS}) group by o_orderkey""")
+def message_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SAYS).alias("text"))
+    return rows.select("o_orderkey", extract.pattern_messages(F.col("text")).alias("messages")).where("size(messages) > 0")
+
+
+_ANSWER = pick("o_custkey", ["Yes\nHandover of sessions", "yes, it is\nabc", "No\nHandover", "I know: yes\nHandover", "YES\n\n  Paging  \nmore", "perhaps"])
+
+
+@register(QUERIES, ORACLE_SQL, f"""
+with t as (select o_orderkey, {_ANSWER} as answer from orders),
+l as (select *, list_filter(list_transform(string_split(answer, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not contains(lower(x), 'yes') and not contains(lower(x), 'no'))[1] as line from t)
+select o_orderkey, case when length(line) between 4 and 79 then line else 'title' end as name from l where contains(lower(answer), 'yes') and not contains(lower(answer), 'no')""")
+def answered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ANSWER).alias("answer"))
+    return rows.select("o_orderkey", classify.answer_name(F.col("answer"), F.lit("title")).alias("name")).where("name is not null")
+
+
+_LABELS = ["ORG", "PRODUCT", "EVENT", "PERSON", "GPE", "DATE"]
+
+
+@register(QUERIES, ORACLE_SQL, f"""
+with t as (select o_orderkey, {pick('o_custkey', _LABELS)} as label from orders)
+select o_orderkey, case label when 'ORG' then 'Actor' when 'PRODUCT' then 'Entity' when 'EVENT' then 'Procedure' when 'DATE' then 'Entity' end as entity_type,
+  'Entity: ' || label || '. Type: T. Keywords: a b. Description: ' || o_orderkey as said from t""")
+def label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(pick("o_custkey", _LABELS)).alias("label"))
+    said = extract.embedding_text(F.col("label"), F.lit("T"), F.array(F.lit("a"), F.lit("b")), F.col("o_orderkey").cast("string"))
+    return rows.select("o_orderkey", extract.mapped_label(F.col("label")).alias("entity_type"), said.alias("said"))
+
+
+_RELATED = "'so: {\"relationships\": [{\"source\": \"a' || o_custkey || '\", \"target\": \"b\", \"type\": \"' || " + pick("o_orderkey", ["INVOKE", "LIKES", "SEND"]) + " || '\"}, {\"source\": \"c\", \"target\": \"d\", \"type\": \"PART_OF\"}]} end'"
+
+
+@register(QUERIES, ORACLE_SQL, f"""
+with t as (select o_orderkey, o_custkey, {pick('o_orderkey', ['INVOKE', 'LIKES', 'SEND'])} as kind from orders),
+e as (select cast(o_orderkey as varchar) as procedure, 'a' || o_custkey as source_name, 'b' as target_name, kind as rel_type from t where kind <> 'LIKES' union all select cast(o_orderkey as varchar), 'c', 'd', 'PART_OF' from t)
+select *, 'llm_extraction' as extraction_method from e""")
+def annotated_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations in a model's answers, put before those of procedures without anything."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("procedure"), F.expr(_RELATED).alias("answer"))
+    none = procedures(spark, sf_dir).where("false")
+    return relate.required(none, relate.from_annotation(rows)).select("procedure", "source_name", "target_name", "rel_type", "extraction_method")
+
+
+@register(QUERIES, ORACLE_SQL, "select l_suppkey, l_partkey from lineitem where l_returnflag = 'R' order by 'p' || l_partkey, 's' || l_suppkey limit 5")
+def sampled_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    edges = li.select(F.concat(F.lit("p"), "l_partkey").alias("source_name"), F.concat(F.lit("s"), "l_suppkey").alias("target_name"), F.col("l_returnflag").alias("rel_type"), "l_suppkey", "l_partkey")
+    return sinks.sample_relations(edges, "R").select("l_suppkey", "l_partkey")
+
+
+@register(QUERIES, ORACLE_SQL, r"""
+with l as (select doc_id, generate_subscripts(ls, 1) - 1 as para_seq, unnest(ls) as text from (select doc_id, string_split(text, chr(10)) as ls from documents))
+select cast(doc_id as varchar) as document, cast(para_seq as integer) as para_seq, length(text) < 40 or regexp_matches(text, '^\d+(\.\d+)*\s+') or regexp_matches(text, '^[A-Z]\.\d+(\.\d+)*\s+[A-Z]') as is_header, case when length(text) < 40 then 'Heading 1' else 'Normal' end as style from l""")
+def paragraph_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.paragraph_log(document_lines(spark, sf_dir)).select("document", "para_seq", "is_header", "style")

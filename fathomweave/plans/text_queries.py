@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomweave.functions import chunks
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
-from fathomweave.operators import classify, extract, packets, phrases, relate, sections, steps
+from fathomweave.operators import classify, extract, mining, packets, phrases, relate, sections, steps
 from fathomweave.plans.tables import pick, register, table, word_rows
 
 QUERIES: dict = {}
@@ -172,8 +173,8 @@ _RUNS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 with b as (select {_RUNS.format('text')} as ps from benchmark), d as (select doc_id, {_RUNS.format('text')} as ps from documents),
 lex as (select distinct array_to_string(ps[i:i + 4], '') as phrase from (select ps, unnest(range(1, len(ps) - 3)) as i from b) where regexp_matches(ps[i], '^[\p{{L}}\p{{N}}_]')),
 p as (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as piece from d),
-at as (select doc_id, piece, sum(length(piece)) over w - length(piece) as before, piece || lead(piece, 1) over w || lead(piece, 2) over w || lead(piece, 3) over w || lead(piece, 4) over w as run from p window w as (partition by doc_id order by i))
-select doc_id, phrase, cast(before + 1 as integer) as start from at join lex on lex.phrase = at.run where regexp_matches(piece, '^[\\p{{L}}\\p{{N}}_]')""")
+placed as (select doc_id, piece, sum(length(piece)) over w - length(piece) as before, piece || lead(piece, 1) over w || lead(piece, 2) over w || lead(piece, 3) over w || lead(piece, 4) over w as run from p window w as (partition by doc_id order by i))
+select doc_id, phrase, cast(before + 1 as integer) as start from placed join lex on lex.phrase = placed.run where regexp_matches(piece, '^[\\p{{L}}\\p{{N}}_]')""")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place in documents where three words of a benchmark text stand one after another."""
     b = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0)).alias("ps"))
@@ -360,3 +361,22 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("step_"), F.col("turn"), F.when(F.col("turn") % 3 == 0, "a").when(F.col("turn") % 3 == 1, "").otherwise(F.concat(F.lit("_"), (F.col("turn") * 7 % 13).cast("string"))))
     rows_ = t.withColumn("name", name)
     return rows_.select("conv_id", "name", F.row_number().over(Window.partitionBy("conv_id").orderBy(tx.natural_key("name"))).alias("ord"))
+
+
+@register(QUERIES, ORACLE_SQL, r"""
+with w as (select doc_id, list_transform(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s_''-]+', ' | ', 'g'), '\s+'), lambda x: x <> ''), lambda x: case when x = '|' then '' else x end) as ws from documents where text is not null),
+u as (select doc_id, generate_subscripts(x, 1) as i, unnest(x) as a from (select doc_id, list_concat([''], ws, ['']) as x from w)),
+p as (select lag(a) over o as before, a, lead(a) over o as b, lead(a, 2) over o as after from u window o as (partition by doc_id order by i)),
+n as (select a, b, count(*) as n, count(distinct before) as lefts, count(distinct after) as rights from p where a <> '' and b <> '' group by a, b),
+m as (select a as w, count(*) as m from u where a <> '' group by a), t as (select sum(m) as total from m)
+select n.a, n.b, n, lefts, rights, round(log2(n * cast(total as double) / x.m / y.m), 6) as pmi from n join m x on x.w = n.a join m y on y.w = n.b, t
+where n >= 5 and lefts >= 3 and rights >= 3 and log2(n * cast(total as double) / x.m / y.m) >= 3""")
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.collocations(table(spark, sf_dir, "documents")).withColumn("pmi", F.round("pmi", 6))
+
+
+@register(QUERIES, ORACLE_SQL)
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents by a public vocabulary; tests hold them against the texts and the tokenizer."""
+    rows = chunks.chunked(table(spark, sf_dir, "documents"), "doc_id", most=256)
+    return rows.select("doc_id", "chunk", "start", "length", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
