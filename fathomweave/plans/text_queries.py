@@ -171,7 +171,7 @@ _RUNS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 
 @register(QUERIES, ORACLE_SQL, f"""
 with b as (select {_RUNS.format('text')} as ps from benchmark), d as (select doc_id, {_RUNS.format('text')} as ps from documents),
-lex as (select distinct array_to_string(ps[i:i + 4], '') as phrase from (select ps, unnest(range(1, len(ps) - 3)) as i from b) where regexp_matches(ps[i], '^[\p{{L}}\p{{N}}_]')),
+lex as (select distinct array_to_string(ps[i:i + 4], '') as phrase from (select ps, unnest(range(1, len(ps) - 3)) as i from b) where regexp_matches(ps[i], '^[\\p{{L}}\\p{{N}}_]')),
 p as (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as piece from d),
 placed as (select doc_id, piece, sum(length(piece)) over w - length(piece) as before, piece || lead(piece, 1) over w || lead(piece, 2) over w || lead(piece, 3) over w || lead(piece, 4) over w as run from p window w as (partition by doc_id order by i))
 select doc_id, phrase, cast(before + 1 as integer) as start from placed join lex on lex.phrase = placed.run where regexp_matches(piece, '^[\\p{{L}}\\p{{N}}_]')""")
