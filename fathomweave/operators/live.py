@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomweave.functions import annotate
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
-from fathomweave.operators import build, classify, extract, graph, relate, sections, steps, store
+from fathomweave.operators import build, classify, extract, graph, relate, requirements, sections, steps, store
 from fathomweave.runtime import drop_table, write_table
 
 LISTS = {"network_functions": "NetworkFunction", "messages": "Message", "parameters": "Parameter", "keys": "Key"}
@@ -118,3 +118,67 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, kind, n): nodes by type and edges by relation."""
     a = nodes.groupBy(F.col("entity_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "kind", "n")
     return a.unionByName(edges.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "kind", "n"))
+
+
+def section_key(found: DataFrame) -> DataFrame:
+    return found.withColumn("section", F.concat_ws("#", F.lpad(F.col("doc_seq").cast("string"), 10, "0"), "document", F.lpad(F.col("section_seq").cast("string"), 10, "0")))
+
+
+def recognised_entities(found: DataFrame, recogniser: Callable | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """(section, name, entity_type, method_ord, pos, ord) of all sections with text enough: recogniser, known functions, patterns and parser labels, merged.
+
+    ``recogniser``: makes the model for ``annotate.recognise``; ``labelled``: a parser's entities by section, see ``extract.recognised``.
+    """
+    rows = extract.substantial(found)
+    hits = extract.from_recogniser(annotate.recognise(extract.pieces(rows, "section"), "context", "hits", recogniser), "section")
+    made = extract.recognised(rows, "section", hits=hits, labelled=labelled)
+    return made.withColumn("ord", F.row_number().over(Window.partitionBy("section").orderBy("method_ord", "pos", "name")))
+
+
+def recognised_edges(found: DataFrame, entities: DataFrame, parser: Callable | None = None) -> DataFrame:
+    """(section, source_name, target_name, rel_type, method, properties): by verbs, by shared sentences and by templates, in sections with two names or more."""
+    names = entities.groupBy("section").agg(F.array_sort(F.collect_set("name")).alias("names")).where("size(names) > 1")
+    rows = found.join(names, "section").select("section", "text", "names")
+
+    def edge(df: DataFrame, order: int, **of: Column) -> DataFrame:
+        pairs = F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))])
+        return df.select("section", "source_name", "target_name", "rel_type", F.lit(order).alias("method"), pairs.alias("properties"))
+
+    verbs = [v for vs in lx.VERB_RELATIONS.values() for v in vs]
+    spoken = relate.verb_relations(annotate.parse(rows, "text", "tokens", verbs, parser), "section")
+    sentences = rows.select("section", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "text"))
+    beside = relate.co_occurrence(entities.join(names.select("section"), "section", "left_semi"), sentences)
+    fixed = relate.template_pairs(rows)
+    out = edge(spoken, 1, verb=F.col("verb"), confidence=F.lit("0.8")).unionByName(edge(beside, 2, confidence=F.lit("0.6"), method=F.lit("cooccurrence")))
+    return out.unionByName(edge(fixed, 3, method=F.lit("template"), confidence=F.lit("0.7")))
+
+
+def recognised_graph(found: DataFrame, folder: str, recogniser: Callable | None = None, parser: Callable | None = None, labelled: Callable[[DataFrame], DataFrame] | None = None, buckets: int = store.BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The graph of the entity-recognition builder: ``found`` as ``sections.recognised_sections`` makes them; returns its stored nodes and edges.
+
+    The first node of a name and type counts; edges are merged by ends and relation, each property as it was set last, by the place of the section
+    and then by method. Building the same sections again changes nothing.
+    """
+    spark = found.sparkSession
+    rows = section_key(found)
+    entities, path = write_table(recognised_entities(rows, recogniser, labelled(rows) if labelled else None), "recognised")
+    method = F.element_at(F.array(*[F.lit(x) for x in ("recogniser", "known_nf", "pattern", "parser")]), F.col("method_ord"))
+    placed = entities.join(rows.select("section", "clause", "title"), "section")
+    nodes = placed.select("name", "entity_type", F.create_map(F.lit("discovery_method"), method, F.lit("source_clause"), F.coalesce("clause", F.lit("unknown")), F.lit("source_section"), F.coalesce("title", F.lit("unknown"))).alias("properties"), F.concat_ws("#", "section", F.lpad(F.col("ord").cast("string"), 10, "0")).alias("seq"))
+    store.merge(nodes, f"{folder}/nodes", ["name", "entity_type"], "seq", "first", buckets)
+    edges = recognised_edges(rows, entities, parser).withColumn("seq", F.concat_ws("#", "section", "method")).select("source_name", "target_name", "rel_type", "properties", "seq")
+    store.merge(edges, f"{folder}/edges", ["source_name", "target_name", "rel_type"], "seq", "entries", buckets)
+    drop_table(spark, path)
+    return store.read(spark, f"{folder}/nodes").drop("seq"), store.read(spark, f"{folder}/edges").drop("seq")
+
+
+def requirement_graph(paragraphs: DataFrame, folder: str, chunks: Column | None = None, load: Callable | None = None, buckets: int = store.BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The requirement graph of Word paragraphs: sections under heading styles, their noun phrases and files; returns its stored nodes and edges."""
+    spark = paragraphs.sparkSession
+    made = sections.requirement_sections(paragraphs).withColumn("source", F.concat("document", F.lit(".docx")))
+    rows = requirements.processed(section_key(made), chunks, load)
+    nodes, edges = requirements.requirement_graph(rows, "section")
+    own = nodes.join(rows.select(F.col("section").alias("name"), F.lit("Requirement").alias("entity_type"), "embedding"), ["name", "entity_type"], "left")
+    store.merge(own.withColumn("seq", F.lit(0)), f"{folder}/nodes", ["name", "entity_type"], "seq", "last", buckets)
+    store.merge(edges.withColumn("seq", F.lit(0)), f"{folder}/edges", ["source_name", "target_name", "rel_type"], "seq", "last", buckets)
+    return store.read(spark, f"{folder}/nodes").drop("seq"), store.read(spark, f"{folder}/edges").drop("seq")

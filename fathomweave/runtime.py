@@ -53,6 +53,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written by this process, in order.
+_WRITTEN: list[str] = []
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int, keep: set[str]) -> None:
+    """Removes the tables written after the first ``since`` ones, but for those in ``keep``."""
+    for path in _WRITTEN[since:]:
+        if path not in keep:
+            drop_table(spark, path)
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in keep]
+
+
 def write_table(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` once to the shared folder and returns the table read back, with its path.
 
@@ -64,6 +80,7 @@ def write_table(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

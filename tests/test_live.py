@@ -60,3 +60,44 @@ def test_query(spark):
 
     got = {(r["what"], r["kind"]): r["n"] for r in catalogue.QUERIES["live_build"](spark, SF).collect()}
     assert got["node", "Procedure"] > 0 and got["edge", "PART_OF"] == got["node", "Step"] > 0
+
+
+V3 = "document string, doc_seq int, section_seq int, title string, clause string, text string"
+
+
+def test_recognised_graph(spark, tmp_path):
+    long = " Nothing of note is said in this part of the section."
+    rows = [
+        ("a", 0, 1, "Introduction", "0", "The AMF sends SUPI to UDM. The AUSF verifies SUPI." + long),
+        ("a", 0, 2, "1 Scope", "1", "amf and registration procedure. AMF derives K_AMF." + long),
+        ("b", 1, 1, "2 Short", "2", "The SMF rests."),
+        ("c", 2, 1, "3 None", "3", None),
+    ]
+    found = spark.createDataFrame(rows, V3)
+    labelled = lambda df: df.select("section", F.lit(0).alias("pos"), F.lit("Acme Corp").alias("word"), F.lit("ORG").alias("label")).where("section like '%#a#%'")
+    nodes, edges = live.recognised_graph(found, str(tmp_path / "g"), labelled=labelled, buckets=4)
+    got = {(r["name"], r["entity_type"]): r["properties"] for r in nodes.collect()}
+    assert ("AMF", "NetworkFunction") in got and ("Acme Corp", "Actor") in got and ("SMF", "NetworkFunction") not in got
+    # a recogniser's hit comes before the known list, and the first section counts
+    assert got["AMF", "NetworkFunction"] == {"discovery_method": "recogniser", "source_clause": "0", "source_section": "Introduction"}
+    assert got["Acme Corp", "Actor"]["discovery_method"] == "parser"
+    rels = {(r["source_name"], r["target_name"], r["rel_type"]): r["properties"] for r in edges.collect()}
+    assert rels["AMF", "UDM", "SENDS_TO"] == {"method": "template", "confidence": "0.7"}
+    assert rels["AMF", "SUPI", "COMMUNICATES_WITH"]["verb"] == "send" and rels["AUSF", "SUPI", "AUTHENTICATES"] == {"confidence": "0.7", "method": "template"}
+    assert rels["AMF", "UDM", "INTERACTS_WITH"] == {"confidence": "0.6", "method": "cooccurrence"}
+    key = lambda a, b: (sorted(map(repr, a.collect())), sorted(map(repr, b.collect())))
+    before = key(nodes, edges)
+    assert key(*live.recognised_graph(found, str(tmp_path / "g"), labelled=labelled)) == before
+    for d in ("c", "b", "a"):
+        live.recognised_graph(found.where(F.col("document") == d), str(tmp_path / "h"), labelled=labelled, buckets=2)
+    assert live.counts(*(live.store.read(spark, str(tmp_path / "h" / x)) for x in ("nodes", "edges"))).count() == live.counts(nodes, edges).count()
+
+
+def test_requirement_graph(spark, tmp_path):
+    rows = [("d", 0, i, s, t) for i, (s, t) in enumerate([("Heading 1", "1 Scope"), ("Normal", "the secure channel protects long term keys"), ("Heading 2", "2 Empty"), ("Heading 3", "3 More"), ("Normal", "a secure channel")])]
+    p = spark.createDataFrame(rows, "document string, doc_seq int, para_seq int, style string, text string")
+    nodes, edges = live.requirement_graph(p, str(tmp_path / "g"), buckets=2)
+    got = {(r["name"], r["entity_type"]): r for r in nodes.collect()}
+    assert [t for _, t in got].count("Requirement") == 2 and ("d.docx", "Document") in got and ("secure channel", "Entity") in got
+    assert all((r["embedding"] is not None) == (t == "Requirement") for (_, t), r in got.items())
+    assert edges.where("target_name = 'secure channel' and rel_type = 'CONTAINS_ENTITY'").count() == 1
