@@ -165,12 +165,14 @@ class _Block:
 
 
 def _batches(records: Iterable[dict], schema: pa.Schema, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    held = []
+    """Batches of up to ``rows`` records, or of few where they carry long texts."""
+    held, chars = [], 0
     for r in records:
         held.append(r)
-        if len(held) == rows:
+        chars += len(r.get("text") or "") + sum(len(x["text"]) for x in r.get("lines") or [])
+        if len(held) == rows or chars >= BLOCK_CHARS:
             yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
 
