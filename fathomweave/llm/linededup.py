@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from fathomweave.runtime import write_table
 
 RATIO, LEAST_PAGES = 0.05, 5
+#: A list of up to so many lines is walked through.
+SHORT = 64
 WORD = r"[^\\x20\\x09-\\x0D]"
 
 
@@ -28,6 +30,13 @@ def _hashes(line: str) -> str:
     return f"struct(xxhash64({line}) as a, xxhash64(1, {line}) as b)"
 
 
+def _among(values: str, value: str) -> str:
+    """SQL: whether ``value`` is in the sorted array ``values``; long ones are searched by halving."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(31)))
+    reached = f"aggregate(array({steps}), 0, (at, s) -> if(s <= size({values}) and coalesce(get({values}, at + s - 1) <= v, false), at + s, at))"
+    return f"get(transform(array({value}), v -> if(size({values}) <= {SHORT}, array_contains({values}, v), coalesce(get({values}, {reached} - 1) = v, false))), 0)"
+
+
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host (null: its own host), lines: hashes of the lines with a word that more than ``ratio`` of a host's rows hold, and ``least_pages`` of them at least."""
     rows = pages.select(F.col(host).cast("string").alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -50,7 +59,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     # the input's columns travel in one struct, so that no name can clash
     own = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), pages[host].cast("string").alias("h"), pages[text].cast("string").alias("t"))
     split = own.join(known, own["h"].eqNullSafe(known["_host"]), "left").withColumn("all", F.expr(r"split(t, '\\n')"))
-    kept = split.withColumn("kept", F.expr(f"if(_bad is null, all, filter(all, x -> not (array_contains(_bad, {_hashes('x')}) and x rlike '{WORD}')))"))
+    kept = split.withColumn("kept", F.expr(f"if(_bad is null, all, filter(all, x -> not ({_among('_bad', _hashes('x'))} and x rlike '{WORD}')))"))
     columns = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns]
     counts = [F.coalesce(F.size("all"), F.lit(0)).cast("bigint").alias("_lines"), F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("bigint").alias("_dropped")]
     return kept.select(*columns, *(counts if report else []))

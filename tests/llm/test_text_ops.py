@@ -464,3 +464,13 @@ def test_quality_with_equal_hashes(spark, monkeypatch):
 
     got = {x["doc_id"]: x["n_repeat_words"] for x in quality.ledger(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
     assert got == {i: repeats(t) for i, t in texts}
+
+
+def test_long_lists_of_boilerplate(spark):
+    """A site with some thousand boilerplate lines is searched by halving; the same lines go."""
+    common = [f"common line {i}" for i in range(1500)]
+    rows = [(k, "\n".join(common[: 300 * (k + 1)] + [f"own {k} {i}" for i in range(50)]), "s") for k in range(5)] + [(9, "\n".join(f"x{i}" for i in range(70)), None)] * 6
+    got = {r["doc_id"]: r for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    # on all five pages and over the ratio: the first 300
+    assert all(got[k]["_dropped"] == 300 and got[k]["text"].split("\n")[-1] == f"own {k} 49" for k in range(5))
+    assert got[9]["text"] == "" and got[9]["_dropped"] == 70
