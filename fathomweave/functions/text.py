@@ -7,8 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns decide what is a header, a clause or a caption.
 HEADER_NUMBERED = r"^\d+(\.\d+)*\s+"
 HEADER_ANNEX = r"^[A-Z]\.\d+(\.\d+)*\s+[A-Z]"
+HEADER_ONTOLOGY = r"^[A-Z]?\.?\d+(\.\d+)*\s+"
+HEADER_CLAUSE = r"^\d+(\.\d+)*\s+[A-Z]"
+HEADER_TITLE = r"^([0-9]+|[A-Z])[.)]?\s+[A-Z][a-z]"
+CLAUSE = r"^(\d+(\.\d+)*|[A-Z](\.\d+)*)"
+CAPTION = r"(?i)Figure\s+([\d\.-]+a?):?"
+# End of the fixed values.
 
 
 def strip(c: Column) -> Column:
@@ -35,7 +42,7 @@ def is_simple_header(style: Column) -> Column:
 
 
 def is_ontology_header(style: Column, text: Column) -> Column:
-    return style.startswith("Heading") | text.rlike(r"^[A-Z]?\.?\d+(\.\d+)*\s+")
+    return style.startswith("Heading") | text.rlike(HEADER_ONTOLOGY)
 
 
 def header_rules(style: Column, text: Column) -> Column:
@@ -43,16 +50,16 @@ def header_rules(style: Column, text: Column) -> Column:
     words = F.size(F.split(strip(text), r"\s+"))
     return (
         F.when(style.startswith("Heading"), 1)
-        .when(text.rlike(r"^\d+(\.\d+)*\s+[A-Z]"), 2)
+        .when(text.rlike(HEADER_CLAUSE), 2)
         .when(text.rlike(HEADER_ANNEX), 3)
         .when((F.length(text) < 80) & (F.upper(text) == text) & text.rlike("[A-Z]") & words.between(2, 7) & ~text.rlike(r"[.:;!?]$"), 4)
-        .when(text.rlike(r"^([0-9]+|[A-Z])[.)]?\s+[A-Z][a-z]") & (words < 12) & ~text.endswith("."), 5)
+        .when(text.rlike(HEADER_TITLE) & (words < 12) & ~text.endswith("."), 5)
         .otherwise(0)
     )
 
 
 def clause_number(text: Column) -> Column:
-    found = F.regexp_extract(text, r"^(\d+(\.\d+)*|[A-Z](\.\d+)*)", 1)
+    found = F.regexp_extract(text, CLAUSE, 1)
     return F.when(found == "", "unknown").otherwise(found)
 
 
@@ -65,7 +72,7 @@ def parent_clause(clause: Column) -> Column:
 
 def figure_base(text: Column) -> Column:
     """The number in a figure caption up to its first hyphen; empty if there's no caption."""
-    return F.split(F.regexp_extract(text, r"(?i)Figure\s+([\d\.-]+a?):?", 1), "-")[0]
+    return F.split(F.regexp_extract(text, CAPTION, 1), "-")[0]
 
 
 def is_own_figure(text: Column, clause: Column) -> Column:

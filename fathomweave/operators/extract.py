@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 
+#: The three shapes of a message's name.
 MESSAGE_PATTERNS = [r"([A-Z][a-z]+ (?:Request|Response|Indication|Confirm))", r"(N[a-z]+_[A-Za-z_]+)", r"([A-Z]+ (?:registration|authentication|establishment))"]
+# End of the fixed values.
 
 
 def matches(text: Column, words: list[str], strict: bool = False, ignore_case: bool = True) -> Column:
@@ -90,15 +92,30 @@ def embedding_text(name: Column, kind: Column, words: Column, description: Colum
     return F.concat(F.lit("Entity: "), name, F.lit(". Type: "), kind, F.lit(". Keywords: "), F.array_join(words, " "), F.lit(". Description: "), description)
 
 
+#: What a procedure is given when nothing was found in it, by words in its name; the last one for all others.
+LEAST = [
+    (["authentication", "aka"], (["AUSF", "AMF", "UE", "SEAF"], ["Authentication Request", "Authentication Response"], ["SUCI", "RAND", "AUTN"], ["5G-AKA", "Kausf"])),
+    (["registration"], (["AMF", "UE"], ["Registration Request", "Registration Accept"], ["5G-GUTI", "SUCI"], [])),
+    ([], (["AMF", "SMF"], ["Request Message", "Response Message"], ["Identifier"], [])),
+]
+# End of the fixed values.
+
+
 def least_entities(procedure: Column) -> Column:
     """What a procedure is given when nothing was found in it."""
     low = F.lower(procedure)
-    made = lambda nf, msg, par, key: F.struct(*[F.array(*[F.lit(x) for x in xs]).cast("array<string>").alias(n) for n, xs in (("network_functions", nf), ("messages", msg), ("parameters", par), ("keys", key))])
-    return (
-        F.when(low.contains("authentication") | low.contains("aka"), made(["AUSF", "AMF", "UE", "SEAF"], ["Authentication Request", "Authentication Response"], ["SUCI", "RAND", "AUTN"], ["5G-AKA", "Kausf"]))
-        .when(low.contains("registration"), made(["AMF", "UE"], ["Registration Request", "Registration Accept"], ["5G-GUTI", "SUCI"], []))
-        .otherwise(made(["AMF", "SMF"], ["Request Message", "Response Message"], ["Identifier"], []))
-    )
+
+    def made(lists: tuple) -> Column:
+        named = zip(("network_functions", "messages", "parameters", "keys"), lists, strict=True)
+        return F.struct(*[F.array(*[F.lit(x) for x in xs]).cast("array<string>").alias(n) for n, xs in named])
+
+    out = made(LEAST[-1][1])
+    for words, lists in reversed(LEAST[:-1]):
+        said = F.lit(False)
+        for w in words:
+            said = said | low.contains(w)
+        out = F.when(said, made(lists)).otherwise(out)
+    return out
 
 
 def first_hit(hits: DataFrame, key: str = "section") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fathomweave.functions import lexicon as lx
 from fathomweave.operators import build, classify, evidence, extract, live, relate, requirements, sinks
 from fathomweave.plans.tables import pick, procedures, quoted, register, table
-from fathomweave.plans.text_queries import MARK_STAND_INS, TEXT_STAND_INS, TITLE_STAND_INS, derives_sql
 from fathomweave.plans.text_queries import _lines as document_lines
+from fathomweave.plans.text_queries import derives_sql
 from fathomweave.runtime import new_path
 
 QUERIES: dict = {}
@@ -120,15 +120,33 @@ def recognised_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.recognised(rows, labelled=labelled).select("section", "name", "entity_type", "method_ord")
 
 
-@register(QUERIES, ORACLE_SQL)
+_FUNCTIONS, _PARAMETERS, _KEYS = (", ".join(f"({quoted(w)})" for w in ws if w.replace(" ", "").isalpha() and (len(w) > 2 or ws is lx.NETWORK_FUNCTIONS)) for ws in (lx.NETWORK_FUNCTIONS, lx.PARAMETERS, lx.KEYS))
+
+
+@register(QUERIES, ORACLE_SQL, rf"""
+with d as (select doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z\n .]', 'x', 'g'), chr(10)), lambda x: trim(x) <> '') as ls from documents where doc_id % 3 > 0),
+s as (select doc_id, lower(unnest(ls)) as said from d), t as (select doc_id, array_to_string(ls, chr(10)) as text from d),
+known(kind, w) as (select 'NetworkFunction', * from (values {_FUNCTIONS}) union all select 'Parameter', * from (values {_PARAMETERS}) union all select 'Key', * from (values {_KEYS})),
+found as (select distinct doc_id, kind, upper(w) as w from t, known where regexp_matches(text, '(?i)\b' || w || '\b')),
+none as (select doc_id from d where len(ls) = 0),
+least as (select doc_id, kind, w from none, (values ('NetworkFunction', 'AMF'), ('NetworkFunction', 'SMF'), ('Message', 'Request Message'), ('Message', 'Response Message'), ('Parameter', 'Identifier')) v(kind, w)),
+named as (select kind, w from found union select kind, w from least),
+held as (select kind, count(*) as n from s join found using (doc_id) where contains(said, lower(w)) group by kind),
+steps as (select sum(len(ls)) as n, sum(greatest(len(ls) - 1, 0)) as moves, count(*) as flows from d), bare as (select count(*) as n from none),
+c as (
+  select 'node' as what, kind, count(*) as n from named group by kind union all select 'node', 'Procedure', flows from steps union all select 'node', 'Step', n from steps
+  union all select 'edge', 'PART_OF', n from steps union all select 'edge', 'FOLLOWED_BY', moves from steps
+  union all select 'edge', 'INVOKE', count(*) from (select * from found union all select * from least) where kind = 'NetworkFunction' union all select 'edge', 'INVOLVE', n from held where kind = 'NetworkFunction'
+  union all select 'edge', 'CONTAINS', sum(n) from held where kind <> 'NetworkFunction' union all select 'edge', 'SEND_BY', 4 * n from bare union all select 'edge', 'SEND_TO', 2 * n from bare)
+select what, kind, cast(n as bigint) as n from c where n > 0""")
 def live_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes and edges of the graph of all documents. A document is a section with a figure, its first sentence the title; its lines are numbered, so they are steps."""
+    """Nodes and edges of the graph of all documents: two of three have a figure, a model has named them, and their lines are steps. Marks and letters with marks are left out of texts."""
     d = table(spark, sf_dir, "documents")
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    title = F.concat(F.split("text", r"\.")[0], F.lit(" "), F.col("doc_id"))
-    rows = d.select(F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("doc_seq"), F.lit(1).cast("bigint").alias("section_seq"), title.alias("title"), F.lit("1").alias("clause"), numbered.alias("text"), F.lit(True).alias("has_figure"))
-    stand_ins = {"title_words": TITLE_STAND_INS, "text_words": TEXT_STAND_INS, "marks": MARK_STAND_INS}
-    return live.counts(*live.build_graph(rows, new_path(spark, "live"), **stand_ins))
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n .]", "x"), "\n"), lambda x: F.trim(x) != "")
+    numbered = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    title, figure = F.concat(F.lit("Flow "), F.col("doc_id")), F.col("doc_id") % 3 > 0
+    rows = d.select(F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("doc_seq"), F.lit(1).cast("bigint").alias("section_seq"), title.alias("title"), F.lit("1").alias("clause"), numbered.alias("text"), figure.alias("has_figure"))
+    return live.counts(*live.build_graph(rows, new_path(spark, "live"), named=F.col("title")))
 
 
 _SAYS = f"""{pick('o_custkey', ['Registration Request', 'registration Request', 'Namf_Communication_Transfer', 'AMF registration', 'N_x', 'Service Confirm', 'Step Request'])} || ' and ' || {pick('o_orderkey', ['Identity Response', 'SMF establishment', 'Nausf_UEAuthentication', 'none', 'A authentication'])}"""
