@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from fathomweave.functions import annotate
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
-from fathomweave.operators import build, classify, extract, graph, relate, requirements, sections, steps, store
+from fathomweave.functions import vectors as vx
+from fathomweave.operators import build, classify, extract, fsm, graph, relate, requirements, sections, sinks, steps, store
 from fathomweave.runtime import drop_table, write_table
 
 LISTS = {"network_functions": "NetworkFunction", "messages": "Message", "parameters": "Parameter", "keys": "Key"}
@@ -182,3 +183,41 @@ def requirement_graph(paragraphs: DataFrame, folder: str, chunks: Column | None
     store.merge(own.withColumn("seq", F.lit(0)), f"{folder}/nodes", ["name", "entity_type"], "seq", "last", buckets)
     store.merge(edges.withColumn("seq", F.lit(0)), f"{folder}/edges", ["source_name", "target_name", "rel_type"], "seq", "last", buckets)
     return store.read(spark, f"{folder}/nodes").drop("seq"), store.read(spark, f"{folder}/edges").drop("seq")
+
+
+def best_procedures(nodes: DataFrame, queries: DataFrame, k: int = 3, threshold: float = 0.2) -> DataFrame:
+    """(query_id, rank, procedure, score): the ``k`` best procedures of each query (query_id, q) by the weighted scores of all three vectors."""
+    own = nodes.where("entity_type = 'Procedure'").select("name", *VECTORS)
+    for c in VECTORS:
+        own = own.withColumn(f"{c}_n", vx.norm(F.col(c)))
+    asked = queries.select("query_id", "q", vx.norm(F.col("q")).alias("n"))
+    pairs = own.crossJoin(asked.hint("shuffle_replicate_nl"))
+    one = lambda c: F.coalesce(vx.cosine(F.col(c), F.col("q"), F.col(f"{c}_n"), F.col("n")), F.lit(0.0))
+    w = lx.SEARCH_WEIGHTS
+    score = F.lit(w["description"]) * one("embedding") + F.lit(w["title"]) * one("title_embedding") + F.lit(w["parent"]) * one("parent_title_embedding")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name")
+    rows = pairs.withColumn("score", score).where((F.col("score") > 0.1) & (F.col("score") >= threshold))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("name").alias("procedure"), "score")
+
+
+def demonstrate(nodes: DataFrame, edges: DataFrame, queries: DataFrame, folder: str, k: int = 3) -> DataFrame:
+    """:func:`best_procedures` of all queries, with the machine of each query's best written as JSON and DOT under ``folder``.
+
+    Adds states, transitions, errors (rules that the machine breaks) and files to the rows of rank 1 whose procedure has steps.
+    """
+    found, _ = write_table(best_procedures(nodes, queries, k), "best")
+    drawn = found.where("rank = 1").select("procedure").distinct()
+    step = nodes.where("entity_type = 'Step'").select(F.col("properties")["procedure"].alias("procedure"), "name", "description", "entity_type").join(drawn, "procedure", "left_semi")
+    sent = edges.where("rel_type = 'SEND'").select(F.col("properties")["procedure"].alias("procedure"), "source_name", "target_name").distinct()
+    order = Window.partitionBy("procedure", "source_name").orderBy("target_name")
+    sends = sent.join(drawn, "procedure", "left_semi").withColumn("ord", F.row_number().over(order))
+    made, path = write_table(fsm.states(step), "states")
+    moves, moves_path = write_table(fsm.transitions(step, sends), "moves")
+    files = sinks.write_machines(fsm.to_json(made, moves), "json", folder, "json", "_fsm").unionByName(sinks.write_machines(fsm.to_dot(made, moves), "dot", folder, "dot", "_fsm"))
+    told = made.groupBy("procedure").agg(F.count("*").alias("states")).join(moves.groupBy("procedure").agg(F.count("*").alias("transitions")), "procedure", "left")
+    told = told.join(fsm.violations(made, moves).groupBy("procedure").agg(F.count("*").alias("errors")), "procedure", "left")
+    told = told.join(files.groupBy("procedure").agg(F.array_sort(F.collect_set("file")).alias("files")), "procedure", "left").na.fill(0, ["transitions", "errors"])
+    told, _ = write_table(told.withColumn("rank", F.lit(1)), "machines")
+    for done in (path, moves_path):
+        drop_table(spark=nodes.sparkSession, path=done)
+    return found.join(told, ["procedure", "rank"], "left").select("query_id", "rank", "procedure", "score", "states", "transitions", "errors", "files")

@@ -14,15 +14,15 @@ from fathomweave.functions import text as tx
 from fathomweave.runtime import filesystem, ship, write_table
 
 
-def write_machines(documents: DataFrame, column: str, folder: str, suffix: str = "json") -> DataFrame:
-    """One file ``{name}.{suffix}`` a procedure, by its sanitised name; returns (procedure, file) of what was written.
+def write_machines(documents: DataFrame, column: str, folder: str, suffix: str = "json", tail: str = "") -> DataFrame:
+    """One file ``{name}{tail}.{suffix}`` a procedure, by its sanitised name; returns (procedure, file) of what was written.
 
     ``documents``: procedure and the JSON or DOT column. JSON is indented by two. Files are written by the tasks, each under a name of its own
     first, so a task that is run again leaves whole files. Procedures whose names become one share a file; the least of them has it.
     """
     spark = documents.sparkSession
     ship(spark)
-    named = documents.select("procedure", F.concat(tx.file_name(F.col("procedure")), F.lit(f".{suffix}")).alias("file"), F.col(column).alias("value"))
+    named = documents.select("procedure", F.concat(tx.file_name(F.col("procedure")), F.lit(f"{tail}.{suffix}")).alias("file"), F.col(column).alias("value"))
     own = named.groupBy("file").agg(F.min(F.struct("procedure", "value")).alias("x")).select("x.procedure", "file", "x.value")
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)

@@ -1,7 +1,7 @@
 """Captures and Word documents as Python data sources: ``spark.read.format("captures")``, ``readStream``, ``format("paragraphs")``.
 
-Planning lists the files and, for captures, walks their block headers to find places between blocks, so that a large file
-is read by several tasks and no file is ever one row. Files are opened through pyarrow, so a path can name any store it knows.
+A walk over the block headers of captures finds places between blocks (:func:`index` does so in tasks, a file each), so that a large
+file is read by several tasks and no file is ever one row. Files are opened through pyarrow, so a path can name any store it knows.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from dataclasses import asdict
 from xml.etree.ElementTree import ParseError
 
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from fathomweave.runtime import filesystem
+from fathomweave.runtime import filesystem, ship, write_table
 from fathomweave.sources import docx, pcap
 
 FRAGMENT = "protocol int, frag_id int, frag_offset int, frag_more boolean, frag_bytes binary"
@@ -54,6 +55,33 @@ def _parts(file: str, size: int, place: pcap.Place | None = None) -> list[Part]:
         return [Part(file, asdict(p), end) for p, end in pcap.cuts(f, size, place)]
 
 
+CUT = "file string, at bigint, number bigint, byte_order string, links array<int>, plain boolean, end bigint"
+
+
+def index(spark: SparkSession, path: str, pattern: str = "*.pcap*", partition_bytes: int = 64 << 20) -> str:
+    """Walks the headers of all captures of a folder, a task for each file, and writes where they may be cut; the table's path is the reader's option ``index``."""
+    ship(spark)
+    files = listed(path, pattern)
+    schema = _arrow(_parse_datatype_string(CUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with _opened(file) as f:
+                    for p, end in pcap.cuts(f, partition_bytes):
+                        yield pa.RecordBatch.from_pylist([{"file": file, "at": p.at, "number": p.number, "byte_order": p.end, "links": p.links, "plain": p.plain, "end": end}], schema)
+
+    names = spark.createDataFrame([(f,) for f, _ in files], "file string").repartition(max(1, len(files)))
+    return write_table(names.mapInArrow(run, CUT), "capture-cuts")[1]
+
+
+def _indexed(path: str) -> list[Part]:
+    store, base = filesystem(path)
+    rows = pyarrow.dataset.dataset(base, format="parquet", filesystem=store, exclude_invalid_files=True).to_table().to_pylist()
+    parts = [Part(r["file"], {"at": r["at"], "number": r["number"], "end": r["byte_order"], "links": r["links"], "plain": r["plain"]}, r["end"]) for r in rows]
+    return sorted(parts, key=lambda p: (p.file, p.place["at"]))
+
+
 def _rows(part: Part, what: str, wanted: dict[str, set]) -> Iterator[dict]:
     """Rows of a part; packets that ``wanted`` rules out are not decoded."""
     if "file" in wanted and part.file not in wanted["file"]:
@@ -92,7 +120,8 @@ def _batches(rows: Iterator[dict], schema: StructType, most: int = 2000) -> Iter
 
 
 class CaptureSource(DataSource):
-    """Packets of captures. Options: path, pattern, partitionBytes, rows (whole, fragments or all), pushFilters (true or false)."""
+    """Packets of captures. Options: path, pattern, partitionBytes, rows (whole, fragments or all), pushFilters (true or false),
+    index (what :func:`index` wrote; without it, planning walks the headers itself)."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,11 +141,14 @@ class _Options:
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.path = schema, options["path"]
         self.pattern, self.size, self.what = options.get("pattern", "*.pcap*"), int(options.get("partitionBytes", 64 << 20)), options.get("rows", "all")
+        self.index = options.get("index")
         self.wanted: dict[str, set] = {}
 
 
 class CaptureReader(_Options, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
+        if self.index:
+            return _indexed(self.index)
         return [p for file, _ in listed(self.path, self.pattern) for p in _parts(file, self.size)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:

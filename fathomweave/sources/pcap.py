@@ -159,13 +159,15 @@ def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap*", part
     """A row for each IPv4 packet of the capture files of a folder, fragments put together.
 
     Files are cut between blocks into parts of about ``partition_bytes``, each read by one task. A datagram of fragments has the number
-    and length of the fragment that completed it; what is never complete gives no row. Fragments are gathered in a second pass over the files.
+    and length of the fragment that completed it; what is never complete gives no row. The cuts are found by
+    a job of its own, a task a file; fragments are gathered in a second pass over the files.
     """
     from fathomweave.sources import capture
 
     ship(spark)
     spark.dataSource.register(capture.CaptureSource)
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
-    read = lambda what: spark.read.format("captures").options(pattern=pattern, partitionBytes=str(partition_bytes), rows=what, pushFilters=pushed).load(path)
+    cuts_at = capture.index(spark, path, pattern, partition_bytes)
+    read = lambda what: spark.read.format("captures").options(index=cuts_at, rows=what, pushFilters=pushed).load(path)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return read("whole").select(*names).unionByName(capture.put_together(read("fragments")).select(*names))

@@ -1,5 +1,8 @@
+import json
+
 from pyspark.sql import functions as F
 
+from fathomweave.functions import annotate
 from fathomweave.operators import live
 from tests.oracle import SF
 
@@ -101,3 +104,19 @@ def test_requirement_graph(spark, tmp_path):
     assert [t for _, t in got].count("Requirement") == 2 and ("d.docx", "Document") in got and ("secure channel", "Entity") in got
     assert all((r["embedding"] is not None) == (t == "Requirement") for (_, t), r in got.items())
     assert edges.where("target_name = 'secure channel' and rel_type = 'CONTAINS_ENTITY'").count() == 1
+
+
+def test_demonstration_draws_the_best(spark, tmp_path):
+    nodes, edges = live.build_graph(made(spark), str(tmp_path / "g"), buckets=2)
+    said = [(1, "authentication procedure of the UE with the AUSF"), (2, "registration update"), (3, "zzz")]
+    queries = annotate.embed(spark.createDataFrame(said, "query_id int, text string"), "text", "q").select("query_id", "q")
+    got = live.demonstrate(nodes, edges, queries, str(tmp_path / "out")).collect()
+    best = {r["query_id"]: r for r in got if r["rank"] == 1}
+    name = "6.1.3 Authentication procedure"
+    assert best[1]["procedure"] == name and (best[1]["states"], best[1]["errors"]) == (3, 0) and best[1]["transitions"] >= 2
+    assert best[1]["files"] == [f"{name}_fsm.dot", f"{name}_fsm.json"]
+    drawn = json.loads((tmp_path / "out" / f"{name}_fsm.json").read_text())
+    assert drawn["procedure_name"] == name and len(drawn["states"]) == 3
+    assert all(r["states"] is None for r in got if r["rank"] > 1)
+    # a procedure without steps has no machine
+    assert all((r["files"] is None) == (r["procedure"] != name) for r in best.values()) and len([r for r in got if r["query_id"] == 1]) == 2
