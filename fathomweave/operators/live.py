@@ -61,14 +61,20 @@ def nodes_of(found: DataFrame) -> DataFrame:
     text_map = lambda **of: F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
     common = {"procedure": F.col("procedure"), "clause": F.col("clause")}
     none = F.lit(None).cast("string")
-    one = lambda k, name, kind, properties, description, parent=none: F.struct(F.lit(k).alias("k"), name.alias("name"), F.lit(kind).alias("entity_type"), properties.alias("properties"), description.alias("description"), parent.alias("parent_title"))
+
+    def one(k: int, name: Column, kind: str, properties: Column, description: Column, parent: Column = none) -> Column:
+        own = {"k": F.lit(k), "name": name, "entity_type": F.lit(kind), "properties": properties, "description": description, "parent_title": parent}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
     own = F.array(one(0, F.col("procedure"), "Procedure", text_map(clause=F.col("clause"), document=F.col("document"), has_figure=F.col("has_figure"), text=F.col("text")), F.col("description"), F.col("parent_title")))
     listed = lambda k, c, kind: F.transform(c, lambda x: one(k, x, kind, text_map(**common), none))
     parts = [own] + [listed(i + 1, c, kind) for i, (c, kind) in enumerate(LISTS.items())]
     step = lambda s: one(5, s["name"], "Step", text_map(**common, step_number=steps.number_in_name(s["name"])), s["description"])
     rows = found.select("document", "doc_seq", place.alias("place"), F.explode(F.concat(*parts, F.transform("steps", step))).alias("n"))
     first = rows.groupBy("document", "n.name", "n.entity_type").agg(F.min_by("n", F.struct("place", "n.k")).alias("n"), F.min("place").alias("place"))
-    return first.select("n.name", "n.entity_type", "n.properties", "n.description", "n.parent_title", F.concat_ws("#", F.lpad(F.col("place.doc_seq").cast("string"), 10, "0"), "place.document", F.lpad(F.col("place.section_seq").cast("string"), 10, "0")).alias("seq"))
+    digits = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    seq = F.concat_ws("#", digits("place.doc_seq"), "place.document", digits("place.section_seq"))
+    return first.select("n.name", "n.entity_type", "n.properties", "n.description", "n.parent_title", seq.alias("seq"))
 
 
 def edges_of(found: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
@@ -92,7 +98,10 @@ def with_vectors(nodes: DataFrame, load: Callable | None = None) -> DataFrame:
     return nodes
 
 
-def build_graph(found: DataFrame, folder: str, named: Column | None = None, names: Callable[[Column], Column] = lexicon_names, answer: str | None = None, load: Callable | None = None, buckets: int = store.BUCKETS, **lists: list[str]) -> tuple[DataFrame, DataFrame]:
+def build_graph(
+    found: DataFrame, folder: str, named: Column | None = None, names: Callable[[Column], Column] = lexicon_names, answer: str | None = None, load: Callable | None = None,
+    buckets: int = store.BUCKETS, **lists: list[str],
+) -> tuple[DataFrame, DataFrame]:
     """Builds the graph of all sections and merges it into the store under ``folder``; returns its nodes and its edges.
 
     Edges whose ends are not among the stored nodes are not stored. Nodes of a name and type are merged entry by entry, later documents win. Building the
@@ -165,7 +174,9 @@ def recognised_graph(found: DataFrame, folder: str, recogniser: Callable | None
     entities, path = write_table(recognised_entities(rows, recogniser, labelled(rows) if labelled else None), "recognised")
     method = F.element_at(F.array(*[F.lit(x) for x in ("recogniser", "known_nf", "pattern", "parser")]), F.col("method_ord"))
     placed = entities.join(rows.select("section", "clause", "title"), "section")
-    nodes = placed.select("name", "entity_type", F.create_map(F.lit("discovery_method"), method, F.lit("source_clause"), F.coalesce("clause", F.lit("unknown")), F.lit("source_section"), F.coalesce("title", F.lit("unknown"))).alias("properties"), F.concat_ws("#", "section", F.lpad(F.col("ord").cast("string"), 10, "0")).alias("seq"))
+    known = F.create_map(F.lit("discovery_method"), method, F.lit("source_clause"), F.coalesce("clause", F.lit("unknown")), F.lit("source_section"), F.coalesce("title", F.lit("unknown")))
+    seq = F.concat_ws("#", "section", F.lpad(F.col("ord").cast("string"), 10, "0"))
+    nodes = placed.select("name", "entity_type", known.alias("properties"), seq.alias("seq"))
     store.merge(nodes, f"{folder}/nodes", ["name", "entity_type"], "seq", "first", buckets)
     edges = recognised_edges(rows, entities, parser).withColumn("seq", F.concat_ws("#", "section", "method")).select("source_name", "target_name", "rel_type", "properties", "seq")
     store.merge(edges, f"{folder}/edges", ["source_name", "target_name", "rel_type"], "seq", "entries", buckets)

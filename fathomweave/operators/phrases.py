@@ -79,7 +79,9 @@ def hits(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text", phr
                 low = lowered(batch.column(1)[i].as_py())
                 found = [(low[s:e], s + 1) for s, e in _runs(low, shapes, every) if names is None or low[s:e] in names]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), batch.schema.field(0).type), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], names=["key", "low", "start"])
+                    keys = pa.array([batch.column(0)[i].as_py()] * len(found), batch.schema.field(0).type)
+                    lows, starts = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys, lows, starts], names=["key", "low", "start"])
 
     found = rows.mapInArrow(run, f"key {kind}, low string, start int")
     return found.join(known, "low").select(F.col("key").alias(key), "phrase", "start")

@@ -124,7 +124,12 @@ def template_pairs(rows: DataFrame, names: str = "names", text: str = "text", ke
     beginnings of words alone, which is where their first match would be anyway.
     """
     fast = [("(?i)" + (r"(?<!\w)(\w++)" + p[5:] if p.startswith(r"(\w+)\s") else p), t) for p, t in templates]
-    hits = F.array(*[F.struct(F.lit(t).alias("rel_type"), F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, 1).alias("a"), F.regexp_extract(m, p, 2).alias("b"))).alias("ends")) for p, t in fast])  # noqa: B023
+
+    def ends(pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("a"), F.regexp_extract(m, pattern, 2).alias("b")))
+
+    hits = F.array(*[F.struct(F.lit(t).alias("rel_type"), ends(p).alias("ends")) for p, t in fast])
     found = rows.select(key, names, F.explode(hits).alias("h")).select(key, names, "h.rel_type", F.explode("h.ends").alias("z"))
     return found.where(F.array_contains(names, F.col("z.a")) & F.array_contains(names, F.col("z.b"))).select(key, F.col("z.a").alias("source_name"), F.col("z.b").alias("target_name"), "rel_type")
 

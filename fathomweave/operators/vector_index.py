@@ -175,9 +175,9 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, pieces: int |
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([held[0][0]], pa.int32()), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([b"".join(h[2] for h in held)], pa.binary()), pa.array([[h[3] for h in held]], pa.list_(pa.float64()))], names=["cell", "ids", "codes", "far"]
-            )
+            ids, far = pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([[h[3] for h in held]], pa.list_(pa.float64()))
+            codes = pa.array([b"".join(h[2] for h in held)], pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), ids, codes, far], names=["cell", "ids", "codes", "far"])
             held.clear()
             return batch
 
@@ -207,7 +207,9 @@ def _asked(shared, probes: int | None) -> Callable[[Iterator[pa.RecordBatch]], I
                 near = np.argsort(-(units @ model.centroids.T), axis=1, kind="stable")[:, : probes or n]
                 cells = np.concatenate([np.full((len(ids), 1), NOWHERE), near], 1)
                 width = cells.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), pa.array(np.repeat(np.array(ids, object), width), pa.int64()), pa.array([u for x in units.tolist() for u in [x] * width], pa.list_(pa.float64()))], names=["cell", "query_id", "unit"])
+                each = pa.array([u for x in units.tolist() for u in [x] * width], pa.list_(pa.float64()))
+                numbers = pa.array(np.repeat(np.array(ids, object), width), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), numbers, each], names=["cell", "query_id", "unit"])
 
     return run
 
@@ -231,7 +233,9 @@ def _compared(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 low, high = middle - wide, middle + wide
                 least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(units), -np.inf)
                 q, v = np.nonzero(high >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([asked[x]["query_id"] for x in q], pa.int64()), pa.array(ids[v]), pa.array(np.full(len(v), cell), pa.int32()), pa.array(low[q, v]), pa.array(high[q, v])], names=["query_id", "rep", "cell", "low", "high"])
+                numbers = pa.array([asked[x]["query_id"] for x in q], pa.int64())
+                cells = pa.array(np.full(len(v), cell), pa.int32())
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(ids[v]), cells, pa.array(low[q, v]), pa.array(high[q, v])], names=["query_id", "rep", "cell", "low", "high"])
 
     return run
 

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from fathomweave.runtime import ship
 from fathomweave.sources import layers
 
-SCHEMA = "file string, num string, src string, dst string, transport_layer string, length int, src_port string, dst_port string, has_tcp boolean, has_udp boolean, has_pfcp boolean, has_ngap boolean, has_sctp boolean, hex_payload string, layer_json string"
+SCHEMA = (
+    "file string, num string, src string, dst string, transport_layer string, length int, src_port string, dst_port string, "
+    "has_tcp boolean, has_udp boolean, has_pfcp boolean, has_ngap boolean, has_sctp boolean, hex_payload string, layer_json string"
+)
 PFCP_PORT, NGAP_PROTOCOL = 8805, 60
 
 
@@ -111,7 +114,15 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes, int]]:
 
 def datagram(link: int, frame: bytes) -> bytes | None:
     """The IPv4 datagram of a frame, without what follows it; None for others."""
-    ip = frame[14:] if link == 1 and frame[12:14] == b"\x08\x00" else frame[18:] if link == 1 and frame[12:14] == b"\x81\x00" and frame[16:18] == b"\x08\x00" else frame[16:] if link == 113 and frame[14:16] == b"\x08\x00" else frame if link in (12, 101, 228) else b""
+    four = b"\x08\x00"
+    if link == 1 and frame[12:14] == four:
+        ip = frame[14:]
+    elif link == 1 and frame[12:14] == b"\x81\x00" and frame[16:18] == four:
+        ip = frame[18:]
+    elif link == 113 and frame[14:16] == four:
+        ip = frame[16:]
+    else:
+        ip = frame if link in (12, 101, 228) else b""
     if len(ip) < 20 or ip[0] >> 4 != 4:
         return None
     return ip[: struct.unpack(">H", ip[2:4])[0] or len(ip)]
