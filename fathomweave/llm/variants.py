@@ -101,7 +101,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = "case " + " ".join(f"when {_band('am', str(k))} = {_band('bm', str(k))} then {k}" for k in range(BANDS - 1)) + f" else {BANDS - 1} end"
     once = F.expr(f"band = {first} and (half = 0 or substring(a, 1, class div 2) <> substring(b, 1, class div 2))")
     near = F.expr("(bsize = class + 1 or bsize = class and a < b) and bit_count(am ^ bm) <= 2 and levenshtein(a, b, 1) = 1")
-    return left.join(right, "key").where(once & near).select("a", "an", "b", "bn")
+    # the planner takes the places for as many rows as there are words and would broadcast them
+    return left.hint("merge").join(right, "key").where(once & near).select("a", "an", "b", "bn")
 
 
 def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -115,17 +116,18 @@ def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     both = near_pairs(known).select(F.expr("inline(array(struct(a as word, b as near, bn as near_n), struct(b as word, a as near, an as near_n)))"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     accepted = -F.col("best.less") >= ratio * F.col("n")
-    joined = known.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(accepted, F.col("best.near")).alias("form"), F.when(accepted, -F.col("best.less")).alias("form_n"))
+    joined = known.hint("merge").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(accepted, F.col("best.near")).alias("form"), F.when(accepted, -F.col("best.less")).alias("form_n"))
     forms, _ = write_table(joined, "forms")
     drop_table(spark, known_path)
+    # files of words are small beside the words in memory, so none of them is broadcast either;
     # each round doubles the steps taken; n grows at least ``ratio``-fold with each step, so few rounds do
     reached, path = write_table(forms.where("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while not reached.where("moved").isEmpty():
         onward = reached.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        after, new = write_table(reached.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        after, new = write_table(reached.hint("merge").join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         drop_table(spark, path)
         reached, path = after, new
-    return forms.join(reached.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.hint("merge").join(reached.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

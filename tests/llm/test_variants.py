@@ -95,3 +95,11 @@ def test_registered_query(spark):
     got = {r["word"]: r["n"] for r in op12_variants(spark, sf).select("word", "n").collect()}
     assert got == words
     assert_same(spark, op12_variants, OP12_SQL, sf)
+
+
+def test_places_are_not_broadcast(spark):
+    """There are many of them for each word, which the planner's sizes don't show."""
+    words, path = variants.write_table(spark.createDataFrame(list(made(4, 300).items()), "word string, n bigint"), "words")
+    plan = near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    variants.drop_table(spark, path)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
