@@ -34,7 +34,7 @@ def part_of(p: DataFrame) -> DataFrame:
 
 
 def followed_by(p: DataFrame) -> DataFrame:
-    rows = _steps(p).where("at + 1 < size(steps)")
+    rows = _steps(p).where("get(steps, at + 1).name is not null")
     return _edges(rows, F.col("step.name"), F.expr("get(steps, at + 1).name"), "FOLLOWED_BY", None, "required_relationship", order=F.col("at") + 1)
 
 
@@ -45,7 +45,7 @@ def invoke(p: DataFrame) -> DataFrame:
 def involve(p: DataFrame) -> DataFrame:
     nf = F.lower("other")
     hit = _said("Step involving ").contains(nf) | F.lower("step.name").contains(nf) | F.exists("messages", lambda m: F.lower(m).contains(F.lower(F.col("other"))))
-    return _edges(_steps(p, "network_functions").where(hit), F.col("other"), F.col("step.name"), "INVOLVE", "involvement", "step_content_analysis", 0.9)
+    return _edges(_steps(p.where("procedure is not null"), "network_functions").where(hit), F.col("other"), F.col("step.name"), "INVOLVE", "involvement", "step_content_analysis", 0.9)
 
 
 def contains(p: DataFrame, what: str = "parameters") -> DataFrame:
@@ -79,10 +79,10 @@ def send_to(p: DataFrame) -> DataFrame:
     return _edges(rows, F.col("m"), F.col("nf"), "SEND_TO", "message_destination", "nf_message_correlation")
 
 
-def required(p: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
-    """All relations of ``procedures``, with those of an annotator (same columns) if there are any."""
+def required(p: DataFrame, annotated: DataFrame | None = None, defaults: bool = True) -> DataFrame:
+    """All relations of ``procedures``, with those of an annotator (same columns) if there are any; ``defaults``: also :func:`contains_default`."""
     out = part_of(p)
-    for rows in (followed_by(p), invoke(p), involve(p), contains(p), contains(p, "keys"), contains_default(p), send(p), send_by(p), send_to(p)):
+    for rows in (followed_by(p), invoke(p), involve(p), contains(p), contains(p, "keys"), *([contains_default(p)] if defaults else []), send(p), send_by(p), send_to(p)):
         out = out.unionByName(rows)
     return out if annotated is None else annotated.select(*EDGE).unionByName(out)
 

@@ -51,7 +51,9 @@ def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as procedures: turns are steps, roles network functions."""
     c = table(spark, sf_dir, "conversations").withColumn("procedure", F.concat(F.lit("conv_"), F.col("conv_id")))
     step = F.struct(F.col("turn").alias("ord"), F.concat(F.col("procedure"), F.lit("_step_"), F.col("turn")).alias("name"), F.col("text").alias("description"))
-    wide = c.groupBy("procedure").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.array_sort(F.collect_set("role")).alias("network_functions"))
+    roles = F.array_sort(F.collect_set("role"))
+    roles = F.when(F.bool_or(F.col("role").isNull()), F.array_append(roles, F.lit(None).cast("string"))).otherwise(roles)  # a null role is one too
+    wide = c.groupBy("procedure").agg(F.array_sort(F.collect_list(step)).alias("steps"), roles.alias("network_functions"))
     words = lambda ws: F.array(*[F.lit(w) for w in ws])
     return wide.withColumn("messages", words(MESSAGES)).withColumn("parameters", words(PARAMETERS)).withColumn("keys", words(KEYS))
 
