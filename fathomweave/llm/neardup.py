@@ -12,7 +12,7 @@ groups. First each text of a group meets the group's hub, its smallest node; wha
 then on. Then, in each group that still holds texts of several components, all texts of different components are
 held against each other by size and by odd sketch (which bits of a table are hit an odd number of times; two
 sketches differ in at most as many bits as the sets differ in shingles, so no pair at 0.8 is ruled out), and those
-left are compared exactly. Groups over VOLUME shingles are dealt into blocks, and each block meets each other: a
+left are compared exactly. Groups over VOLUME shingles are dealt into blocks, and each block meets itself and each other: a
 passage that many texts share, or a large group of edited copies, costs no more memory than two blocks.
 Copies are folded into one text before.
 """
@@ -254,7 +254,8 @@ def _crowd_links(crowds: DataFrame, nodes: DataFrame, similarity: float) -> tupl
     blocks = F.ceil(F.col("all") / F.least(F.greatest(F.lit(VOLUME), F.col("all") / 16), F.greatest(F.lit(VOLUME), F.lit(LARGEST)))).cast("int")
     one = one.groupBy("size", "x", "y").agg(F.min(F.struct("key", blocks.alias("blocks"))).alias("g")).select("g.key", "g.blocks")
     dealt = crowds.join(one, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    other = F.expr("explode(if(blocks = 1, array(0), filter(sequence(0, blocks - 1), k -> k <> own)))")
+    # a cell for each two blocks, in which those of different blocks are compared, and one for each block itself
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
     cells = dealt.select("key", "node", "component", "own", other.alias("k")).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "component")
     rows = cells.join(nodes.select("node", "n", "odd"), "node").select(*cell, "own", "node", "component", "n", "odd")
     left, path = write_table(rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(possible, "key bigint, i int, j int, node bigint, component bigint"), "possible")

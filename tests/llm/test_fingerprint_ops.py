@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathomweave.llm import components, fingerprints, neardup, simhash
 from tests.llm.common import bag, empty, odd, odd_rows, words
@@ -343,3 +344,21 @@ def test_depth_follows_the_number_of_fingerprints():
         d = fingerprints._depth(n, 11)
         assert 1 << d * 128 // (11 + d) >= n // 2
     assert fingerprints._depth(250_000, 11) == 2 and fingerprints._depth(4_000_000, 11) == 3
+
+
+def test_pairs_within_a_block_of_a_crowd(spark, monkeypatch):
+    """Pairs that meet in one crowd alone, both of them in one block or in two."""
+    monkeypatch.setattr(neardup, "VOLUME", 2000)
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        base = r.integers(0, 1 << 63, 100, np.uint64)
+        for k in range(2):
+            h = np.unique(np.concatenate([base[:95], r.integers(0, 1 << 63, 5, np.uint64)]))
+            rows.append((2 * i + k, len(h), bytearray(neardup.odd_sketch(h)), bytearray(np.unique((h & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes())))
+    nodes = spark.createDataFrame(rows, "node bigint, n bigint, odd binary, ids binary")
+    crowds = nodes.select(F.lit(7).cast("bigint").alias("key"), "node", F.col("node").alias("component"))
+    links, path = neardup._crowd_links(crowds, nodes, 0.8)
+    found = {tuple(sorted(x)) for x in links.collect()}
+    neardup.drop_table(spark, path)
+    assert found == {(2 * i, 2 * i + 1) for i in range(60)}
