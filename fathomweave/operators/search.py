@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 from fathomweave.functions import vectors as vx
 from fathomweave.operators import graph
+from fathomweave.runtime import shuffle_partitions, ship
 
 
 @dataclass
@@ -26,7 +30,10 @@ class SearchQuery:
     own: dict[str, list[float]] = field(default_factory=dict)
 
 
-BLOCK = 64
+#: Vectors and queries of a block, queries that a task meets, pairs whose scores are summed at once.
+VECTORS, BLOCK, TOGETHER, PAIRS = 2048, 1024, 1 << 14, 1 << 18
+#: Of the products of blocks, in double.
+SLACK = 1e-9
 PROCEDURES = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 10}
 BY_DESCRIPTION = {"entity_types": ["Procedure"], "similarity_threshold": 0.3, "max_results": 10}
 AUTHENTICATION = {"entity_types": ["Procedure"], "similarity_threshold": 0.2, "max_results": 20}
@@ -95,19 +102,128 @@ def demonstration(nodes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame
     return batched(nodes, queries, k).withColumn("drawn", F.col("rank") == 1)
 
 
+def _packed(most: int, copies: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """dim, ids, raw: rows (id, vector) in blocks of at most ``most`` vectors of one length, as doubles; dim -1: null or with nulls.
+
+    ``copies``: of equal vectors of a block the rows of so many smallest ids; the others can't be among as many best.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[int, list[int]] = {}
+            vectors = batch.column(1).to_pylist()
+            for i, v in enumerate(vectors):
+                by.setdefault(-1 if v is None or None in v else len(v), []).append(i)
+            ids = batch.column(0).to_pylist()
+            for dim, own in by.items():
+                for lo in range(0, len(own), most):
+                    block = own[lo : lo + most]
+                    if copies is not None:
+                        met: dict[bytes, int] = {}
+                        block.sort(key=lambda i: (ids[i] is None, ids[i] or 0))
+                        block = [i for i in block if met.setdefault(x := b"" if dim < 0 else np.array(vectors[i], "<f8").tobytes(), 0) < copies and not met.update({x: met[x] + 1})]
+                    raw = b"" if dim < 0 else np.array([vectors[i] for i in block], "<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[ids[i] for i in block]], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["dim", "ids", "raw"])
+
+    return run
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += x[:, d] * x[:, d]
+    return np.sqrt(total)
+
+
+def _best(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """query_id, vec_id, score: the ``k`` best of each query among the blocks of vectors it meets in this task.
+
+    Products of whole blocks rule out what is worse than the k best so far by more than they can be off; the scores of the rest are
+    summed in the order of ``vectors.cosine``, so they are its scores to the last bit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}  # of each block of queries: ids, vectors, norms, units and the best so far
+        unpacked: tuple = (None, None)
+
+        def matrix(dim: int, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = np.frombuffer(raw, "<f8").reshape(-1, dim)
+            n = _norms(x)
+            fine = np.isfinite(n) & (n > 0)
+            return x, n, np.where(fine[:, None], x / np.where(fine, n, 1)[:, None], 0)
+
+        def compare(v: tuple, asked: list) -> None:
+            (dim, ids, null, x), (qdim, q, best) = v, asked
+            alike = dim == qdim and dim > 0
+            if alike:
+                (vectors, vn, vu), (queries, qn, qu) = x, q
+                tiny = min(vn[vn > 0].min(initial=1), 1) * min(qn[qn > 0].min(initial=1), 1) < 1e-290
+                near = qu @ vu.T
+            else:
+                near, tiny = np.zeros((len(best[0]), len(ids))), False
+            least = best[0][:, -1]
+            if len(ids) > k and np.isinf(least).any():
+                least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+            at, of = np.nonzero(near >= (-np.inf if tiny else least[:, None] - SLACK))
+            if not len(at):
+                return
+            score = np.zeros(len(at))
+            if alike:
+                for lo in range(0, len(at), PAIRS):
+                    i, j = at[lo : lo + PAIRS], of[lo : lo + PAIRS]
+                    total = np.zeros(len(i))
+                    for d in range(dim):
+                        total += vectors[j, d] * queries[i, d]
+                    under = vn[j] * qn[i]
+                    value = total / np.where(under == 0, 1, under)
+                    score[lo : lo + PAIRS] = np.where((under == 0) | np.isnan(value), 0, value)
+            hit = np.unique(at)
+            at = np.concatenate([np.repeat(hit, k), at])
+            score = np.concatenate([best[0][hit].ravel(), score])
+            empty, number = np.concatenate([best[1][hit].ravel(), null[of]]), np.concatenate([best[2][hit].ravel(), ids[of]])
+            order = np.lexsort((number, empty, -score, at))
+            place = np.arange(len(order)) - np.repeat(np.flatnonzero(np.diff(at[order], prepend=-1)), np.bincount(at)[hit])
+            kept = order[place < k]
+            for part, values in zip(best, (score, empty, number), strict=True):
+                part[hit] = values[kept].reshape(-1, k)
+
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    dim, ids, raw, qdim, qids, qraw = (batch.column(c)[i] for c in range(6))
+                    whole = raw.as_buffer().to_pybytes()
+                    if unpacked[0] != (ids, whole):
+                        numbers = pc.fill_null(ids.values, (1 << 63) - 1).to_numpy()
+                        unpacked = ((ids, whole), (dim.as_py(), numbers, pc.is_null(ids.values).to_numpy(zero_copy_only=False), matrix(dim.as_py(), whole) if dim.as_py() > 0 else None))
+                    asked = qraw.as_buffer().to_pybytes()
+                    key = (tuple(qids.as_py()), asked)
+                    if key not in held:
+                        n = len(key[0])
+                        held[key] = [qdim.as_py(), matrix(qdim.as_py(), asked) if qdim.as_py() > 0 else None, [np.full((n, k), -np.inf), np.ones((n, k), bool), np.zeros((n, k), np.int64)]]
+                    compare(unpacked[1], held[key])
+        for (qids, _), (_, _, (score, null, number)) in held.items():
+            i, j = np.nonzero(np.isfinite(score))
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], pa.int64()), pa.array(number[i, j], mask=null[i, j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def batched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q).
+    """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q), ties by vec_id (null last); ids are whole numbers.
 
-    Queries meet the rows in blocks of about BLOCK, part by part, so nothing that grows with them is broadcast; of each part of the rows
+    Blocks of vectors meet blocks of queries, part by part, so nothing that grows with them is broadcast; of each part of the rows
     only the best of a query are shuffled. ``vector_index`` gives the same rows and reads less.
     """
-    blocks = -(-queries.count() // BLOCK) or 1
-    # norms are worked out once a row, not once a pair
-    block = queries.withColumn("n", vx.norm(F.col("q"))).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "n")).alias("qs"))
-    pairs = vectors.select("vec_id", "embedding", vx.norm(F.col("embedding")).alias("n")).crossJoin(block.select("qs").hint("shuffle_replicate_nl")).select("vec_id", "embedding", "n", F.explode("qs").alias("x"))
-    rows = pairs.select("x.query_id", "vec_id", vx.cosine(F.col("embedding"), F.col("x.q"), F.col("n"), F.col("x.n")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    ship(spark)
+    packed = "dim int, ids array<bigint>, raw binary"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_packed(VECTORS, k), packed)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("id"), F.col("q").cast("array<double>").alias("v")).mapInArrow(_packed(BLOCK), "qdim int, qids array<bigint>, qraw binary")
+    parts = -(-queries.count() // TOGETHER) or 1
+    pairs = rows.repartition(shuffle_partitions(spark)).crossJoin(asked.repartition(parts).hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(items: DataFrame, vector: list[float]) -> DataFrame:
