@@ -24,6 +24,8 @@ from fathomweave.runtime import drop_table, write_table
 
 BUCKETS = 64
 POLICIES = ("last", "first", "entries")
+#: A bucket of so many times its share of a batch, and so many rows, is merged in part before it moves.
+CROWDED, LEAST_ROWS = 4, 1 << 16
 
 
 @dataclass
@@ -95,18 +97,19 @@ def _merged(rows: DataFrame, keys: list[str], seq: str, policy: str) -> DataFram
         # maps can't be compared, so rows of one key and seq are told apart by their text
         order = F.struct(seq, F.to_json(F.struct(*others)))
         return rows.groupBy(*keys).agg(pick(F.struct(*others), order).alias("x")).select(*keys, "x.*").select(*rows.columns)
-    whole = _merged(rows.select(*[c for c in rows.columns if c not in maps]), keys, seq, "last")
-    for name in maps:
-        # entries are merged one by one, so partial results are small whatever a key's map holds
-        each = rows.select(*keys, F.explode(name).alias("k", "e")).groupBy(*keys, "k").agg(F.max_by("e", F.struct("e.seq", "e.v")).alias("e"))
-        own = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "e")))).alias(name))
-        own = own.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        whole = whole.join(own, same, "left").drop(*[f"_{k}" for k in keys])
-        whole = whole.withColumn(name, F.coalesce(name, F.create_map().cast(rows.schema[name].dataType)))
-    return whole.select(*rows.columns)
+    # a row falls into cells, itself without its maps and one for each entry, which are merged one by one: partial results are
+    # small whatever a key's map holds, and grouping by the keys moves nothing where rows are dealt by one of them already
+    plain = F.struct(*[c for c in others if c not in maps])
+    kinds = [plain.alias("whole"), *[x for i, m in enumerate(maps) for x in (F.get(F.map_keys(m), F.lit(0)).alias(f"k{i}"), F.get(F.map_values(m), F.lit(0)).alias(f"e{i}"))]]
+    nulls = {f.name: F.lit(None).cast(f.dataType) for f in rows.select(*kinds).schema}
+    cell = lambda m, **own: F.struct(F.lit(m).alias("m"), *[own.get(n, null).alias(n) for n, null in nulls.items()])
+    of = lambda i: lambda x: cell(i, **{f"k{i}": x["key"], f"e{i}": x["value"]})
+    entries = [F.transform(F.map_entries(m), of(i)) for i, m in enumerate(maps)]
+    cells = rows.select(*keys, F.inline(F.concat(F.array(cell(-1, whole=plain)), *[F.coalesce(e, F.array().cast(rows.select(e).schema[0].dataType)) for e in entries])))
+    chosen = [F.max_by("whole", F.struct(f"whole.{seq}", F.to_json("whole"))).alias("whole"), *[F.max_by(f"e{i}", F.struct(f"e{i}.seq", f"e{i}.v")).alias(f"e{i}") for i in range(len(maps))]]
+    one = cells.groupBy(*keys, "m", *[f"k{i}" for i in range(len(maps))]).agg(*chosen)
+    together = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("m") == i, F.struct(f"k{i}", f"e{i}"))))).alias(m) for i, m in enumerate(maps)]
+    return one.groupBy(*keys).agg(F.first("whole", ignorenulls=True).alias("whole"), *together).select(*keys, "whole.*", *maps).select(*rows.columns)
 
 
 def _with_seq(rows: DataFrame, seq: str, policy: str) -> DataFrame:
@@ -136,22 +139,30 @@ def merge(batch: DataFrame, path: str, keys: list[str], seq: str = "seq", policy
     if old is not None:
         keys, seq, policy, buckets = old.keys, old.seq, old.policy, old.buckets
         batch = batch.select(*old.schema.names)
-    own = _merged(_with_seq(batch, seq, policy), keys, seq, policy).withColumn("_bucket", bucket_of(keys, buckets))
-    staged, temporary = write_table(own, "merge")
-    touched = [r[0] for r in staged.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    staged, temporary = write_table(_with_seq(batch, seq, policy).withColumn("_bucket", bucket_of(keys, buckets)), "merge")
+    paths = [temporary]
+    sizes = {r[0]: r[1] for r in staged.groupBy("_bucket").count().collect()}  # at most ``buckets`` numbers
+    touched = sorted(sizes)
     number = old.version + 1 if old else 0
     folders = dict(old.folders) if old else {}
     if touched or old is None:
-        rows = staged.drop("_bucket")
+        if max(sizes.values(), default=0) > max(CROWDED * sum(sizes.values()) / buckets, LEAST_ROWS):
+            # a key with many rows: these are merged where they are first, in part
+            staged, again = write_table(_merged(staged, ["_bucket", *keys], seq, policy), "merge")
+            paths.append(again)
+        rows = staged
         before = [f"{path}/{folders[b]}" for b in touched if b in folders]
         if before:
-            rows = _merged(rows.unionByName(spark.read.schema(rows.schema).parquet(*before)), keys, seq, policy)
+            stored = spark.read.schema(staged.drop("_bucket").schema).parquet(*before)
+            rows = rows.unionByName(stored.withColumn("_bucket", bucket_of(keys, buckets)))
         data = f"data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn("bucket", bucket_of(keys, buckets)).repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *keys)
-        dealt.write.partitionBy("bucket").parquet(f"{path}/{data}")
+        # dealt by bucket once; all that follows happens within the buckets
+        dealt = _merged(rows.repartition(max(1, len(touched)), "_bucket"), ["_bucket", *keys], seq, policy).withColumnRenamed("_bucket", "bucket")
+        dealt.sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(f"{path}/{data}")
         folders |= {b: f"{data}/bucket={b}" for b in touched}
         _put(spark, path, Manifest(number, keys, seq, policy, buckets, batch.schema, folders))
-    drop_table(spark, temporary)
+    for done in paths:
+        drop_table(spark, done)
     return number if touched or old is None else old.version
 
 

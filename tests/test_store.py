@@ -88,3 +88,24 @@ def test_empty_batches_and_repeats(spark, tmp_path):
     assert stored(store.read(spark, path)) == first == plain(rows, "last")
     with pytest.raises(RuntimeError, match="another"):
         store._put(spark, path, store.manifest(spark, path))
+
+
+def test_rows_are_dealt_once(spark):
+    """What is grouped by the keys stays where the rows of a bucket are; no join brings maps and the rest together."""
+    rows = spark.range(100).selectExpr("id % 7 as _bucket", "id % 14 as key", "id as seq", "map('a', struct(id as v, id as seq)) as props", "map(1, struct('x' as v, id as seq)) as more")
+    plan = store._merged(rows.repartition(5, "_bucket"), ["_bucket", "key"], "seq", "entries")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_key_with_many_rows(spark, tmp_path, monkeypatch):
+    """The crowded bucket is merged in part before it moves; the table is the same."""
+    rows = spark.range(900).selectExpr("if(id % 3 = 0, id % 40, -1) as key", "pmod(id * 7919, 900) as seq", "map(concat('p', id % 5), id, 'all', -id) as props", "if(id % 2 = 0, map(id % 4, 'v'), null) as more")
+    for policy in store.POLICIES:
+        got = []
+        for least in (1, 1 << 16):
+            monkeypatch.setattr(store, "LEAST_ROWS", least)
+            path = f"{tmp_path}/{policy}-{least}"
+            for k in (1, 0):
+                store.merge(rows.where(f"seq % 2 = {k}"), path, ["key"], policy=policy)
+            got.append(sorted(repr((r["key"], r["seq"], sorted(r["props"].items()), r["more"] and sorted(r["more"].items()))) for r in store.read(spark, path).collect()))
+        assert got[0] == got[1] and len(got[0]) == 41
