@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomweave.runtime import write_table
+
 #: What ends a run of words.
 MARK = r"[^\p{L}\p{N}\s_'-]+"
 LEAST_COUNT, LEAST_PMI, LEAST_SIDES, LONGEST = 5, 3.0, 3, 3
@@ -30,22 +32,28 @@ def neighbours(texts: DataFrame, text: str = "text", keys: list[str] | None = No
     return ws.where(F.size("ws") > 3).select(*(keys or []), F.inline(F.filter(one, lambda x: (x["a"] != EDGE) & (x["b"] != EDGE))))
 
 
-def counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b, n, lefts, rights): how often two words follow one another, and beside how many different words or ends on either side."""
-    rows = neighbours(texts, text)
-    # a pair's sides are counted as distinct rows first, so a frequent pair is no large group
-    sided = rows.groupBy("a", "b", "before", "after").agg(F.count("*").alias("n"))
-    return sided.groupBy("a", "b").agg(F.sum("n").alias("n"), F.countDistinct("before").alias("lefts"), F.countDistinct("after").alias("rights"))
-
-
 def collocations(texts: DataFrame, text: str = "text", least_count: int = LEAST_COUNT, least_pmi: float = LEAST_PMI, least_sides: int = LEAST_SIDES) -> DataFrame:
-    """(a, b, n, lefts, rights, pmi) of the pairs that pass all three tests; pmi: log2 of n times the number of words over the product of the words' own counts."""
-    spoken = texts.where(F.col(text).isNotNull()).select(F.explode(words(F.col(text))).alias("w")).where(F.col("w") != EDGE).groupBy("w").agg(F.count("*").alias("m"))
+    """(a, b, n, lefts, rights, pmi) of the pairs that pass all three tests; pmi: log2 of n times the number of words over the product of the words' own counts.
+
+    lefts, rights: beside how many different words or ends a pair stands on either side.
+    """
+    # texts are cut into words once, and read as words three times
+    ws, _ = write_table(texts.where(F.col(text).isNotNull()).select(words(F.col(text)).alias("ws")), "texts")
+    spoken = ws.select(F.explode("ws").alias("w")).where(F.col("w") != EDGE).groupBy("w").agg(F.count("*").alias("m"))
+    spoken, _ = write_table(spoken, "words")
     total = spoken.agg(F.sum("m")).first()[0] or 0
-    rows = counts(texts, text).where((F.col("n") >= least_count) & (F.col("lefts") >= least_sides) & (F.col("rights") >= least_sides))
+    later = lambda k: F.slice("ws", k + 1, F.size("ws"))
+    both = lambda x: (x["a"] != EDGE) & (x["b"] != EDGE)
+    met = ws.select(F.inline(F.filter(F.arrays_zip(F.col("ws").alias("a"), later(1).alias("b")), both))).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
     left, right = spoken.select(F.col("w").alias("a"), F.col("m").alias("an")), spoken.select(F.col("w").alias("b"), F.col("m").alias("bn"))
     pmi = F.log2(F.col("n") * F.lit(float(total)) / F.col("an") / F.col("bn"))
-    return rows.join(left, "a").join(right, "b").withColumn("pmi", pmi).where(F.col("pmi") >= least_pmi).select("a", "b", "n", "lefts", "rights", "pmi")
+    high, _ = write_table(met.join(left, "a").join(right, "b").withColumn("pmi", pmi).where(F.col("pmi") >= least_pmi).select("a", "b", "n", "pmi"), "pairs")
+    # what stands beside a pair is looked at for these alone
+    four = F.arrays_zip(F.col("ws").alias("before"), later(1).alias("a"), later(2).alias("b"), later(3).alias("after"))
+    rows = ws.select(F.inline(F.filter(four, both))).join(high.select("a", "b"), ["a", "b"], "left_semi")
+    sides = rows.select("a", "b", F.expr("inline(array(struct(0 as side, before as w), struct(1 as side, after as w)))")).groupBy("a", "b", "side", "w").agg(F.lit(1).alias("one"))
+    sides = sides.groupBy("a", "b").agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights")).where((F.col("lefts") >= least_sides) & (F.col("rights") >= least_sides))
+    return high.join(sides, ["a", "b"]).select("a", "b", "n", "lefts", "rights", "pmi")
 
 
 def phrases(texts: DataFrame, key: str, pairs: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
