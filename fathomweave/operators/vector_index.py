@@ -219,6 +219,7 @@ def _compared(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        seen: dict[int, float] = {}  # the best k-th lower bound of a query in this task
         for batch in batches:
             for i in range(batch.num_rows):
                 cell, ids, codes, far, asked = (batch.column(c)[i].as_py() for c in range(5))
@@ -232,6 +233,8 @@ def _compared(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 wide = np.where(units.any(1)[:, None], np.array(far)[None, :] + SLACK, 0)
                 low, high = middle - wide, middle + wide
                 least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(units), -np.inf)
+                least = np.maximum(least, [seen.get(x["query_id"], -np.inf) for x in asked])
+                seen.update(zip((x["query_id"] for x in asked), least.tolist(), strict=True))
                 q, v = np.nonzero(high >= least[:, None])
                 numbers = pa.array([asked[x]["query_id"] for x in q], pa.int64())
                 cells = pa.array(np.full(len(v), cell), pa.int32())
@@ -254,12 +257,20 @@ def candidates(queries: DataFrame, path: str, k: int, probes: int | None = None)
     codes = codes if wanted is None else codes.where(F.col("cell").isin(wanted))
     met = codes.join(blocks, "cell").select("cell", "ids", "codes", "far", "asked").mapInArrow(_compared(shared, k), "query_id bigint, rep bigint, cell int, low double, high double")
     found, _ = write_table(met, "candidates")
-    # the k-th best lower bound of a query; Spark keeps only k rows a task and query for it
+    # the k best by their lower bounds are scored in full: the k-th of their scores, less what sums may be off, is a far better
+    # bound than theirs; Spark keeps only k rows a task and query for them
     order = Window.partitionBy("query_id").orderBy(F.col("low").desc(), "rep")
-    least = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).select("query_id", "rep", "cell", "low", "high")
+    exact = _full(spark, path).join(best, ["cell", "rep"]).join(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "q"), "query_id")
+    exact = exact.select("query_id", F.greatest("low", F.least("high", vx.cosine(F.col("embedding"), F.col("q")) - SLACK)).alias("low"))
+    least, _ = write_table(exact.groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("n")), "bounds")
     return found.join(least, "query_id").where((F.col("high") >= F.col("least")) | (F.col("n") < k)).select("query_id", "rep", "cell")
 
 
+def _full(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("rep bigint, embedding array<float>, cell int").parquet(f"{path}/full")
+
+
 def search(queries: DataFrame, path: str, k: int = 5, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` most similar rows of each query (query_id, q), ties by vec_id (null last).
 
@@ -268,8 +279,7 @@ def search(queries: DataFrame, path: str, k: int = 5, probes: int | None = None)
     """
     spark = queries.sparkSession
     chosen = candidates(queries, path, k, probes)
-    full = spark.read.schema("rep bigint, embedding array<float>, cell int").parquet(f"{path}/full")
-    exact = full.join(chosen, ["cell", "rep"]).join(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "q"), "query_id").select("query_id", "rep", vx.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    exact = _full(spark, path).join(chosen, ["cell", "rep"]).join(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "q"), "query_id").select("query_id", "rep", vx.cosine(F.col("embedding"), F.col("q")).alias("score"))
     # k scores at most stand for a query's best rows; vectors of equal score all stay, as their rows compete by vec_id
     ranked = exact.withColumn("at", F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("at") <= k).drop("at")
     rows = spark.read.schema("rep bigint, vec_id bigint").parquet(f"{path}/rows").join(ranked.select("rep").distinct(), "rep", "left_semi")
