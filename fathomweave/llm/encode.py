@@ -20,6 +20,8 @@ from operator import not_
 
 import numpy as np
 
+from fathomweave.runtime import held
+
 #: White space, then a word up to a mark that follows it at once, or all up to the next white space.
 PIECE = re.compile("[ \n\t\r]*(?:[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?:(?=[.,;:!?%*$&#])|[^ \n\t\r]*)|[^ \n\t\r]+)|[ \n\t\r]+")
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
@@ -39,15 +41,9 @@ def pack(ids: list[int]) -> bytes:
     return np.array(ids, ID_TYPE).tobytes() if array("I").itemsize != 4 or sys.byteorder != "little" else array("I", ids).tobytes()
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
 def shared_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, with what its cache holds from earlier tasks."""
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:

@@ -1,4 +1,4 @@
-"""Session helpers: shared storage for intermediate tables, lineage cuts, sizing."""
+"""Session helpers: shared storage for intermediate tables, lineage cuts, sizing, what workers keep."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow.fs
@@ -96,5 +97,17 @@ def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
 
 
+#: What this Python worker keeps between tasks: one thing at most.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gave for ``key`` in an earlier task of this Python worker, or gives now; what was kept for another key goes, so that no stage pays for the memory of the one before."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
