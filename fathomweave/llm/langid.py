@@ -6,6 +6,7 @@ many escapes as different bytes were seen there) and then of the next shorter co
 shares of the 256 bytes. The language whose tree codes the whole text in the fewest bits wins. A tree holds
 the contexts that were seen and nothing else, as sorted arrays, so neither the number of languages nor that of
 different bytes changes its order; the distinct windows of a block of texts are looked up once for each language.
+Trees of one byte of context (:func:`fit_pairs`) are counted on all texts by Spark and looked up in a table of all pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ LETTER = re.compile(r"[^\W\d_]")
 MOST_ORDER = 7
 BLOCK = 1 << 19
 UNDETERMINED = "und"
+PAIRS = 1 << 16
 
 
 @dataclass
@@ -78,17 +80,23 @@ class PartialMatch:
     languages: list[str]
     trees: list[Tree]
     order: int
+    pairs: list[np.ndarray] | None = None  # of trees of order 1, once a text was told: the cost of every pair of bytes
 
     def code_lengths(self, texts: list[bytes], lead: bytes | None = None) -> np.ndarray:
         """(texts, languages): bits of each of ``texts``, none of them empty; ``lead``: the ``order`` bytes before each."""
         lead = b" " * self.order if lead is None else lead
         data = np.frombuffer(lead.join([b"", *texts]), np.uint8)
-        windows, place = np.unique(_windows(data, self.order), return_inverse=True)
+        if self.order == 1:
+            self.pairs = self.pairs or [t.cost(np.arange(PAIRS, dtype=np.uint32)) for t in self.trees]
+            costs, place = self.pairs, _windows(data, 1)
+        else:
+            windows, place = np.unique(_windows(data, self.order), return_inverse=True)
+            costs = (t.cost(windows) for t in self.trees)
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes + self.order) - sizes - self.order
         # what ends in the lead of the next text is no byte of a text
         ends = np.stack([starts, starts + sizes], axis=1).ravel()
-        return np.stack([np.add.reduceat(np.append(t.cost(windows)[place], 0.0), ends)[::2] for t in self.trees], axis=1)
+        return np.stack([np.add.reduceat(np.append(c[place], 0.0), ends)[::2] for c in costs], axis=1)
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """The language and its share of the likelihood, flattened since bytes of a word are far from independent."""
@@ -98,6 +106,22 @@ class PartialMatch:
             total += self.code_lengths([text[at : at + BLOCK]], text[at - self.order : at])[0]
         return self.verdict(total)
 
+    def predict_all(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        """:meth:`predict` for each of ``texts``, none of them empty, in blocks."""
+        found: list[tuple[str, float]] = []
+        waiting: list[bytes] = []
+        size = 0
+        for text in texts:
+            if waiting and size + len(text) > BLOCK:
+                found += map(self.verdict, self.code_lengths(waiting))
+                waiting, size = [], 0
+            if len(text) > BLOCK:
+                found.append(self.predict(text))
+                continue
+            waiting.append(text)
+            size += len(text)
+        return found + [self.verdict(x) for x in self.code_lengths(waiting)] if waiting else found
+
     def verdict(self, total: np.ndarray) -> tuple[str, float]:
         best = int(np.argmin(total))
         return self.languages[best], float(1 / np.exp2(np.maximum(-1000, (total[best] - total) / 4)).sum())
@@ -113,22 +137,70 @@ def train(samples: dict[str, list[bytes]], order: int = 3) -> PartialMatch:
         # one text at a time, so that no window spans two
         found = [np.unique(_windows(np.frombuffer(b" " * order + t, np.uint8), order), return_counts=True) for t in samples[language] if t]
         windows, place = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([n for _, n in found]))
-        tree = Tree([], [], [], [])
-        for k in range(order + 1):
-            seen, place = np.unique(_shorter(windows, k), return_inverse=True)
-            n = np.bincount(place, counts)
-            contexts, place = np.unique(seen >> seen.dtype.type(8), return_inverse=True)
-            kinds = np.bincount(place)
-            all_ = np.bincount(place, n) + kinds
-            tree.windows.append(seen)
-            tree.bits.append(-np.log2(n / all_[place]))
-            tree.contexts.append(contexts)
-            tree.escapes.append(-np.log2(kinds / all_))
-        trees.append(tree)
+        trees.append(_tree(windows, np.bincount(place, np.concatenate([n for _, n in found])), order))
     return PartialMatch(languages, trees, order)
 
 
+def _tree(windows: np.ndarray, counts: np.ndarray, order: int) -> Tree:
+    """From the distinct windows of ``order`` bytes of context and how often each was seen."""
+    tree = Tree([], [], [], [])
+    for k in range(order + 1):
+        seen, place = np.unique(_shorter(windows, k), return_inverse=True)
+        n = np.bincount(place, counts)
+        contexts, place = np.unique(seen >> seen.dtype.type(8), return_inverse=True)
+        kinds = np.bincount(place)
+        all_ = np.bincount(place, n) + kinds
+        tree.windows.append(seen)
+        tree.bits.append(-np.log2(n / all_[place]))
+        tree.contexts.append(contexts)
+        tree.escapes.append(-np.log2(kinds / all_))
+    return tree
+
+
+def _pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each pair of bytes stands in ``texts``, none of them empty, a blank before each."""
+    data = np.frombuffer(b" ".join([b"", *texts]), np.uint8)
+    # no pair spans two texts
+    between = np.array([t[-1] << 8 | ord(" ") for t in texts[:-1]], np.int64)
+    return np.bincount(_windows(data, 1), minlength=PAIRS) - np.bincount(between, minlength=PAIRS)
+
+
+def fit_pairs(docs: DataFrame) -> PartialMatch | None:
+    """Learns trees of one byte of context from every row with a language and a text outside the held-out fold; None if there is none.
+
+    A task counts the pairs of its texts; the driver sees at most PAIRS sums of each language.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[bytes]] = {}
+        size = 0
+
+        def flush() -> None:
+            for language, texts in waiting.items():
+                sums[language] = sums.get(language, 0) + _pair_counts(texts)
+            waiting.clear()
+
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                waiting.setdefault(language, []).append(text.as_py().encode())
+                size += len(waiting[language][-1])
+                if size > BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        for language, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "pair", "n"])
+
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    rows = rows.where("doc_id is not null and lang is not null and text <> ''").where(~held_out()).select("lang", "text")
+    told = rows.mapInArrow(run, "lang string, pair int, n bigint").groupBy("lang", "pair").agg(F.sum("n").alias("n")).toPandas()
+    trees = {language: _tree(own["pair"].to_numpy(np.uint32), own["n"].to_numpy(), 1) for language, own in told.sort_values(["lang", "pair"]).groupby("lang")}
+    return PartialMatch(list(trees), list(trees.values()), 1) if trees else None
+
+
 def fit(docs: DataFrame, per_language: int = 500, longest: int = 1 << 16, order: int = 3) -> PartialMatch | None:
     """Learns from a sample of about ``per_language`` texts (of at most ``longest`` bytes) of each language outside the held-out fold.
 
