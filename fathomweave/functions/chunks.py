@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.functions import annotate
+from fathomweave.functions.encode import shared_encoder
 from fathomweave.runtime import ship
 
 CHUNK = "chunk int, start int, length int, tokens int, text string"
@@ -31,8 +32,8 @@ def counter(vocabulary: str) -> Callable[[str], int]:
     return lambda text: len(made.encode(text, add_special_tokens=False).ids)
 
 
-def spans(text: str, most: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, tokens) of consecutive parts of ``text`` of at most ``most`` tokens each (or one character).
+def spans(text: str, most: int, count: Callable[[int, int], int]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, tokens) of consecutive parts of ``text`` of at most ``most`` tokens each (or one character); ``count``: the tokens of the part between two places.
 
     A part that is too long is cut after the sentence end nearest to its middle within 500 characters, else after the last newline
     before the middle, else after the last blank, else in the middle. Parts follow one another without a gap.
@@ -40,7 +41,7 @@ def spans(text: str, most: int, count: Callable[[str], int]) -> Iterator[tuple[i
     waiting = [(0, len(text))] if text else []
     while waiting:
         lo, hi = waiting.pop()
-        tokens = count(text[lo:hi])
+        tokens = count(lo, hi)
         if tokens <= most or hi - lo < 2:
             yield lo, hi, tokens
             continue
@@ -60,7 +61,7 @@ class Chunks:
     """Table function: a row for each chunk of a text; null and empty texts have none."""
 
     def eval(self, text: str | None, most: int, vocabulary: str):
-        for i, (lo, hi, tokens) in enumerate(spans(text or "", most, counter(vocabulary))):
+        for i, (lo, hi, tokens) in enumerate(spans(text or "", most, shared_encoder(vocabulary).between(text or ""))):
             yield i, lo + 1, hi - lo, tokens, text[lo:hi]
 
 

@@ -69,3 +69,24 @@ def test_runs_are_cut_at_the_longest(spark):
 def test_no_texts(spark):
     t = spark.createDataFrame([], "id int, text string")
     assert mining.collocations(t).count() == 0 and mining.phrases(t, "id", mining.collocations(t)).count() == 0 and chunks.chunked(t, "id").count() == 0
+
+
+def test_parts_are_counted_from_pieces():
+    """Counts of all parts are the tokenizer's own, and a text goes through it about once, not once for each halving."""
+    from fathomweave.functions.encode import Encoder, default_tokenizer
+
+    encoder, plain = Encoder(default_tokenizer()), chunks.counter(chunks.default_vocabulary())
+    r = random.Random(3)
+    kinds = ["word ", "end. ", "What? ", "\n", "\n\n  ", "é日 ", "x" * 30, "a1.b2,", "  ", "\t", "it's ", "<|endoftext|>", "$5%", "'"]
+    for i in range(60):
+        text = "".join(r.choice(kinds) for _ in range(r.randint(0, 60))) + ("\u00a0z q" if i % 10 == 0 else "")
+        count = encoder.between(text)
+        for _ in range(40):
+            lo = r.randint(0, len(text))
+            hi = r.randint(lo, len(text))
+            assert count(lo, hi) == plain(text[lo:hi]), (text, lo, hi)
+    letters, real = [0], encoder._library
+    encoder._library = lambda texts: letters.__setitem__(0, letters[0] + sum(map(len, texts))) or real(texts)
+    text = " ".join(f"n{i}q" for i in range(40000))
+    parts = list(chunks.spans(text, 64, encoder.between(text)))
+    assert "".join(text[a:b] for a, b, _ in parts) == text and len(parts) > 1000 and letters[0] < 3.5 * len(text)
