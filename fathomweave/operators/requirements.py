@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomweave.functions import annotate
-from fathomweave.functions import text as tx
 
 #: Words at which the stand-in for a noun chunker cuts.
 CUTS = (
@@ -28,8 +27,7 @@ def phrases(text: Column, cuts: list[str] = CUTS) -> Column:
     A stand-in for noun chunks; those of a parser can take its place in :func:`processed`.
     """
     words = F.regexp_replace(F.regexp_replace(text, MARKS, " | "), SPACE, " ")
-    # a cut word stands between blanks or at an end
-    runs = F.split(F.regexp_replace(words, rf"(?i)(?<![^ ])(?:{'|'.join(map(tx.literal, cuts))})(?![^ ])", "|"), "\\|")
+    runs = F.split(F.array_join(F.transform(F.split(words, " "), lambda w: F.when(F.lower(w).isin(cuts), "|").otherwise(w)), " "), "\\|")
     return F.when(text.isNotNull(), short(F.transform(runs, lambda r: F.trim(r))))
 
 
@@ -63,4 +61,5 @@ def part_of(rows: DataFrame, key: str) -> DataFrame:
 
 
 def contains_entity(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col(key).cast("string").alias("source_name"), F.explode("entities").alias("target_name"), F.lit("CONTAINS_ENTITY").alias("rel_type"))
+    # explode alone would have the planner ask beforehand whether there are entities, and find them a second time for that
+    return rows.select(F.col(key).cast("string").alias("source_name"), F.explode_outer("entities").alias("target_name"), F.lit("CONTAINS_ENTITY").alias("rel_type")).where("target_name is not null")

@@ -73,3 +73,11 @@ def test_ordered_fallbacks(spark):
 def test_sections_of_one_document(spark):
     s = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "document string, n int")
     assert [r["n"] for r in classify.of_document(s, "a").collect()] == [1]
+
+
+def test_noun_phrases_are_found_once(spark):
+    """The planner adds no second search for them, and cut words in any case, between marks or at an end, part them."""
+    rows = spark.createDataFrame([(1, "t", "The AMF OF the UE, not|THE Key of", "a/s"), (2, "t", None, "s"), (3, "t", "", None), (4, "t", "of the", "s")], "id int, title string, text string, source string")
+    edges = requirements.contains_entity(requirements.processed(rows), "id")
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+    assert sorted((r["source_name"], r["target_name"]) for r in edges.collect()) == [("1", "AMF"), ("1", "Key"), ("1", "UE")]
