@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 from fathomweave.operators import extract, graph, relate
+from fathomweave.runtime import write_table
 
 #: Functions whose nodes belong to a procedure.
 SCOPED = [
@@ -62,8 +63,8 @@ def spoken(sections: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def from_sections(sections: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entities, messages among them, and edges of all sections."""
-    entities = ontology_entities(sections, strict)
+    """Entities, messages among them, and edges of all sections. The names found are written once, for all that ask for them."""
+    entities, _ = write_table(ontology_entities(sections, strict), "ontology")
     messages, edges = spoken(sections, entities)
     entities = entities.unionByName(messages)
     return entities, edges.unionByName(contained(sections, entities.where("entity_type <> 'Message'"))).unionByName(part_of(sections, entities))

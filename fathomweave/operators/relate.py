@@ -138,7 +138,7 @@ def sends(rows: DataFrame, names: str = "names", text: str = "text", key: str =
     """Three relations for each "A sends a M to the B" whose ends are both among the row's names."""
     p = F.lit(r"([A-Z0-9/ -]+)\s+sends an?\s+(.+?)\s+to the\s+([A-Z0-9/ -]+)")
     zipped = F.arrays_zip(*[F.regexp_extract_all(F.col(text), p, F.lit(i)).alias(n) for i, n in ((1, "src"), (2, "msg"), (3, "tgt"))])
-    hits = rows.select(key, names, F.explode(zipped).alias("z")).select(key, names, *[F.trim(f"z.{n}").alias(n) for n in ("src", "msg", "tgt")])
+    hits = rows.where(F.col(text).contains("sends a")).select(key, names, F.explode(zipped).alias("z")).select(key, names, *[F.trim(f"z.{n}").alias(n) for n in ("src", "msg", "tgt")])
     hits = hits.where(F.array_contains(names, F.col("src")) & F.array_contains(names, F.col("tgt")))
     three = F.expr("inline(array(struct(src as source_name, msg as target_name, 'SENDS_TO' as rel_type), struct(msg as source_name, tgt as target_name, 'IS_SENT_TO' as rel_type), struct(msg as source_name, src as target_name, 'SENT_BY' as rel_type)))")
     return hits.select(key, three)
@@ -146,7 +146,8 @@ def sends(rows: DataFrame, names: str = "names", text: str = "text", key: str =
 
 def _found_at(name: str, said: str) -> str:
     """SQL: where ``name`` first stands in ``said`` as a whole word, from 1; 0: nowhere."""
-    return rf"regexp_instr({said}, concat('(?U)\\b\\Q', {name}, '\\E\\b'))"
+    # the pattern is made anew for each name, so only where the name's letters are
+    return rf"if(contains({said}, {name}), regexp_instr({said}, concat('(?U)\\b\\Q', {name}, '\\E\\b')), 0)"
 
 
 def derives(rows: DataFrame, names: str = "names", text: str = "text", key: str = "section") -> DataFrame:

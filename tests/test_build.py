@@ -75,3 +75,14 @@ def test_presets_and_details(spark):
     queries = spark.createDataFrame([(1, v(1.0)), (2, v(0.0))], "query_id int, q array<double>")
     drawn = search.demonstration(nodes.withColumn("vec_id", F.col("seq")), queries, 2).where("drawn").collect()
     assert {(r["query_id"], r["vec_id"]) for r in drawn} == {(1, 1), (2, 2)}
+
+
+def test_names_of_sections_are_found_once(spark):
+    """What edges and nodes ask of the names is read from a table, not searched for in the texts again; prefilters lose no relation."""
+    text = "AMF sends a Paging to the UE. The AMF sends an  SUCI to the SEAF. xAMF derives KAUSF\nThe AMF derives KAUSF from AUTN. deriving"
+    rows = spark.createDataFrame([("d", "1", text), ("d", "2", None), (None, "3", text)], "document string, clause string, text string")
+    entities, edges = build.from_sections(rows)
+    for made in (entities, edges):
+        assert "(?i)" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r)[1:] for r in edges.where("rel_type in ('SENDS_TO', 'DERIVES', 'DERIVED_FROM')").collect()}
+    assert {("1", "AMF", "Paging", "SENDS_TO"), ("1", "AMF", "KAUSF", "DERIVES"), ("1", "KAUSF", "AUTN", "DERIVED_FROM")} <= got
