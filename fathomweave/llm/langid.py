@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweave.llm.folds import held_out, sample_by_class
-from fathomweave.runtime import ship
+from fathomweave.runtime import let_go, ship
 
 LETTER = re.compile(r"[^\W\d_]")
 MOST_ORDER = 7
@@ -173,6 +173,7 @@ def fit_pairs(docs: DataFrame) -> PartialMatch | None:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sums: dict[str, np.ndarray] = {}
         waiting: dict[str, list[bytes]] = {}
         size = 0

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fathomweave.llm.components import connected_components
 from fathomweave.llm.simhash import covering_masks
-from fathomweave.runtime import drop_table, ship, write_table
+from fathomweave.runtime import drop_table, let_go, ship, write_table
 
 PRINTS, HEAVIEST, RADIUS, TAIL = 8, 32, 1, 3.0
 #: Shingles in a block of a crowd: VOLUME, or a sixteenth of a crowd that is larger, up to LARGEST.
@@ -89,6 +89,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        let_go()
         for batch in batches:
             node, n, prints, odd, ids = [], [], [], [], []
             for cell in batch.column(1):
@@ -124,6 +125,7 @@ def _can(similarity: float):
         return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             can = np.minimum(n, m) >= similarity * np.maximum(n, m)
@@ -141,6 +143,7 @@ def _alike(similarity: float):
     """Keeps the pairs (a, b, x, y) whose sets of ids have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -234,6 +237,7 @@ def _crowd_links(crowds: DataFrame, nodes: DataFrame, similarity: float) -> tupl
     """(a, b) and where they are written: pairs within the groups of ``crowds`` (key, node, component) that connect all of that similarity and of different components."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for cell in _by_cell(batches):
             n, group, block = (cell.column(c).to_numpy() for c in ("n", "component", "own"))
             kept = survivors(n, group, block, [np.frombuffer(x.as_buffer(), "<u8") for x in cell.column("odd")], similarity)
@@ -241,6 +245,7 @@ def _crowd_links(crowds: DataFrame, nodes: DataFrame, similarity: float) -> tupl
                 yield from cell.filter(pa.array(kept)).select(["key", "i", "j", "node", "component"]).to_batches()
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for cell in _by_cell(batches):
             node, ids = cell.column("node").to_pylist(), [np.frombuffer(x.as_buffer(), "<u4") for x in cell.column("ids")]
             found = cell_links(ids, similarity, np.unique(cell.column("component").to_numpy(), return_inverse=True)[1])

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from fathomweave.llm.encode import ID_TYPE, default_tokenizer, shared_encoder
 from fathomweave.runtime import ship, write_table
 
+#: So many pieces of texts a worker keeps; the pipeline packs in executors that have grown in its other stages.
+KEPT = 700_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
 
@@ -70,7 +72,7 @@ def _pieces(path: str, end_id: int, room: int):
 
         from pyspark import TaskContext
 
-        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), shared_encoder(path)
+        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64), shared_encoder(path, KEPT)
         last = np.array([end_id], ID_TYPE).tobytes()
         for batch in batches:
             rows = []

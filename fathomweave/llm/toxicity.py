@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from fathomweave.llm import langid
 from fathomweave.llm.folds import held_out, sample_by_class
-from fathomweave.runtime import held, ship
+from fathomweave.runtime import held, let_go, ship
 
 WORD = re.compile(r"\w+")
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
@@ -330,6 +330,7 @@ def _pass(begun: tuple[Network, _Steps, dict[int, float]], positive: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         first, steps, judged = begun.value
         origin, before = first.rows().astype(np.float64), _rows(_sums(steps, first)).sum(axis=1, dtype=np.float64)
         moved, energy, seen = np.zeros_like(origin), np.zeros(len(origin)), Counter()

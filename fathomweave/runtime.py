@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -104,10 +105,17 @@ _HELD: dict[tuple, object] = {}
 def held(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gave for ``key`` in an earlier task of this Python worker, or gives now; what was kept for another key goes, so that no stage pays for the memory of the one before."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Frees what this Python worker keeps; for functions that keep nothing themselves, whose stage would carry it along."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

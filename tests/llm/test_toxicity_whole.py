@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathomweave import runtime
-from fathomweave.llm import langid, toxicity
+from fathomweave.llm import langid, neardup, toxicity
 from tests.llm.common import words
 
 
@@ -74,6 +74,12 @@ def test_worker_keeps_one_thing():
     assert a is b and runtime.held(("t", 2), dict) == {} and runtime.held(("t", 1), list) is not a and len(runtime._HELD) == 1
 
 
+def test_stages_that_keep_nothing_let_go():
+    for stage in (neardup._can(0.8), neardup._alike(0.8)):
+        runtime.held(("t", 1), list)
+        assert list(stage(iter([]))) == [] and not runtime._HELD
+
+
 def test_features_of_many_words():
     some = ["a", "ab", "abc", "naïve", "日本", "x" * 64, "_", "word_1", *(words(300, 5).split()), "\ud800x"]
     flat, begin, size = toxicity.all_features(some)
