@@ -16,7 +16,7 @@ from fathomweave.functions import lexicon as lx
 from fathomweave.functions import text as tx
 from fathomweave.functions import vectors as vx
 from fathomweave.operators import build, classify, extract, fsm, graph, relate, requirements, sections, sinks, steps, store
-from fathomweave.runtime import drop_table, write_table
+from fathomweave.runtime import drop_table, shuffle_partitions, write_table
 
 LISTS = {"network_functions": "NetworkFunction", "messages": "Message", "parameters": "Parameter", "keys": "Key"}
 VECTORS = ["embedding", "title_embedding", "parent_title_embedding"]
@@ -39,24 +39,25 @@ def procedures(found: DataFrame, named: Column | None = None, names: Callable[[C
     A procedure in which nothing at all is found has the least entities that its name asks for. Null texts are empty.
     """
     rows = sections.with_parents(found.withColumn("text", F.coalesce("text", F.lit(""))))
+    # patterns take far longer than reading, and a file may be one task
+    rows = rows.repartition(shuffle_partitions(found.sparkSession), "document", "section_seq")
     own = classify.identify(rows, named, **lists).withColumn("procedure", F.col("procedure_name")).withColumn("section", F.concat_ws("#", "document", "section_seq"))
-    made = steps.completed(own, "section", "procedure", "text", None, answer)
-    listed = made.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "description"))).alias("steps"))
-    wide = own.join(listed, "section", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<struct<ord:int,name:string,description:string>>")))
+    wide = steps.in_rows(own, "procedure", "text", answer)
     said = F.array_join(F.col("steps.description"), " ")
     checked = build.validated(names(F.col("text")), F.col("text"), said)
     wide = build.with_entities(wide.withColumn("names", checked).withColumn("steps_", F.col("steps")), "names").withColumn("steps", F.col("steps_")).drop("steps_")
     nothing = F.size("network_functions") + F.size("messages") + F.size("parameters") + F.size("keys") + F.size("steps") == 0
     least = extract.least_entities(F.col("procedure"))
     wide = wide.withColumns({k: F.when(nothing, least[k]).otherwise(F.col(k)) for k in LISTS})
-    return wide.withColumn("description", extract.search_description(F.col("parent_title"), F.col("procedure"), F.col("steps.description"), F.col("text")))
+    return described(wide)
 
 
-def nodes_of(found: DataFrame) -> DataFrame:
-    """name, entity_type, properties, description, parent_title, seq for every entity of :func:`procedures`.
+def described(procedures: DataFrame) -> DataFrame:
+    return procedures.withColumn("description", extract.search_description(F.col("parent_title"), F.col("procedure"), F.col("steps.description"), F.col("text")))
 
-    In each document the first node of a name and type counts, as far as sections go; procedures, functions, messages, parameters, keys and steps in this order.
-    """
+
+def all_nodes(found: DataFrame) -> DataFrame:
+    """name, entity_type, properties, description, parent_title, seq for every entity of :func:`procedures`, with document and k, its place among them: procedures, functions, messages, parameters, keys and steps in this order."""
     place = F.struct("doc_seq", "document", "section_seq")
     text_map = lambda **of: F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
     common = {"procedure": F.col("procedure"), "clause": F.col("clause")}
@@ -70,11 +71,23 @@ def nodes_of(found: DataFrame) -> DataFrame:
     listed = lambda k, c, kind: F.transform(c, lambda x: one(k, x, kind, text_map(**common), none))
     parts = [own] + [listed(i + 1, c, kind) for i, (c, kind) in enumerate(LISTS.items())]
     step = lambda s: one(5, s["name"], "Step", text_map(**common, step_number=steps.number_in_name(s["name"])), s["description"])
-    rows = found.select("document", "doc_seq", place.alias("place"), F.explode(F.concat(*parts, F.transform("steps", step))).alias("n"))
-    first = rows.groupBy("document", "n.name", "n.entity_type").agg(F.min_by("n", F.struct("place", "n.k")).alias("n"), F.min("place").alias("place"))
     digits = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
-    seq = F.concat_ws("#", digits("place.doc_seq"), "place.document", digits("place.section_seq"))
-    return first.select("n.name", "n.entity_type", "n.properties", "n.description", "n.parent_title", seq.alias("seq"))
+    seq = F.concat_ws("#", digits("doc_seq"), "document", digits("section_seq"))
+    rows = found.select("document", place.alias("place"), seq.alias("seq"), F.explode(F.concat(*parts, F.transform("steps", step))).alias("n"))
+    return rows.select("n.name", "n.entity_type", "n.properties", "n.description", "n.parent_title", "seq", "document", "place", "n.k")
+
+
+def first_nodes(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Of :func:`all_nodes` in each document the first node of a name and type, as far as sections go. ``by``: columns that rows of a name and type have in common."""
+    keys = [*by, "name", "entity_type"]
+    own = ["properties", "description", "parent_title", "seq"]
+    first = rows.groupBy(*keys, "document").agg(F.min_by(F.struct(*own), F.struct("place", "k")).alias("n"))
+    return first.select(*keys, *[f"n.{c}" for c in own])
+
+
+def nodes_of(found: DataFrame) -> DataFrame:
+    """name, entity_type, properties, description, parent_title, seq for every entity of :func:`procedures`: in each document :func:`first_nodes`."""
+    return first_nodes(all_nodes(found))
 
 
 def edges_of(found: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
@@ -86,7 +99,7 @@ def edges_of(found: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
 
 
 def with_vectors(nodes: DataFrame, load: Callable | None = None) -> DataFrame:
-    """Adds the vectors of description (with name, type and keywords), title and parent title; where one of these is missing, so is its vector."""
+    """Adds the vectors of description (with name, type and keywords), title and parent title; where one of these is missing, so is its vector. Vectors that nodes have already stay."""
     words = tx.keywords("name", "entity_type", "description")
     said = {
         "embedding": F.when(F.coalesce("description", F.lit("")) != "", extract.embedding_text(F.col("name"), F.col("entity_type"), words, F.col("description"))),
@@ -94,7 +107,11 @@ def with_vectors(nodes: DataFrame, load: Callable | None = None) -> DataFrame:
         "parent_title_embedding": F.when(F.coalesce("parent_title", F.lit("")) != "", F.concat(F.lit("Parent Section: "), "parent_title")),
     }
     for c, text in said.items():
-        nodes = annotate.embed(nodes.withColumn("_said", text), "_said", c, load).drop("_said")
+        if c in nodes.columns:
+            made = annotate.embed(nodes.withColumn("_said", F.when(F.col(c).isNull(), text)), "_said", "_made", load)
+            nodes = made.withColumn(c, F.coalesce(c, "_made")).drop("_said", "_made")
+        else:
+            nodes = annotate.embed(nodes.withColumn("_said", text), "_said", c, load).drop("_said")
     return nodes
 
 
@@ -108,14 +125,20 @@ def build_graph(
     same sections again changes nothing. Without a procedure nothing is written and both are empty.
     """
     spark = found.sparkSession
-    wide, path = write_table(procedures(found, named, names, answer, **lists), "procedures")
-    nodes = with_vectors(nodes_of(wide), load)
-    store.merge(nodes, f"{folder}/nodes", ["name", "entity_type"], "seq", "entries", buckets)
-    known = store.read(spark, f"{folder}/nodes").select("name").distinct()
-    edges = edges_of(wide).join(known.withColumnRenamed("name", "source_name"), "source_name", "left_semi").join(known.withColumnRenamed("name", "target_name"), "target_name", "left_semi")
+    kept = ["document", "doc_seq", "section_seq", "clause", "has_figure", "text", "procedure", "parent_title", *LISTS, "steps"]
+    wide, path = write_table(procedures(found, named, names, answer, **lists).select(*kept), "procedures", compression="zstd")
+    empty = {c: F.lit(None).cast("array<float>") for c in VECTORS}
+    # texts are moved once, to the buckets of their nodes; the first of each document is found there, and vectors are made of what is stored
+    store.merge(
+        all_nodes(described(wide)).withColumns(empty), f"{folder}/nodes", ["name", "entity_type"], "seq", "entries", buckets,
+        within=lambda rows, by: first_nodes(rows, by).withColumns(empty), after=lambda rows: with_vectors(rows, load),
+    )
+    # each end is a name of the same procedures, whose nodes have just been stored
+    edges = edges_of(wide).where("source_name is not null and target_name is not null")
     # the text of its properties tells relations of one kind between two names apart
     uid = F.md5(F.to_json(F.struct("source_name", "target_name", "rel_type", "properties")))
-    store.merge(edges.select("source_name", "target_name", "rel_type", "properties", uid.alias("uid"), F.lit(0).cast("bigint").alias("seq")), f"{folder}/edges", ["uid"], "seq", "last", buckets)
+    edges = edges.select("source_name", "target_name", "rel_type", "properties", uid.alias("uid"), F.lit(0).cast("bigint").alias("seq"))
+    store.merge(edges, f"{folder}/edges", ["uid"], "seq", "last", buckets, within=lambda rows, by: rows)
     drop_table(spark, path)
     return read_graph(spark, folder)
 

@@ -72,11 +72,15 @@ def entity_number(number: Column) -> Column:
 
 def step_name(title: Column, number: Column) -> Column:
     """{clause digits}_{title}_step_{number}; a title's leading number is a clause only if white space and more follow. Each blank is an underscore."""
+    return F.concat_ws("_", _name_head(title), entity_number(number))
+
+
+def _name_head(title: Column) -> Column:
     numbered = r"^(\d+(?:\.\d+)*)\s+(.+)"
     clause = F.regexp_replace(F.regexp_extract(title, numbered, 1), r"\.", "")
     rest = F.when(clause != "", F.regexp_extract(title, numbered, 2)).otherwise(title)
     words = F.regexp_replace(F.regexp_replace(rest, r"(?U)[^\w\s]", ""), " ", "_")
-    return F.concat_ws("_", F.when(clause != "", clause), words, F.lit("step"), entity_number(number))
+    return F.concat_ws("_", F.when(clause != "", clause), words, F.lit("step"))
 
 
 def step_entities(found: DataFrame, procedures: DataFrame, key: str = "procedure", title: str = "title") -> DataFrame:
@@ -99,6 +103,47 @@ def listed_steps(procedures: DataFrame, found: str = "found", key: str = "proced
     return each.select(key, step_name(F.col(title), number).alias("name"), plain.alias("description"), F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("ord"))
 
 
+def in_rows(procedures: DataFrame, title: str = "procedure", text: str = "text", answer: str | None = None, out: str = "steps") -> DataFrame:
+    """Adds the array ``out`` of struct (ord, name, description), in order: what :func:`completed` finds in a row's text, or else in its ``answer``.
+
+    All of it is worked out within the row, so no text is moved; each array is a column of its own, since what a lambda holds is evaluated for every element.
+    """
+    at_ = [f"_{out}_{k}" for k in ("lines", "heads", "found", "sorted", "ends", "head", "said", "all")]
+    lines, heads, found, sorted_, ends, head, said, whole = at_
+    rows = procedures.withColumn(head, _name_head(F.col(title)))
+    rows = rows.withColumn(lines, F.filter(F.transform(F.split(split_lines(F.coalesce(text, F.lit(""))), "\n"), tx.strip), lambda x: x != ""))
+    one = lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, HEAD, 1).alias("number"), F.regexp_extract(x, HEAD, 2).alias("part"))
+    rows = rows.withColumn(heads, F.filter(F.transform(lines, one), lambda h: h["number"] != ""))
+
+    def step(h: Column, j: Column) -> Column:
+        after = F.coalesce(F.get(F.col(heads), j + 1)["at"], F.size(lines))
+        parts = F.concat(F.array(h["part"]), F.slice(F.col(lines), h["at"] + 2, after - h["at"] - 1))
+        main, letter = sort_key(h["number"])
+        described = tx.strip(F.regexp_replace(F.array_join(parts, " "), r"[ \t]+", " "))
+        return F.struct(main.alias("main"), letter.alias("letter"), h["at"].alias("at"), h["number"].alias("number"), described.alias("description"))
+
+    rows = rows.withColumn(found, F.array_sort(F.transform(heads, step)))
+    named = lambda x, i: F.struct(F.concat_ws("_", head, entity_number(x["number"])).alias("name"), (i + 1).alias("ord"), x["description"].alias("description"))
+    # steps of one name stand together, and all have the description of the last
+    rows = rows.withColumn(sorted_, F.array_sort(F.transform(found, named)))
+    last = lambda x, i: F.coalesce(F.get(F.col(sorted_), i + 1)["name"] != x["name"], F.lit(True))
+    rows = rows.withColumn(ends, F.filter(F.transform(sorted_, lambda x, i: F.when(last(x, i), F.struct(i.alias("at"), x["description"].alias("description")))), lambda e: e.isNotNull()))
+
+    def alike(e: Column, j: Column) -> Column:
+        first = F.when(j > 0, F.get(F.col(ends), j - 1)["at"] + 1).otherwise(0)
+        return F.transform(F.slice(F.col(sorted_), first + 1, e["at"] - first + 1), lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), e["description"].alias("description")))
+
+    made = F.array_sort(F.flatten(F.transform(ends, alike)))
+    if answer is None:
+        return rows.withColumn(out, made).drop(*at_)
+    shape = r"(?i)^Step\s+([0-9a-z-]+):\s*(.+)"
+    rows = rows.withColumn(whole, F.when(F.size(ends) == 0, suggested(F.col(answer)))).withColumn(said, F.filter(whole, lambda x: x.rlike(shape)))
+    listed = lambda x, i: F.struct((i + 1).alias("ord"), F.concat_ws("_", head, entity_number(F.regexp_extract(x, shape, 1))).alias("name"), F.regexp_extract(x, shape, 2).alias("description"))
+    plain = lambda x, i: F.struct((i + 1).alias("ord"), F.concat_ws("_", head, entity_number((i + 1).cast("string"))).alias("name"), F.regexp_replace(x, r"(?i)^Step\s+[0-9a-z-]+:\s*", "").alias("description"))
+    told = F.when(F.size(said) > 0, F.transform(said, listed)).otherwise(F.transform(whole, plain))
+    return rows.withColumn(out, F.when(F.size(ends) > 0, made).otherwise(F.coalesce(told, made))).drop(*at_)
+
+
 def suggested(answer: Column) -> Column:
     """The steps in a model's answer: its numbered lines, or the parts before numbers if those are more."""
     number = r"^\d+\.\s+"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ BUCKETS = 64
 POLICIES = ("last", "first", "entries")
 #: A bucket of so many times its share of a batch, and so many rows, is merged in part before it moves.
 CROWDED, LEAST_ROWS = 4, 1 << 16
+#: A task merges about so many rows; buckets with more are dealt to several tasks by key.
+PER_TASK = 1 << 17
 
 
 @dataclass
@@ -125,12 +128,19 @@ def _without_seq(rows: DataFrame, policy: str) -> DataFrame:
     return rows.withColumns({f.name: F.transform_values(f.name, lambda k, e: e["v"]) for f in rows.schema if isinstance(f.dataType, T.MapType)})
 
 
-def merge(batch: DataFrame, path: str, keys: list[str], seq: str = "seq", policy: str = "last", buckets: int = BUCKETS) -> int:
+def merge(
+    batch: DataFrame, path: str, keys: list[str], seq: str = "seq", policy: str = "last", buckets: int = BUCKETS,
+    within: Callable[[DataFrame, list[str]], DataFrame] | None = None, after: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
     """Merges ``batch`` into the table at ``path`` and returns its new version; an empty batch of a known table changes nothing.
 
     last, first: the whole row of the largest or smallest ``seq`` of a key; entries: likewise last, but map columns keep, for each
     entry, the value set last (a null map has none). Null keys are keys. Rows of one key and seq: the one that is greatest (first:
     least) as text. The table keeps the columns, keys, policy and number of buckets of its first batch.
+
+    ``within``: makes the rows to merge from those of ``batch`` where all rows of a key already are, given the columns that these have in common
+    beside the keys, which it has to group by and keep. Such a batch is not written first but computed twice, once for its keys alone, so it must give
+    the same rows again. ``after``: adds to merged rows what is not compared (columns that are there as null), before they are written.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {', '.join(POLICIES)}")
@@ -138,29 +148,44 @@ def merge(batch: DataFrame, path: str, keys: list[str], seq: str = "seq", policy
     old = manifest(spark, path)
     if old is not None:
         keys, seq, policy, buckets = old.keys, old.seq, old.policy, old.buckets
-        batch = batch.select(*old.schema.names)
-    staged, temporary = write_table(_with_seq(batch, seq, policy).withColumn("_bucket", bucket_of(keys, buckets)), "merge")
-    paths = [temporary]
+    placed = batch.withColumn("_bucket", bucket_of(keys, buckets))
+    schema = old.schema if old else (placed if within is None else within(placed, ["_bucket"])).drop("_bucket").schema
+    own = lambda rows: _with_seq(rows.select("_bucket", *schema.names), seq, policy)
+    staged, paths = placed, []
+    if within is None:
+        staged, temporary = write_table(own(placed), "merge")
+        paths.append(temporary)
     sizes = {r[0]: r[1] for r in staged.groupBy("_bucket").count().collect()}  # at most ``buckets`` numbers
     touched = sorted(sizes)
     number = old.version + 1 if old else 0
     folders = dict(old.folders) if old else {}
     if touched or old is None:
+        # tasks to a bucket
+        shares = max(1, -(-sum(sizes.values()) // (PER_TASK * max(1, len(touched)))))
+        by = ["_bucket", "_share"]
+        share = lambda rows: rows.withColumn("_share", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(shares)).cast("int"))
+        deal = lambda rows: rows.repartition(max(1, len(touched)) * shares, *by)
+        rows, lie = share(staged), False
         if max(sizes.values(), default=0) > max(CROWDED * sum(sizes.values()) / buckets, LEAST_ROWS):
             # a key with many rows: these are merged where they are first, in part
-            staged, again = write_table(_merged(staged, ["_bucket", *keys], seq, policy), "merge")
+            if within is not None:
+                rows = share(own(within(staged, ["_bucket"])))
+            rows, again = write_table(_merged(rows, [*by, *keys], seq, policy), "merge")
             paths.append(again)
-        rows = staged
+        elif within is not None:
+            # dealt before its rows are made, which needs no other shuffle
+            rows, lie = _with_seq(within(deal(rows), by).select(*by, *schema.names), seq, policy), True
         before = [f"{path}/{folders[b]}" for b in touched if b in folders]
         if before:
-            stored = spark.read.schema(staged.drop("_bucket").schema).parquet(*before)
-            rows = rows.unionByName(stored.withColumn("_bucket", bucket_of(keys, buckets)))
+            stored = spark.read.schema(rows.drop(*by).schema).parquet(*before)
+            rows, lie = rows.unionByName(share(stored.withColumn("_bucket", bucket_of(keys, buckets)))), False
         data = f"data/{uuid.uuid4().hex}"
         # dealt by bucket once; all that follows happens within the buckets
-        dealt = _merged(rows.repartition(max(1, len(touched)), "_bucket"), ["_bucket", *keys], seq, policy).withColumnRenamed("_bucket", "bucket")
-        dealt.sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(f"{path}/{data}")
+        merged = _merged(rows if lie else deal(rows), [*by, *keys], seq, policy).drop("_share").withColumnRenamed("_bucket", "bucket")
+        merged = merged.sortWithinPartitions("bucket", *keys)
+        (merged if after is None else after(merged)).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{data}")
         folders |= {b: f"{data}/bucket={b}" for b in touched}
-        _put(spark, path, Manifest(number, keys, seq, policy, buckets, batch.schema, folders))
+        _put(spark, path, Manifest(number, keys, seq, policy, buckets, schema, folders))
     for done in paths:
         drop_table(spark, done)
     return number if touched or old is None else old.version

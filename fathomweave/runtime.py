@@ -71,14 +71,14 @@ def drop_written(spark: SparkSession, since: int, keep: set[str]) -> None:
     _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in keep]
 
 
-def write_table(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, tag: str, partition_by: list[str] | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` once to the shared folder and returns the table read back, with its path.
 
     This cuts the lineage: whatever executor is lost later, the rows are in shared storage.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    writer = df.write
+    writer = df.write if compression is None else df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

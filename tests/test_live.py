@@ -120,3 +120,26 @@ def test_demonstration_draws_the_best(spark, tmp_path):
     assert all(r["states"] is None for r in got if r["rank"] > 1)
     # a procedure without steps has no machine
     assert all((r["files"] is None) == (r["procedure"] != name) for r in best.values()) and len([r for r in got if r["query_id"] == 1]) == 2
+
+
+def test_steps_in_rows_are_those_of_the_joins(spark):
+    many = "\n".join(f"{i}. The AMF says {i}." for i in range(12, 0, -1))
+    texts = [many, "1. a b\n1. c d\nmore of it\n2. e", "intro\n7-12b. x y\n3(A). z\n\n 99999999999. far", "no steps", "", None, "1.\tFirst one. 2.\tThe second 2a.\tThird"]
+    rows = [(str(i), f"6.{i} Some, title" if i % 2 else "Flow é", t, "1. say so\n2. Step 4: and so" if i % 3 else "Step 2: yes\nnothing") for i, t in enumerate(texts)] + [("x", None, "1. one", None)]
+    p = spark.createDataFrame(rows, "procedure string, title string, text string, answer string").coalesce(1)
+    for answer in (None, "answer"):
+        joined = live.steps.completed(p, "procedure", "title", "text", None, answer)
+        want = sorted((r["procedure"], r["ord"], r["name"], r["description"]) for r in joined.collect())
+        got = live.steps.in_rows(p, "title", "text", answer).select("procedure", F.explode("steps").alias("s")).select("procedure", "s.ord", "s.name", "s.description")
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 15
+    assert "Aggregate" not in live.procedures(made(spark))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_shares_give_the_same_graph(spark, tmp_path, monkeypatch):
+    key = lambda a, b: (sorted(map(repr, a.collect())), sorted(map(repr, b.collect())))
+    before = key(*live.build_graph(made(spark), str(tmp_path / "g"), buckets=2))
+    monkeypatch.setattr(live.store, "PER_TASK", 5)
+    assert key(*live.build_graph(made(spark), str(tmp_path / "h"), buckets=2)) == before
+    monkeypatch.setattr(live.store, "LEAST_ROWS", 1)
+    monkeypatch.setattr(live.store, "CROWDED", 0)
+    assert key(*live.build_graph(made(spark), str(tmp_path / "i"), buckets=2)) == before
