@@ -35,6 +35,16 @@ def test_encoder_equals_library(tokenizer):
     assert all(small.encode(t) == pack(ids_of(tokenizer, t)) for t in texts)
 
 
+def test_plain_words_are_merged_by_the_model(tokenizer, monkeypatch):
+    letters = [*map(chr, range(0x250)), " ", " "]
+    texts = ["".join(c for c in random.Random(i).choices(letters, k=12) if c == " " or c.isalpha() and c not in "ªµº×÷") for i in range(3000)]
+    want = [pack(ids_of(tokenizer, t)) for t in texts]
+    assert Encoder(default_tokenizer(), cache=500).encode_all(texts) == want
+    encoder = Encoder(default_tokenizer())
+    monkeypatch.setattr(encoder, "tokenizer", type("ModelAlone", (), {"model": encoder.tokenizer.model}))
+    assert encoder.encode("La ville où éléphant") == pack(ids_of(tokenizer, "La ville où éléphant"))
+
+
 def test_token_store_round_trip(spark, tokenizer):
     rows = odd_rows()
     root = write_store(odd(spark), new_path(spark, "t"))
