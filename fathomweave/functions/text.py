@@ -119,4 +119,5 @@ def shortened(c: Column, n: int) -> Column:
 
 def keywords(*parts: Column) -> Column:
     """Distinct lower-case words of several columns, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *parts)), r"\s+"), lambda x: x != "")))
+    # no word is null, and sort_array compares without a lambda
+    return F.sort_array(F.array_remove(F.array_distinct(F.split(F.lower(F.concat_ws(" ", *parts)), r"\s+")), ""))

@@ -49,10 +49,13 @@ def routes(sections: DataFrame, named: Column, **lists: list[str]) -> DataFrame:
 
 
 def identify(sections: DataFrame, named: Column | None = None, **lists: list[str]) -> DataFrame:
-    """The sections with a figure that are procedures, with procedure_name: what an annotator says, else the title if the score does."""
-    rows = score(sections.where("has_figure"), **lists)
-    fallback = F.when(F.col("is_procedure"), F.col("title"))
-    return rows.withColumn("procedure_name", F.coalesce(named, fallback) if named is not None else fallback).where("procedure_name is not null")
+    """The sections with a figure that are procedures, with procedure_name: what an annotator says, else the title if the score does; what is named is not scored."""
+    rows = sections.where("has_figure")
+    if named is None:
+        return score(rows, **lists).withColumn("procedure_name", F.when(F.col("is_procedure"), F.col("title"))).where("procedure_name is not null")
+    rows = rows.withColumns({"_named": named, "_text": F.col("text"), "text": F.when(named.isNull(), F.col("text"))})
+    rows = score(rows, **lists).withColumns({"procedure_name": F.coalesce("_named", F.when(F.col("is_procedure"), F.col("title"))), "text": F.col("_text")})
+    return rows.drop("_named", "_text").where("procedure_name is not null")
 
 
 def answer_name(answer: Column, title: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import string
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +17,44 @@ MESSAGE_PATTERNS = [r"([A-Z][a-z]+ (?:Request|Response|Indication|Confirm))", r"
 # End of the fixed values.
 
 
-def matches(text: Column, words: list[str], strict: bool = False, ignore_case: bool = True) -> Column:
+def matches(text: Column, words: list[str], strict: bool = False, ignore_case: bool = True, among: Column | None = None) -> Column:
     """The words of a list that stand in a text as whole words, in the list's order.
 
     Word boundaries ask for a letter after a word that ends in a mark, so such words are hardly ever found;
-    ``strict`` asks for no letter on either side instead. Each word is a pattern of its own, compiled once.
+    ``strict`` asks for no letter on either side instead. Each word is a pattern of its own, compiled once, and tried where
+    all its runs of letters are among the text's (:func:`runs_in`), given as ``among`` where several lists share them.
     """
+    if among is None:
+        # within a lambda, so that the runs are found once and not for each word
+        return F.get(F.transform(F.array(runs_in(text, words)), lambda runs: matches(text, words, strict, ignore_case, runs)), F.lit(0))
     flag = "(?i)" if ignore_case else ""
     pattern = lambda w: flag + (rf"(?<!\w){tx.literal(w)}(?!\w)" if strict else rf"\b{tx.literal(w)}\b")
-    return F.array_compact(F.array(*[F.when(text.rlike(pattern(w)), F.lit(w)) for w in words]))
+    hit = lambda w: reduce(lambda a, b: a & b, [*[F.array_contains(among, r) for r in _runs(w)], text.rlike(pattern(w))])
+    return F.array_compact(F.array(*[F.when(hit(w), F.lit(w)) for w in words]))
+
+
+def _runs(word: str) -> list[str]:
+    return [r for r in re.split("[^a-z0-9_]+", re.sub("[A-Z]", lambda m: m[0].lower(), word)) if r]
+
+
+#: Two characters that no pattern takes for a letter of ASCII, but whose lower case has one.
+_ODD = ["\u0130", "\u212a"]
+
+
+def runs_in(text: Column, words: list[str]) -> Column:
+    """Which runs of ASCII letters, digits and underscores of ``words``, in lower case, are whole runs of a text; all where that can't be told."""
+    known = F.array(*[F.lit(r) for r in sorted({r for w in words for r in _runs(w)})]).cast("array<string>")
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in _ODD])
+    # a class of single characters is looked up in a table, one of ranges is not
+    return F.when(odd, known).otherwise(F.array_intersect(F.split(F.lower(text), f"[^{string.ascii_lowercase}{string.digits}_]+"), known))
 
 
 def pattern_messages(text: Column) -> Column:
     """Distinct messages that one of three patterns finds, of 6 to 79 characters and no stop-words, sorted."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MESSAGE_PATTERNS]))
+    # each pattern asks for one of these
+    may = reduce(lambda a, b: a | b, [text.contains(x) for x in ("_", " Request", " Response", " Indication", " Confirm", " registration", " authentication", " establishment")])
+    found = F.when(text.isNull() | may, found).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x).between(6, 79) & ~tx.is_stop_word(x, lx.STOP_WORDS, lx.STOP_PHRASES))))
 
 

@@ -25,11 +25,17 @@ VECTORS = ["embedding", "title_embedding", "parent_title_embedding"]
 def lexicon_names(text: Column) -> Column:
     """struct of the five lists: what the lexicons and the message patterns find in a text."""
     empty = F.array().cast("array<string>")
-    found = {
-        "network_functions": extract.matches(text, lx.NETWORK_FUNCTIONS), "parameters": extract.merged(extract.matches(text, lx.PARAMETERS), empty),
-        "keys": extract.merged(extract.matches(text, lx.KEYS), empty), "messages": extract.merged(extract.matches(text, lx.MESSAGES), extract.pattern_messages(text)), "steps": empty,
-    }
-    return F.struct(*[c.alias(k) for k, c in found.items()])
+
+    def found(runs: Column) -> Column:
+        listed = lambda words: extract.matches(text, words, among=runs)
+        lists = {
+            "network_functions": listed(lx.NETWORK_FUNCTIONS), "parameters": extract.merged(listed(lx.PARAMETERS), empty), "keys": extract.merged(listed(lx.KEYS), empty),
+            "messages": extract.merged(listed(lx.MESSAGES), extract.pattern_messages(text)), "steps": empty,
+        }
+        return F.struct(*[c.alias(k) for k, c in lists.items()])
+
+    # the text is cut into runs once for all lists
+    return F.get(F.transform(F.array(extract.runs_in(text, [*lx.NETWORK_FUNCTIONS, *lx.PARAMETERS, *lx.KEYS, *lx.MESSAGES])), found), F.lit(0))
 
 
 def procedures(found: DataFrame, named: Column | None = None, names: Callable[[Column], Column] = lexicon_names, answer: str | None = None, **lists: list[str]) -> DataFrame:
@@ -44,7 +50,9 @@ def procedures(found: DataFrame, named: Column | None = None, names: Callable[[C
     own = classify.identify(rows, named, **lists).withColumn("procedure", F.col("procedure_name")).withColumn("section", F.concat_ws("#", "document", "section_seq"))
     wide = steps.in_rows(own, "procedure", "text", answer)
     said = F.array_join(F.col("steps.description"), " ")
-    checked = build.validated(names(F.col("text")), F.col("text"), said)
+    # a column of its own, as each list is looked at several times
+    wide = wide.withColumn("names", names(F.col("text")))
+    checked = build.validated(F.col("names"), F.col("text"), said)
     wide = build.with_entities(wide.withColumn("names", checked).withColumn("steps_", F.col("steps")), "names").withColumn("steps", F.col("steps_")).drop("steps_")
     nothing = F.size("network_functions") + F.size("messages") + F.size("parameters") + F.size("keys") + F.size("steps") == 0
     least = extract.least_entities(F.col("procedure"))
@@ -106,13 +114,10 @@ def with_vectors(nodes: DataFrame, load: Callable | None = None) -> DataFrame:
         "title_embedding": F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit("Title: "), "name")),
         "parent_title_embedding": F.when(F.coalesce("parent_title", F.lit("")) != "", F.concat(F.lit("Parent Section: "), "parent_title")),
     }
-    for c, text in said.items():
-        if c in nodes.columns:
-            made = annotate.embed(nodes.withColumn("_said", F.when(F.col(c).isNull(), text)), "_said", "_made", load)
-            nodes = made.withColumn(c, F.coalesce(c, "_made")).drop("_said", "_made")
-        else:
-            nodes = annotate.embed(nodes.withColumn("_said", text), "_said", c, load).drop("_said")
-    return nodes
+    had = {c: f"_{c}" for c in said if c in nodes.columns}
+    asked = {c: F.when(F.col(c).isNull(), text) if c in had else text for c, text in said.items()}
+    made = annotate.embed_all(nodes, {had.get(c, c): text for c, text in asked.items()}, load)
+    return made.withColumns({c: F.coalesce(c, new) for c, new in had.items()}).drop(*had.values())
 
 
 def build_graph(
@@ -138,7 +143,8 @@ def build_graph(
     # the text of its properties tells relations of one kind between two names apart
     uid = F.md5(F.to_json(F.struct("source_name", "target_name", "rel_type", "properties")))
     edges = edges.select("source_name", "target_name", "rel_type", "properties", uid.alias("uid"), F.lit(0).cast("bigint").alias("seq"))
-    store.merge(edges, f"{folder}/edges", ["uid"], "seq", "last", buckets, within=lambda rows, by: rows)
+    # ten relations are looked for in every procedure, which takes longer than writing what is found
+    store.merge(edges, f"{folder}/edges", ["uid"], "seq", "last", buckets)
     drop_table(spark, path)
     return read_graph(spark, folder)
 

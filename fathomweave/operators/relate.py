@@ -34,8 +34,10 @@ def part_of(p: DataFrame) -> DataFrame:
 
 
 def followed_by(p: DataFrame) -> DataFrame:
-    rows = _steps(p).where("get(steps, at + 1).name is not null")
-    return _edges(rows, F.col("step.name"), F.expr("get(steps, at + 1).name"), "FOLLOWED_BY", None, "required_relationship", order=F.col("at") + 1)
+    # each step with the next one's name, so that no row carries all steps of its procedure
+    pairs = F.transform("steps", lambda s, i: F.struct(s["name"].alias("name"), F.get(F.col("steps"), i + 1)["name"].alias("next"), (i + 1).alias("ord")))
+    rows = p.select("procedure", F.explode(pairs).alias("x")).where("x.next is not null")
+    return _edges(rows, F.col("x.name"), F.col("x.next"), "FOLLOWED_BY", None, "required_relationship", order=F.col("x.ord"))
 
 
 def invoke(p: DataFrame) -> DataFrame:

@@ -31,7 +31,14 @@ def split_lines(text: Column, strict: bool = False) -> Column:
     out = text
     for p in SPLITS if not strict else [r"(?<![\d\n-])(\d+(?:[a-z]?-\d+[a-z]?|\([A-Za-z]\)|[a-z])?)"]:
         out = F.regexp_replace(out, p + _START, "\n$1. $2")
-    return tx.strip(F.regexp_replace(F.regexp_replace(out, r"\n\s*\n\s*\n+", "\n\n"), r"[ \t]+", " "))
+    # without a point before a tab there is nothing to split
+    out = F.when(text.contains(".\t"), out).otherwise(text)
+    return tx.strip(_single_blanks(F.regexp_replace(out, r"\n\s*\n\s*\n+", "\n\n")))
+
+
+def _single_blanks(c: Column) -> Column:
+    """Runs of blanks and tabs as one blank."""
+    return F.regexp_replace(c, r"\t[ \t]*| [ \t]+", " ")
 
 
 def start_line(text: Column) -> Column:
@@ -119,7 +126,7 @@ def in_rows(procedures: DataFrame, title: str = "procedure", text: str = "text",
         after = F.coalesce(F.get(F.col(heads), j + 1)["at"], F.size(lines))
         parts = F.concat(F.array(h["part"]), F.slice(F.col(lines), h["at"] + 2, after - h["at"] - 1))
         main, letter = sort_key(h["number"])
-        described = tx.strip(F.regexp_replace(F.array_join(parts, " "), r"[ \t]+", " "))
+        described = tx.strip(_single_blanks(F.array_join(parts, " ")))
         return F.struct(main.alias("main"), letter.alias("letter"), h["at"].alias("at"), h["number"].alias("number"), described.alias("description"))
 
     rows = rows.withColumn(found, F.array_sort(F.transform(heads, step)))

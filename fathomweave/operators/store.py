@@ -153,7 +153,7 @@ def merge(
     own = lambda rows: _with_seq(rows.select("_bucket", *schema.names), seq, policy)
     staged, paths = placed, []
     if within is None:
-        staged, temporary = write_table(own(placed), "merge")
+        staged, temporary = write_table(own(placed), "merge", compression="zstd")
         paths.append(temporary)
     sizes = {r[0]: r[1] for r in staged.groupBy("_bucket").count().collect()}  # at most ``buckets`` numbers
     touched = sorted(sizes)
@@ -170,7 +170,7 @@ def merge(
             # a key with many rows: these are merged where they are first, in part
             if within is not None:
                 rows = share(own(within(staged, ["_bucket"])))
-            rows, again = write_table(_merged(rows, [*by, *keys], seq, policy), "merge")
+            rows, again = write_table(_merged(rows, [*by, *keys], seq, policy), "merge", compression="zstd")
             paths.append(again)
         elif within is not None:
             # dealt before its rows are made, which needs no other shuffle

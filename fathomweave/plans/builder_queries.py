@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +144,7 @@ select what, kind, cast(n as bigint) as n from c where n > 0""")
 def live_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges of the graph of all documents: two of three have a figure, a model has named them, and their lines are steps. Marks and letters with marks are left out of texts."""
     d = table(spark, sf_dir, "documents")
-    lines = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n .]", "x"), "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{string.ascii_letters}\n .]", "x"), "\n"), lambda x: F.trim(x) != "")
     numbered = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     title, figure = F.concat(F.lit("Flow "), F.col("doc_id")), F.col("doc_id") % 3 > 0
     rows = d.select(F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("doc_seq"), F.lit(1).cast("bigint").alias("section_seq"), title.alias("title"), F.lit("1").alias("clause"), numbered.alias("text"), figure.alias("has_figure"))

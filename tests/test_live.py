@@ -143,3 +143,53 @@ def test_small_shares_give_the_same_graph(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(live.store, "LEAST_ROWS", 1)
     monkeypatch.setattr(live.store, "CROWDED", 0)
     assert key(*live.build_graph(made(spark), str(tmp_path / "i"), buckets=2)) == before
+
+
+def test_vectors_of_many_texts_are_those_of_one(spark):
+    texts = ["", "Aa a_1 b-B\tç", "plain words, 5G-AKA' and x_y.", "x" * 63 + " " + "y" * 64 + " " + "z" * 65 + " " + "y" * 300, "İK K ß é", "...", "one"]
+    places = annotate._Places(64)
+    for some in (texts, texts[2:4], texts[:1], texts[4:5]):
+        assert annotate.hashed_vectors(some, places).tolist() == [annotate.hashed_vector(t) for t in some]
+    rows = [(i, t) for i, t in enumerate([*texts, None, " " * 17000, "a b. " * 4000])]
+    got = {r["id"]: r["v"] for r in annotate.embed(spark.createDataFrame(rows, "id int, text string").coalesce(1), "text", "v").collect()}
+    # a long text of blanks alone has no parts
+    assert got[len(texts)] is None and got[len(texts) + 1] == [0.0] * 64 and len(got[len(texts) + 2]) == 64
+    assert all(abs(a - b) < 1e-6 for i, t in enumerate(texts) for a, b in zip(got[i], annotate.hashed_vector(t), strict=True))
+
+
+def test_words_are_found_as_by_their_patterns_alone(spark):
+    words = ["UE", "XRES*", "EAP-AKA'", "PDU Session ID", "Kc", "K_enb*", "é", "ÉA", "**", "5G-GUTI", "SD"]
+    texts = [*words, None, "", "KUE", "UEK", "İ ue", "Kc kc", "éUE", "UE_1", "the ue, pdu session id", "pdu session  id", "xres*s k_ENB*1", "eap-aka'x", "5g-guti.SD", "١UE ªsd", "úe UÉ"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    for strict in (False, True):
+        for plain in (False, True):
+            mark = lambda w: (r"(?<!\w)%s(?!\w)" if strict else r"\b%s\b") % live.tx.literal(w)
+            want = F.array_compact(F.array(*[F.when(F.col("t").rlike(("(?i)" if plain else "") + mark(w)), F.lit(w)) for w in words]))
+            got = t.select("t", live.extract.matches(F.col("t"), words, strict, plain).alias("got"), want.alias("want")).collect()
+            assert [r for r in got if r["got"] != r["want"]] == [] and any(r["got"] for r in got)
+    assert live.extract.runs_in(F.col("t"), words) is not None
+    runs = {r["t"]: r["x"] for r in t.select("t", live.extract.runs_in(F.col("t"), ["UE", "PDU Session ID", "SD"]).alias("x")).collect()}
+    # what is not among them is not looked for
+    assert runs["éUE"] == ["ue"] and runs["UE_1"] == [] and sorted(runs["the ue, pdu session id"]) == ["id", "pdu", "session", "ue"]
+
+
+def test_what_a_model_has_named_is_not_scored(spark):
+    rows = live.classify.identify(made(spark), F.when(F.col("section_seq") == 3, F.lit("Named")))
+    got = {(r["document"], r["section_seq"]): r for r in rows.collect()}
+    assert got["a", 3]["procedure_name"] == "Named" and got["a", 3]["text"] == "short" and got["a", 3]["step_count"] is None
+    assert got["a", 2]["procedure_name"] == "6.1.3 Authentication procedure" and got["a", 2]["step_count"] is not None
+
+
+def test_edges_are_looked_for_once_and_carry_one_step(spark, tmp_path, monkeypatch):
+    twice, merge = {}, live.store.merge
+
+    def noted(batch, path, *a, **b):
+        twice[path.rsplit("/", 1)[-1]] = b.get("within") is not None
+        return merge(batch, path, *a, **b)
+
+    monkeypatch.setattr(live.store, "merge", noted)
+    live.build_graph(made(spark), str(tmp_path / "g"), buckets=2)
+    assert twice["edges"] is False
+    rows = live.relate.followed_by(live.procedures(made(spark)))
+    assert [(r["source_name"][-1], r["target_name"][-1], r["sequence_order"]) for r in rows.orderBy("sequence_order").collect()] == [("1", "2", 1), ("2", "3", 2)]
+    assert "posexplode" not in rows._jdf.queryExecution().analyzed().toString()
